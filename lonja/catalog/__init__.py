@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from lonja.catalog import general
+from lonja.catalog import general, home, trade
 from lonja.catalog.registry import Catalog
 
 CATALOG = Catalog()
-for module in (general,):
+for module in (general, trade, home):
     module.register(CATALOG)

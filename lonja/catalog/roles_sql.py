@@ -77,6 +77,8 @@ CTES = {
     "r_receipts": """SELECT 'R' || po_id AS receipt_id, po_id, r_po.supplier_id, name AS supplier_name, received_on
         FROM r_po LEFT JOIN r_suppliers ON r_suppliers.supplier_id = r_po.supplier_id WHERE received_on IS NOT NULL""",
     "r_events": "SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
+    "r_timed": f"""SELECT event_id AS ticket_id, CAST(user_id % 25 AS VARCHAR) AS store, CAST(ts AS DATE) AS sale_date, hour(ts) AS hour,
+        CASE WHEN event_type = 'error' THEN -CAST(value {D} ELSE CAST(value {D} END AS net, event_type <> 'error' AS is_sale FROM events""",
     "r_run_tables": """SELECT event_id AS entry_id, user_id AS run_id, event_type || '_' || (k % 4) AS feed, ts AS started_at,
         CAST(floor(value * 1000) AS BIGINT) AS duration_ms, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status,
         CASE WHEN event_type = 'error' THEN 0 ELSE k END AS rows_synced FROM r_events""",

@@ -183,3 +183,9 @@ def spine(spark: SparkSession, name: str, lo: dt.date, hi: dt.date, unit: str =
 
 def hours(spark: SparkSession, name: str = "hour") -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(23))).alias(name))
+
+
+def iso_week_last_year(monday: dt.date) -> dt.date:
+    """Driver-side twin of :func:`same_iso_week_last_year`."""
+    year, week, _ = monday.isocalendar()
+    return start_of(dt.date(year - 1, 1, 4), "week") + DAY * 7 * (week - 1)

@@ -308,3 +308,15 @@ def _cached(app: str, spark_id: int, path: str) -> TpchStar:
 def tpch_star(spark: SparkSession, path: str) -> TpchStar:
     """One binding per session and folder, so that schemas are resolved once."""
     return _cached(spark.sparkContext.applicationId, id(spark), path)
+
+
+def intraday_star(star: TpchStar) -> Star:
+    """Event stream read as timed tickets (an error is a return), for the reports that need the hour."""
+    from lonja.sources.star import FrameStar
+
+    tickets = star.raw("events").select(
+        F.col("event_id").alias("ticket_id"), (F.col("user_id") % 25).cast("string").alias("store"),
+        F.to_date("ts").alias("sale_date"), F.hour("ts").alias("hour"),
+        F.when(F.col("event_type") == "error", -money("value")).otherwise(money("value")).cast("decimal(15,2)").alias("net"),
+        F.col("user_id").alias("customer_id"), (F.col("event_type") != "error").alias("is_sale"), month_of("ts").alias("month"))
+    return FrameStar(star.spark, {"tickets": tickets, "stores": star.stores}, star.ghost_store)
