@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from lonja.catalog import general, home, trade
+from lonja.catalog import analyses, general, home, questions, review, trade
 from lonja.catalog.registry import Catalog
 
 CATALOG = Catalog()
-for module in (general, trade, home):
+for module in (general, trade, home, review, questions, analyses):
     module.register(CATALOG)

@@ -15,3 +15,8 @@ IN30 = f"BETWEEN {LO} AND {HI}"
 LY30 = "BETWEEN DATE '2000-05-17' AND DATE '2000-06-15'"
 PREV30 = "BETWEEN DATE '2001-04-17' AND DATE '2001-05-16'"
 assert LAST_30 == Range(dt.date(2001, 5, 17), AS_OF) and WEEK.lo == dt.date(2001, 6, 4)
+
+
+def money_avg(total: str, n: str) -> str:
+    """SQL for an amount per count, rounded half up to cents in whole numbers."""
+    return f"CASE WHEN {n} > 0 THEN ((2 * CAST({total} * 100 AS HUGEINT) + {n}) // (2 * {n})) / 100.0 END"

@@ -57,7 +57,9 @@ def change_ratio_or_null(now: Column | str, before: Column | str) -> Column:
 
 
 def average_ticket(sales: Column | str, tickets: Column | str, digits: int = 2) -> Column:
-    return F.round(ratio(sales, tickets), digits)
+    """Money per ticket, divided and rounded as decimal so that half cents round up exactly."""
+    n = _c(tickets).cast("decimal(14,0)")
+    return F.round(_c(sales).cast("decimal(24,2)") / F.when(n != 0, n), digits)
 
 
 def invoice_net() -> Column:

@@ -36,8 +36,21 @@ class TableSpec:
         return [c for c in self.columns if c not in df.columns]
 
 
-def _spec(name: str, ddl: str, key: str = "", month: str | None = None) -> TableSpec:
-    return TableSpec(name, T.StructType.fromDDL(ddl), tuple(key.split()), month)
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "int": T.IntegerType(), "long": T.LongType(),
+          "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("decimal"):
+        precision, scale = text[len("decimal("):-1].split(",")
+        return T.DecimalType(int(precision), int(scale))
+    return _TYPES[text]
+
+
+def _spec(name: str, columns: str, key: str = "", month: str | None = None) -> TableSpec:
+    """Columns as "name type, name type"; needs no running session."""
+    fields = [T.StructField(n, _type(t)) for n, t in (c.split() for c in columns.split(", "))]
+    return TableSpec(name, T.StructType(fields), tuple(key.split()), month)
 
 
 _K, _M, _U = "decimal(20,3)", "decimal(15,2)", "decimal(10,2)"

@@ -142,6 +142,11 @@ class TpchStar(Star):
             money("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("paid_on"), "store",
             (F.col("o_orderstatus") != "P").alias("is_collection"))
 
+    def payments_of(self, method_code: str) -> DataFrame:
+        """Customers who used a payment method."""
+        used = self.raw("orders").where(F.col("o_orderpriority").startswith(method_code))
+        return used.select(F.col("o_custkey").alias("customer_id"))
+
     # --- stock ---
 
     def _supplied_lines(self, columns: list[str]) -> DataFrame:
