@@ -83,7 +83,7 @@ CTES = {
         CAST(floor(value * 1000) AS BIGINT) AS duration_ms, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status,
         CASE WHEN event_type = 'error' THEN 0 ELSE k END AS rows_synced FROM r_events""",
     "r_runs": """SELECT run_id, MIN(started_at) AS started_at, MAX(started_at + to_milliseconds(duration_ms)) AS finished_at,
-        CAST(epoch_ms(MAX(started_at + to_milliseconds(duration_ms))) - epoch_ms(MIN(started_at)) AS BIGINT) AS duration_ms,
+        (epoch_us(MAX(started_at + to_milliseconds(duration_ms))) - epoch_us(MIN(started_at))) // 1000 AS duration_ms,
         COUNT(*) FILTER (WHERE status = 'ok') AS tables_ok, COUNT(*) FILTER (WHERE status <> 'ok') AS tables_failed,
         COUNT(*) AS total_tables, SUM(rows_synced) AS total_rows,
         CASE WHEN COUNT(*) FILTER (WHERE status <> 'ok') = 0 THEN 'success'

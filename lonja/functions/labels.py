@@ -48,8 +48,8 @@ def store_label() -> Column:
 
 
 def es_number(value: Column | str, digits: int = 0) -> Column:
-    """1234.5 -> "1.234,50"; NULL -> dash."""
-    return F.coalesce(F.translate(F.format_number(_c(value), digits), ",.", ".,"), F.lit(DASH))
+    """1234.5 -> "1.234,50", half up; NULL -> dash."""
+    return F.coalesce(F.translate(F.format_number(F.round(_c(value), digits), digits), ",.", ".,"), F.lit(DASH))
 
 
 def es_currency(value: Column | str, digits: int = 2, prefix: str = "€") -> Column:

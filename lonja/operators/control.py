@@ -49,10 +49,6 @@ def verdict(ok: Column, failed: Column) -> Column:
     return F.when(failed == 0, "success").when(ok == 0, "failed").otherwise("partial")
 
 
-def _millis(column: str) -> Column:
-    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / 1000)
-
-
 def summarise_runs(run_tables: DataFrame) -> DataFrame:
     """One row per run from its per-table ledger: span, counts, rows and verdict."""
     finished = F.col("started_at") + F.make_interval(secs=F.col("duration_ms") / 1000)
@@ -61,7 +57,7 @@ def summarise_runs(run_tables: DataFrame) -> DataFrame:
         F.min("started_at").alias("started_at"), F.max(finished).alias("finished_at"),
         F.count_if(ok).alias("tables_ok"), F.count_if(~ok).alias("tables_failed"),
         F.count(F.lit(1)).alias("total_tables"), F.sum("rows_synced").alias("total_rows"))
-    return counted.select("*", (_millis("finished_at") - _millis("started_at")).alias("duration_ms"),
+    return counted.select("*", _span_ms("started_at", F.col("finished_at")).alias("duration_ms"),
                           verdict(F.col("tables_ok"), F.col("tables_failed")).alias("status"))
 
 
