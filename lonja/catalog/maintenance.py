@@ -102,6 +102,9 @@ def _merge(c: Catalog) -> None:
     c.add("a13_insert_ignore", LINE_COLUMNS, lambda s: merge.insert_ignore(_line_table(s), _changes(s), key), f"""
         WITH {CHANGES_SQL} SELECT * FROM t UNION ALL SELECT * FROM n""")
     c.add("a14_append", LINE_COLUMNS, lambda s: _appended(s), f"WITH {CHANGES_SQL} SELECT * FROM t UNION ALL SELECT * FROM n")
+    c.add("a12_monthly_merge", LINE_COLUMNS + ", month l", _merged_months, f"""
+        WITH {CHANGES_SQL} SELECT *, year(l_shipdate) * 100 + month(l_shipdate) AS month FROM (SELECT * FROM t WHERE l_orderkey % 2 <> 0 OR year(l_shipdate) <> 2001
+            UNION ALL SELECT * FROM d WHERE year(l_shipdate) = 2001 UNION ALL SELECT * FROM n WHERE year(l_shipdate) = 2001)""")
     c.add("a15_full_refresh", LINE_COLUMNS, lambda s: _refreshed(s), f"WITH {CHANGES_SQL} SELECT * FROM n")
     c.add("a16_replace_children", "l_orderkey l, l_linenumber l, qty l", lambda s: merge.replace_children(
         _line_table(s), s.raw("orders").where("o_orderdate >= '2001-05-31'").select(F.col("o_orderkey").alias("l_orderkey")),
@@ -118,6 +121,16 @@ def _merge(c: Catalog) -> None:
             CASE WHEN run_id % 10 = 0 THEN (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(started_at)) // 1000 ELSE duration_ms END AS duration_ms FROM r_runs""")
 
 
+def _merged_months(s):
+    """Merge the 2001 changes into a table kept by month: the folders of other years are not touched."""
+    month = P.month_of("l_shipdate").alias("month")
+    table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "monthly"), partition="month")
+    table.full_refresh(_line_table(s).select("*", month))
+    changed = _changes(s).where("year(l_shipdate) = 2001").select("*", month)
+    table.merge(changed, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    return table.read()
+
+
 def _refreshed(s):
     """Publish one version, replace it by another, read the current one."""
     table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "refresh"))

@@ -29,8 +29,7 @@ LOG = """log AS (SELECT query_id, query, COUNT(*) AS calls, SUM(CAST(value AS DE
 TOKENS = "list_sort(list_distinct(regexp_extract_all(lower({0}), '{1}')))"
 CHATS = """msg AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN turn % 3 ELSE 0 END AS calls,
     length(text) + CASE WHEN turn % 2 = 1 THEN length(text) * 2 ELSE 0 END AS tokens FROM conversations)"""
-SECRET = r'token = "[0-9a-f]{40}"'
-SECRET_RULE = ((r'(token\s*=\s*)"[0-9a-f]{40}"', '$1"[redacted]"'), (r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "[email]"))
+SECRET_RULE = ((r'(token\s*=\s*)"[0-9a-f]{40}"', '$1"[redacted]"', "token"), (r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "[email]", "@"))
 RATES = (("small", 0.25, 1.25, 0.3, 0.03), ("large", 3.0, 15.0, 3.75, 0.3), ("huge", 15.0, 75.0, 18.75, 1.5))
 DEFAULT_RATE = (3.0, 15.0, 3.75, 0.3)
 WORDS = "[a-z0-9]+"

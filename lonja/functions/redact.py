@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,17 +11,18 @@ REDACTED = "[redacted]"
 
 # What counts as a secret and what replaces it, most specific rule first.
 # Java regex; a replacement may keep a captured scheme or key name, never the secret.
-RULES: tuple[tuple[str, str], ...] = (
-    (r'(?i)\bAuthorization\s*:\s*(Bearer|Basic|Token|Digest)\s+(?!\[)[^\s,"\r\n]+', "Authorization: $1 [redacted]"),
-    (r"(?i)\bBearer\s+(?!\[)[A-Za-z0-9._\-+/=]{8,}", "Bearer [redacted]"),
-    (r'(?i)\bAuthorization\s*:\s*(?!Bearer\b|Basic\b|Token\b|Digest\b|\[)[^\s",]+', "Authorization: [redacted]"),
-    (r"\bsk-ant-[A-Za-z0-9_\-]{8,}", "[redacted]"),
-    (r"\bsk-[A-Za-z0-9_\-]{16,}", "[redacted]"),
-    (r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "[redacted]"),
-    (r"(?i)postgres(?:ql)?://[^\s'\"<>]*", "postgres://[redacted]"),
-    (r":[^@\s'\"]+@", ":[redacted]@"),
-    (r"(?i)password\s*=\s*[^\s&'\"]+", "password=[redacted]"),
-    (r'"(refresh_token|access_token|refreshToken|accessToken)"\s*:\s*"[^"]*"', '"$1": "[redacted]"'),
+# The third value is a lower-case text without which the rule cannot match.
+RULES: tuple[tuple[str, str, str], ...] = (
+    (r'(?i)\bAuthorization\s*:\s*(Bearer|Basic|Token|Digest)\s+(?!\[)[^\s,"\r\n]+', "Authorization: $1 [redacted]", "authorization"),
+    (r"(?i)\bBearer\s+(?!\[)[A-Za-z0-9._\-+/=]{8,}", "Bearer [redacted]", "bearer"),
+    (r'(?i)\bAuthorization\s*:\s*(?!Bearer\b|Basic\b|Token\b|Digest\b|\[)[^\s",]+', "Authorization: [redacted]", "authorization"),
+    (r"\bsk-ant-[A-Za-z0-9_\-]{8,}", "[redacted]", "sk-ant-"),
+    (r"\bsk-[A-Za-z0-9_\-]{16,}", "[redacted]", "sk-"),
+    (r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "[redacted]", "eyj"),
+    (r"(?i)postgres(?:ql)?://[^\s'\"<>]*", "postgres://[redacted]", "postgres"),
+    (r":[^@\s'\"]+@", ":[redacted]@", "@"),
+    (r"(?i)password\s*=\s*[^\s&'\"]+", "password=[redacted]", "password"),
+    (r'"(refresh_token|access_token|refreshToken|accessToken)"\s*:\s*"[^"]*"', '"$1": "[redacted]"', "token"),
 )
 
 # Attribute keys that never leave the pipeline (fixed values).
@@ -36,14 +36,24 @@ DENIED_ATTRIBUTES = (
 )
 
 
-def redact(text: Column | str, extra_rules: Sequence[tuple[str, str]] = (), literals: Sequence[str] = ()) -> Column:
+# A pattern that matches nothing and costs one fast literal search.
+_NOTHING = "\u0000\u0000nothing\u0000\u0000"
+
+
+def redact(text: Column | str, extra_rules: Sequence[tuple[str, ...]] = (), literals: Sequence[str] = ()) -> Column:
     """Replace secrets in a text column; a second pass changes nothing.  NULL becomes the empty text.
 
+    Most texts hold no secret, so a rule runs its pattern only where the text contains what the
+    rule needs.  Extra rules are (pattern, replacement) or (pattern, replacement, needed text).
     ``literals`` are secret values to remove verbatim; those under 8 characters are ignored.
     """
-    out = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    for pattern, replacement in (*RULES, *extra_rules):
-        out = F.regexp_replace(out, pattern, replacement)
+    source = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    lowered, out = F.lower(source), source
+    for pattern, replacement, *needed in (*RULES, *extra_rules):
+        chosen = F.lit(pattern)
+        if needed:
+            chosen = F.when(F.contains(lowered, F.lit(needed[0])), F.lit(pattern)).otherwise(F.lit(_NOTHING))
+        out = F.regexp_replace(out, chosen, F.lit(replacement))
     for literal in literals:
         if len(literal.strip()) >= 8:
             out = F.replace(out, F.lit(literal.strip()), F.lit(REDACTED))
@@ -64,8 +74,5 @@ def fingerprint(text: Column | str, token_pattern: str = r"\bps_[a-z_]+") -> Col
     """Sorted distinct tokens of a text that match a pattern (by default mirror table names)."""
     tokens = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text),
                                   F.lit(token_pattern), F.lit(0))
-    return F.array_sort(F.array_distinct(tokens))
-
+    return F.sort_array(F.array_distinct(tokens))
 
-def escape_literal(text: str) -> str:
-    return re.escape(text)

@@ -1,13 +1,14 @@
 """Incremental table maintenance as DataFrame -> DataFrame operators, plus a versioned parquet store.
 
-The frame operators only build plans.  ``VersionedTable`` publishes a result: it writes a
-new folder and then moves a small pointer, so readers see either the old or the new table
-and a lost executor or a failed job leaves the old one in place.
+The frame operators only build plans.  ``VersionedTable`` publishes a result: it writes new
+folders and then a small manifest, so readers see either the old or the new table and a lost
+executor or a failed job leaves the old one in place.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -72,66 +73,117 @@ def replace_children(lines: DataFrame, changed_parents: DataFrame, new_lines: Da
 
 
 class VersionedTable:
-    """Parquet table under one root: version folders and a pointer row naming the current one."""
+    """Parquet table whose current content is named by a small manifest.
 
-    def __init__(self, spark: SparkSession, root: str):
+    Data folders are never changed once written; a new manifest, put in place by one rename,
+    makes them visible.  With a partition column (a calendar key such as YYYYMM) the manifest
+    names one folder per value, and a merge rewrites only the values it touches.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, partition: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.partition = partition
+        self._data = f"{self.root}/data"
+        self._manifests = f"{self.root}/manifest"
+
+    # --- manifest ---
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _pointers(self) -> list[tuple[int, str]]:
+    def _latest(self) -> tuple[int, dict[str, str]]:
+        """Number and content of the newest manifest: partition value -> version folder."""
         fs, path = self._fs()
-        folder = path(f"{self.root}/_current")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted((int(n.split("_")[0]), n.split("_", 1)[1]) for n in names)
+        folder = path(self._manifests)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        if not numbers:
+            return 0, {}
+        stream = fs.open(path(f"{self._manifests}/{numbers[-1]}.json"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return numbers[-1], json.loads(text)
+
+    def _commit(self, number: int, entries: dict[str, str]) -> None:
+        fs, path = self._fs()
+        fs.mkdirs(path(self._manifests))
+        draft = path(f"{self._manifests}/.draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(entries).encode()))
+        stream.close()
+        target = path(f"{self._manifests}/{number}.json")
+        if fs.exists(target) or not fs.rename(draft, target):
+            raise RuntimeError("another writer published this version")
 
     @property
-    def current_path(self) -> str | None:
-        pointers = self._pointers()
-        return f"{self.root}/{pointers[-1][1]}" if pointers else None
+    def exists(self) -> bool:
+        return bool(self._latest()[0])
+
+    # --- reading ---
+
+    def _read(self, entries: dict[str, str]) -> DataFrame:
+        if not self.partition:
+            return self.spark.read.parquet(f"{self._data}/version={entries['']}")
+        folders = [f"{self._data}/{self.partition}={value}/version={version}" for value, version in entries.items()]
+        return self.spark.read.option("basePath", self._data).parquet(*folders).drop("version")
 
     def read(self) -> DataFrame:
-        if self.current_path is None:
+        number, entries = self._latest()
+        if not number:
             raise FileNotFoundError(self.root)
-        return self.spark.read.parquet(self.current_path)
-
-    def publish(self, df: DataFrame, partition_by: Iterable[str] = ()) -> str:
-        """Write ``df`` as the next version and make it current.  An empty frame empties the table."""
-        version = f"v-{uuid.uuid4().hex}"
-        columns = list(partition_by)
-        writer = df.write.mode("errorifexists")
-        (writer.partitionBy(*columns) if columns else writer).parquet(f"{self.root}/{version}")
-        pointers = self._pointers()
-        number = pointers[-1][0] + 1 if pointers else 1
+        return self._read(entries)
+
+    # --- writing ---
+
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        """Write rows as new folders and return their manifest entries."""
+        version = uuid.uuid4().hex
+        if not self.partition:
+            df.write.mode("errorifexists").parquet(f"{self._data}/version={version}")
+            return {"": version}
+        # rebalance splits a partition value that holds most of the rows over many tasks
+        stamped = df.withColumn("version", F.lit(version)).hint("rebalance", F.col(self.partition))
+        stamped.write.mode("append").partitionBy(self.partition, "version").parquet(self._data)
         fs, path = self._fs()
-        # creating the pointer file is the atomic step; two writers of the same number collide here
-        if not fs.createNewFile(path(f"{self.root}/_current/{number}_{version}")):
-            raise RuntimeError("another writer published this version")
-        return version
+        found = fs.globStatus(path(f"{self._data}/{self.partition}=*/version={version}")) or []
+        return {s.getPath().getParent().getName().split("=", 1)[1]: version for s in found}
 
-    def full_refresh(self, df: DataFrame, partition_by: Iterable[str] = ()) -> str:
-        return self.publish(df, partition_by)
+    def full_refresh(self, df: DataFrame) -> None:
+        """Replace the whole content.  An empty frame empties an unpartitioned table."""
+        number, _ = self._latest()
+        self._commit(number + 1, self._write(df))
 
     def merge(self, changes: DataFrame, keys: Iterable[str], order: Iterable[str] = (),
-              how: Callable[..., DataFrame] = upsert) -> str:
-        if self.current_path is None:
-            keys, order = list(keys), list(order)
-            first = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(keys)
-            return self.publish(first)
-        target = self.read()
-        return self.publish(how(target, changes, keys, order) if how is upsert else how(target, changes, keys))
+              how: Callable[..., DataFrame] = upsert, rows_may_move: bool = False) -> None:
+        """Apply a change set and publish the result.
 
-    def merge_months(self, changes: DataFrame, keys: Iterable[str], month_column: str, order: Iterable[str] = ()) -> DataFrame:
-        """Upsert plan that reads only the months the change set touches; the months are bounded by the calendar.
-
-        Returns the new content of those months, ready for a dynamic partition overwrite.
+        With a partition column only the touched values are read and rewritten.  Rows keep their
+        value by default; ``rows_may_move`` also looks for the changed keys under other values,
+        reading the key columns only.  The values are calendar keys, so the list is short.
         """
-        months = changes.select(month_column).distinct()
-        touched = self.read().join(F.broadcast(months), month_column, "left_semi")
-        return upsert(touched, changes, keys, order)
+        keys, order = list(keys), list(order)
+        number, entries = self._latest()
+        if not number:
+            first = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(keys)
+            self._commit(1, self._write(first))
+            return
+        touched = dict(entries)
+        if self.partition:
+            values = changes.select(self.partition)
+            if rows_may_move:
+                held = self.read().join(changes.select(*keys).distinct(), keys, "left_semi")
+                values = values.union(held.select(self.partition))
+            wanted = {str(r[0]) for r in values.distinct().collect()}
+            touched = {v: folder for v, folder in entries.items() if v in wanted}
+        if touched:
+            target = self._read(touched)
+            result = how(target, changes, keys, order) if how is upsert else how(target, changes, keys)
+        else:
+            result = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(keys)
+        emptied = {v: f for v, f in entries.items() if v not in touched}
+        self._commit(number + 1, {**emptied, **self._write(result)})

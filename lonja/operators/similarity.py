@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lonja.session import written
 
-def _sets(df: DataFrame, key: str, tokens: str) -> DataFrame:
+
+def _sets(df: DataFrame, key: str, tokens: str, span: DataFrame | None = None) -> DataFrame:
     """(key, sorted distinct tokens, hash of the set); empty sets never match anything."""
-    clean = F.array_sort(F.array_distinct(F.col(tokens)))
-    rows = df.select(F.col(key).alias("key"), clean.alias("tokens")).where(F.size("tokens") > 0)
+    clean = F.sort_array(F.array_distinct(F.col(tokens)))
+    # a one-element explode keeps the filters below from computing the tokens again
+    rows = df.select(F.col(key).alias("key"), F.explode(F.array(clean)).alias("tokens")).where(F.size("tokens") > 0)
+    if span is not None:
+        rows = (rows.crossJoin(F.broadcast(span)).where(F.size("tokens").between(F.col("lo"), F.col("hi")))
+                .select("key", "tokens"))
     return rows.withColumn("fp", F.md5(F.concat_ws("\u001f", "tokens")))
 
 
@@ -26,7 +32,7 @@ def _prefixes(sets: DataFrame, ranks: DataFrame, threshold: float, side: str) ->
     """
     keep = (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int")
     ranked = (sets.select("fp", "size", F.explode("tokens").alias("token")).join(ranks, "token")
-              .groupBy("fp", "size").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("t")))
+              .groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("t")))
     return ranked.select(F.col("fp").alias(f"{side}_fp"), F.col("size").alias(f"{side}_size"),
                          F.explode(F.slice("t", F.lit(1), keep)).alias("x")).select(
         f"{side}_fp", f"{side}_size", F.col("x.token").alias("token"))
@@ -37,13 +43,14 @@ def best_match(items: DataFrame, item_key: str, candidates: DataFrame, candidate
     """For every item the most similar candidate with Jaccard >= threshold; ties go to the lowest candidate key.
 
     Exact at any size: sets whose sizes rule out the threshold are dropped, equal sets are folded,
-    and pairs come only from shared rare tokens.  No candidate list is cut.
+    and pairs come only from shared rare tokens.  No candidate list is cut.  The token sets in
+    question are written out once, so that long texts are not cut into tokens again per branch.
     """
-    left, right = _sets(items, item_key, tokens), _sets(candidates, candidate_key, tokens)
-    b = _distinct_sets(right, F.min("key").alias("candidate"))
+    b = written(_distinct_sets(_sets(candidates, candidate_key, tokens), F.min("key").alias("candidate")), "candidates")
     span = b.agg((F.min("size") * threshold).alias("lo"), (F.max("size") / threshold).alias("hi"))
-    a = (_distinct_sets(left).crossJoin(F.broadcast(span))
-         .where(F.col("size").between(F.col("lo"), F.col("hi"))).drop("lo", "hi"))
+    # sizes first: sets that cannot reach the threshold are neither hashed nor shuffled
+    left = written(_sets(items, item_key, tokens, span), "items")
+    a = _distinct_sets(left)
     uses = (a.select(F.explode("tokens").alias("token")).unionByName(b.select(F.explode("tokens").alias("token")))
             .groupBy("token").agg(F.count(F.lit(1)).alias("uses")))
     pairs = (_prefixes(a, uses, threshold, "a").join(_prefixes(b, uses, threshold, "b"), "token")

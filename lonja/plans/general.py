@@ -115,13 +115,16 @@ def top_families(star: Star, r: Range, filters: Filters = NONE, k: int = 10) ->
 
 def stock_and_backlog(star: Star) -> DataFrame:
     """Stock units, stock value at cost and open wholesale orders."""
-    rows = star.stock.where(P.has_stock())
-    units = rows.agg(M.total("qty").alias("stock_units"))
-    per_item = rows.groupBy("item_id").agg(F.sum("qty").alias("qty"))
-    value = per_item.join(star.items.where("active"), "item_id").agg(
-        M.total(F.col("qty") * F.col("unit_cost")).alias("stock_value"))
     backlog = open_wholesale_orders(star).agg(F.count("order_id").alias("open_orders"))
-    return base.one_row(units, value, backlog)
+    return base.one_row(stock_worth(star), backlog)
+
+
+def stock_worth(star: Star) -> DataFrame:
+    """Units of positive stock and their value at cost (active items only), in one pass over the cells."""
+    per_item = star.stock.where(P.has_stock()).groupBy("item_id").agg(F.sum("qty").alias("qty"))
+    costs = star.items.where("active").select("item_id", "unit_cost")
+    return per_item.join(costs, "item_id", "left").agg(
+        M.total("qty").alias("stock_units"), M.total(F.col("qty") * F.col("unit_cost")).alias("stock_value"))
 
 
 def open_wholesale_orders(star: Star) -> DataFrame:

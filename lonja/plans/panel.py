@@ -84,9 +84,7 @@ def operations(star: Star, as_of: dt.date) -> DataFrame:
         M.total(M.invoice_net()).alias("wholesale_net"))
     backlog = general.open_wholesale_orders(star).agg(F.count("order_id").alias("open_wholesale"))
     purchases = star.purchase_orders.where("received_on IS NULL").agg(F.count(F.lit(1)).alias("open_purchases"))
-    per_item = star.stock.where(P.has_stock()).groupBy("item_id").agg(F.sum("qty").alias("qty"))
-    value = per_item.join(star.items.where("active"), "item_id").agg(
-        M.total(F.col("qty") * F.col("unit_cost")).alias("stock_value"))
+    value = general.stock_worth(star).select("stock_value")
     return base.one_row(billed, backlog, purchases, value)
 
 

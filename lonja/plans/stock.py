@@ -24,12 +24,14 @@ def _stock_by(star: Star, filters: Filters, *keys: str) -> DataFrame:
 
 
 def kpis(star: Star, filters: Filters = NONE) -> DataFrame:
-    """Units in stores and in the central warehouse, value at cost and active references."""
-    units = base.stock_rows(star, filters).agg(M.total("qty").alias("store_units"))
+    """Units in stores and in the central warehouse, value at cost and active references; one pass over the cells."""
+    cells = base.stock_rows(star, filters).groupBy("item_id").agg(F.sum("qty").alias("qty"))
+    known = base.active_items(star, filters).select("item_id", "unit_cost", F.lit(True).alias("counts"))
+    sums = cells.join(known, "item_id", "left").agg(
+        M.total("qty").alias("store_units"), M.sum_if(F.col("counts"), F.col("qty") * F.coalesce("unit_cost", F.lit(0))).alias("value"),
+        F.count_if(F.col("counts")).alias("active_refs"))
     central = star.central_stock.agg(M.total("qty").alias("central_units"))
-    valued = _stock_by(star, filters).agg(
-        M.total(F.col("qty") * F.coalesce("unit_cost", F.lit(0))).alias("value"), F.count("item_id").alias("active_refs"))
-    return base.one_row(units, central, valued)
+    return base.one_row(sums, central)
 
 
 def by_store(star: Star, filters: Filters = NONE) -> DataFrame:
