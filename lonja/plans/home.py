@@ -217,17 +217,23 @@ def _bucket(unit: str) -> Column:
     return F.col("sale_date") if unit == "day" else T.week_start("sale_date") if unit == "week" else T.month_start("sale_date")
 
 
-def _series(star: Star, per_day: DataFrame, as_of: dt.date, sums: list[Column], names: list[str]) -> DataFrame:
-    """Zero-filled buckets of every card from one per-day frame; buckets join by equality, not by range."""
-    out = None
+def _series(star: Star, per_day: DataFrame, as_of: dt.date, names: list[str]) -> DataFrame:
+    """Zero-filled buckets of every card from one pass over a per-day frame.
+
+    Each day is stamped with its bucket in every series, so buckets meet by equality, not by range.
+    """
+    calendar = []
     for name, (unit, _) in SERIES.items():
-        start = _series_start(as_of, name)
-        filled = (T.spine(star.spark, "bucket", start, T.start_of(as_of, unit), unit)
-                  .join(per_day.where(F.col("sale_date") >= F.lit(start)).groupBy(_bucket(unit).alias("bucket")).agg(*sums),
-                        "bucket", "left"))
-        part = filled.select(F.lit(name).alias("series"), "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
-        out = part if out is None else out.unionByName(part)
-    return out
+        bucket, last = _series_start(as_of, name), T.start_of(as_of, unit)
+        while bucket <= last:
+            calendar.append((name, bucket))
+            bucket = T.step(bucket, unit, 1)
+    stamps = F.array(*[F.struct(F.lit(n).alias("series"), _bucket(unit).alias("bucket")) for n, (unit, _) in SERIES.items()])
+    sums = (per_day.withColumn("stamp", F.explode(stamps)).groupBy("stamp.series", "stamp.bucket")
+            .agg(*[F.sum(c).alias(c) for c in names]))
+    frame = star.spark.createDataFrame(calendar, "series string, bucket date")
+    return frame.join(sums, ["series", "bucket"], "left").select(
+        "series", "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 def first_series_day(as_of: dt.date) -> dt.date:
@@ -237,8 +243,8 @@ def first_series_day(as_of: dt.date) -> dt.date:
 def sales_series(star: Star, as_of: dt.date) -> DataFrame:
     """Last 7 days, 6 weeks, 5 months and the months of the year."""
     window = F.col("is_sale") & P.in_days("sale_date", first_series_day(as_of), T.end_of(as_of, "month"))
-    per_day = daily(star, window).groupBy("sale_date").agg(F.sum("net").alias("net"))
-    return _series(star, per_day, as_of, [F.sum("net").alias("value")], ["value"])
+    per_day = daily(star, window).groupBy("sale_date").agg(F.sum("net").alias("value"))
+    return _series(star, per_day, as_of, ["value"])
 
 
 def trends(series: DataFrame) -> DataFrame:
@@ -267,7 +273,7 @@ def margin_cards(star: Star, as_of: dt.date) -> DataFrame:
 def margin_series(star: Star, as_of: dt.date) -> DataFrame:
     window = P.in_days("sale_date", first_series_day(as_of), T.end_of(as_of, "month"))
     per_day = daily_margin(star, window).groupBy("sale_date").agg(F.sum("net").alias("net"), F.sum("cost").alias("cost"))
-    filled = _series(star, per_day, as_of, [F.sum("net").alias("net"), F.sum("cost").alias("cost")], ["net", "cost"])
+    filled = _series(star, per_day, as_of, ["net", "cost"])
     return filled.select("series", "bucket", F.coalesce(M.margin_share("net", "cost"), F.lit(0.0)).alias("margin"))
 
 
