@@ -125,9 +125,9 @@ def _customers(c: Catalog) -> None:
     c.add("e10_12_unique_customers", "customers l, anonymous l, tickets l", lambda s: q.unique_customers(s, LAST_30), f"""
         SELECT COUNT(DISTINCT customer_id) AS customers, SUM(CASE WHEN customer_id = 0 THEN 1 ELSE 0 END) AS anonymous, COUNT(*) AS tickets
         FROM r_tickets WHERE is_sale AND sale_date {IN30}""")
-    c.add("e10_12_new_customers", "customers l, retail l, wholesale l", lambda s: q.new_customers(s, Range(dt.date(1998, 1, 1), dt.date(1998, 12, 31))), f"""
+    c.add("e10_12_new_customers", "customers l, retail l, wholesale l", lambda s: q.new_customers(s, Range(dt.date(1995, 3, 1), dt.date(1995, 12, 31))), f"""
         SELECT COUNT(*) AS customers, SUM(CASE WHEN NOT is_wholesale THEN 1 ELSE 0 END) AS retail, SUM(CASE WHEN is_wholesale THEN 1 ELSE 0 END) AS wholesale
-        FROM r_customers WHERE created_on BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'""")
+        FROM r_customers WHERE created_on BETWEEN DATE '1995-03-01' AND DATE '1995-12-31'""")
     c.add("e10_12_purchase_frequency", "segment s, customers l", lambda s: q.purchase_frequency(s, YTD), f"""
         SELECT CASE WHEN n = 1 THEN '1 compra' WHEN n BETWEEN 2 AND 3 THEN '2-3 compras' WHEN n BETWEEN 4 AND 10 THEN '4-10 compras' ELSE 'Más de 10' END AS segment,
             COUNT(*) AS customers FROM (SELECT customer_id, COUNT(DISTINCT ticket_id) AS n FROM r_tickets WHERE {known} GROUP BY 1) GROUP BY 1""")

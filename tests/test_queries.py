@@ -35,5 +35,9 @@ def test_no_cartesian_products(spark):
 
 
 def test_dates_and_columns_reach_the_scan(spark):
-    plan = QUERIES["e2_8_sales_by_store"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        plan = QUERIES["e2_8_sales_by_store"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(o_orderdate,2001-05-17" in plan and "o_orderpriority" not in plan
