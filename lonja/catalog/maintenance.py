@@ -163,7 +163,7 @@ def _filters(c: Catalog) -> None:
         ('current_day_', 0, 0), ('current_week_', 4, 0), ('current_month_', 14, 0), ('current_quarter_', 75, 0), ('current_year_', 165, 0),
         ('vs_previous_period', 59, 30), ('vs_previous_month', 75, 46), ('vs_previous_quarter', 165, 76), ('vs_previous_year', 531, 166), ('vs_yoy', 394, 365)"""
     def by_range(s):
-        spans = s.spark.createDataFrame(ranges, "name string, lo date, hi date")
+        spans = T.constants(s.spark, ranges, "name string, lo date, hi date")
         per_day = home.daily(s, F.col("is_sale") & F.col("sale_date").between(F.lit(min(r[1] for r in ranges)), F.lit(AS_OF))).groupBy("sale_date").agg(F.sum("net").alias("net"))
         days = spans.select("name", "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("sale_date"))
         return days.join(per_day, "sale_date", "left").groupBy("name", "lo", "hi").agg(F.coalesce(F.sum("net"), F.lit(0)).alias("net"))

@@ -9,6 +9,7 @@ from lonja.catalog.registry import Catalog
 from lonja.functions import labels as L
 from lonja.functions import metrics as M
 from lonja.functions import redact as R
+from lonja.functions.periods import constants
 from lonja.operators.similarity import best_match
 from lonja.plans import monitor as m
 from lonja.plans import review
@@ -100,7 +101,7 @@ def _usage(c: Catalog) -> None:
         SELECT *, CASE WHEN cache_read IS NOT NULL THEN CAST(cache_read AS DOUBLE) / CAST(prompt + COALESCE(cache_write, 0) + cache_read AS DOUBLE) * 100 END AS cache_hit_pct FROM g""")
     names = "(model, prompt_rate, completion_rate, write_rate, read_rate)"
     c.add("k11_call_cost", "id l, model s, call_cost d", lambda s: m.call_cost(
-        t.usage(s), s.spark.createDataFrame(list(RATES), "model string, prompt_rate double, completion_rate double, write_rate double, read_rate double"), DEFAULT_RATE)
+        t.usage(s), constants(s.spark, RATES, "model string, prompt_rate double, completion_rate double, write_rate double, read_rate double"), DEFAULT_RATE)
         .withColumn("call_cost", F.round("call_cost", 9)), f"""
         WITH {USAGE}, rates{names} AS (VALUES {', '.join(str(r) for r in RATES)})
         SELECT id, u.model, CASE WHEN COALESCE(provider, 'openrouter') = 'openrouter' THEN ROUND((CAST(prompt_tokens AS DOUBLE) * COALESCE(CAST(prompt_rate AS DOUBLE), 3.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,11 +179,18 @@ def spine(spark: SparkSession, name: str, lo: dt.date, hi: dt.date, unit: str =
     """One row per day, week or month.  Its size is fixed by the calendar, not by the data."""
     every = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[unit]
     bounds = F.sequence(F.lit(lo), F.lit(hi), F.expr(every))
-    return spark.range(1).select(F.explode(bounds).alias(name))
+    return spark.range(0, 1, 1, 1).select(F.explode(bounds).alias(name))
+
+
+def constants(spark: SparkSession, rows: Sequence[Sequence], columns: str) -> DataFrame:
+    """A few literal rows as a plan constant: no Python data source, and its size is known to the optimizer."""
+    fields = [c.split() for c in columns.split(", ")]
+    cells = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*cells)))
 
 
 def hours(spark: SparkSession, name: str = "hour") -> DataFrame:
-    return spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(23))).alias(name))
+    return spark.range(0, 1, 1, 1).select(F.explode(F.sequence(F.lit(0), F.lit(23))).alias(name))
 
 
 def iso_week_last_year(monday: dt.date) -> dt.date:

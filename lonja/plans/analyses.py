@@ -237,7 +237,7 @@ def magnitude_check(values: DataFrame, scopes: tuple[str, ...] = ()) -> DataFram
     divisor = 1.0
     for scope in scopes:
         divisor *= SCOPE_DIVISOR[scope]
-    bounds = values.sparkSession.createDataFrame(list(MAGNITUDES), "metric string, low double, high double")
+    bounds = T.constants(values.sparkSession, MAGNITUDES, "metric string, low double, high double")
     scaled = F.when(F.col("metric") == "average_ticket", 1.0).otherwise(divisor)
     checked = values.join(F.broadcast(bounds), "metric").withColumns({"low": F.col("low") / scaled, "high": F.col("high") / scaled})
     flag = F.when(F.col("value") == 0, "zero").when(F.col("value") > F.col("high") * 10, "too high").otherwise("plausible")

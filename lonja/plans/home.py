@@ -231,7 +231,7 @@ def _series(star: Star, per_day: DataFrame, as_of: dt.date, names: list[str]) ->
     stamps = F.array(*[F.struct(F.lit(n).alias("series"), _bucket(unit).alias("bucket")) for n, (unit, _) in SERIES.items()])
     sums = (per_day.withColumn("stamp", F.explode(stamps)).groupBy("stamp.series", "stamp.bucket")
             .agg(*[F.sum(c).alias(c) for c in names]))
-    frame = star.spark.createDataFrame(calendar, "series string, bucket date")
+    frame = T.constants(star.spark, calendar, "series string, bucket date")
     return frame.join(sums, ["series", "bucket"], "left").select(
         "series", "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
@@ -309,12 +309,12 @@ def weekly_pairs(star: Star, as_of: dt.date, *by: str, weeks: int = 16) -> DataF
     window = _any([Range(min(mondays), max(mondays) + DAY * 6), Range(min(twins), max(twins) + DAY * 6)])
     per_week = (daily(star, F.col("is_sale") & window).withColumn("week", T.week_start("sale_date"))
                 .groupBy("week", *by).agg(F.sum("net").alias("net")))
-    sides = star.spark.createDataFrame(
-        [(p, monday, True) for p, monday, _ in calendar] + [(p, twin, False) for p, _, twin in calendar],
+    sides = T.constants(
+        star.spark, [(p, monday, True) for p, monday, _ in calendar] + [(p, twin, False) for p, _, twin in calendar],
         "position int, week date, is_now boolean")
     matched = per_week.join(F.broadcast(sides), "week").groupBy("position", *by).agg(
         M.sum_if(F.col("is_now"), "net").alias("now"), M.sum_if(~F.col("is_now"), "net").alias("last_year"))
-    frame = star.spark.createDataFrame([(p, monday) for p, monday, _ in calendar], "position int, week date")
+    frame = T.constants(star.spark, [(p, monday) for p, monday, _ in calendar], "position int, week date")
     if by:
         recent = daily(star, F.col("is_sale") & P.in_days("sale_date", as_of - DAY * 30, as_of)).select(*by).distinct()
         frame = recent.crossJoin(F.broadcast(frame))

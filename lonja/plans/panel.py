@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lonja.functions import metrics as M
 from lonja.functions import predicates as P
-from lonja.functions.periods import DAY, Range, add_months, end_of, start_of
+from lonja.functions.periods import DAY, Range, add_months, constants, end_of, start_of
 from lonja.operators.ranking import top
 from lonja.plans import base, general
 from lonja.sources.star import Star
@@ -24,8 +24,8 @@ DOMAINS = {
 
 def hours_since_sync(watermarks: DataFrame, now: dt.datetime, domains: dict[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
     """Hours since the newest sync of each domain; NULL for a domain never synced."""
-    spark = watermarks.sparkSession
-    members = spark.createDataFrame([(d, f) for d, feeds in domains.items() for f in feeds], "domain string, feed string")
+    pairs = [(d, f) for d, feeds in domains.items() for f in feeds]
+    members = constants(watermarks.sparkSession, pairs, "domain string, feed string")
     newest = members.join(watermarks, "feed", "left").groupBy("domain").agg(F.max("last_sync_at").alias("last"))
     seconds = F.unix_micros(F.lit(now).cast("timestamp")) / 1e6 - F.unix_micros(F.col("last").cast("timestamp")) / 1e6
     return newest.select("domain", F.round(seconds / 3600.0, 1).alias("hours"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lonja.functions import metrics as M
 from lonja.functions import predicates as P
-from lonja.functions.periods import DAY, Range
+from lonja.functions.periods import DAY, Range, constants
 from lonja.operators.ranking import top
 from lonja.plans import base
 from lonja.sources.star import Star
@@ -122,7 +122,7 @@ def purchases(star: Star, week: Range) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"), F.sum("net").alias("net"))
     lines = per_order.groupBy("week").agg(F.count("po_id").alias("orders_with_lines"), F.sum("n").alias("lines"),
                                           F.sum("units").alias("units"), F.sum("net").alias("net"))
-    weeks = star.spark.createDataFrame([(n,) for n in spans], "week string")
+    weeks = constants(star.spark, [(n,) for n in spans], "week string")
     return weeks.join(orders, "week", "left").join(lines, "week", "left").na.fill(0)
 
 
