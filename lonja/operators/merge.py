@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonja.session import written
+
 
 def delta_filter(df: DataFrame, ts_column: str, watermark: dt.datetime | None, lookback_days: int = 1,
                  include_nulls: bool = False) -> DataFrame:
@@ -162,28 +164,29 @@ class VersionedTable:
               how: Callable[..., DataFrame] = upsert, rows_may_move: bool = False) -> None:
         """Apply a change set and publish the result.
 
+        The change set is reduced to one row per key and written out once: it is read several
+        times, and its known size lets the optimizer broadcast it when it is small, so that the
+        target is not shuffled for a few changes.
+
         With a partition column only the touched values are read and rewritten.  Rows keep their
         value by default; ``rows_may_move`` also looks for the changed keys under other values,
         reading the key columns only.  The values are calendar keys, so the list is short.
         """
         keys, order = list(keys), list(order)
         number, entries = self._latest()
+        fresh = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(keys)
         if not number:
-            first = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(keys)
-            self._commit(1, self._write(first))
+            self._commit(1, self._write(fresh))
             return
+        fresh = written(fresh, "changes")
         touched = dict(entries)
         if self.partition:
-            values = changes.select(self.partition)
+            values = fresh.select(self.partition)
             if rows_may_move:
-                held = self.read().join(changes.select(*keys).distinct(), keys, "left_semi")
+                held = self.read().join(fresh.select(*keys), keys, "left_semi")
                 values = values.union(held.select(self.partition))
             wanted = {str(r[0]) for r in values.distinct().collect()}
             touched = {v: folder for v, folder in entries.items() if v in wanted}
-        if touched:
-            target = self._read(touched)
-            result = how(target, changes, keys, order) if how is upsert else how(target, changes, keys)
-        else:
-            result = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(keys)
-        emptied = {v: f for v, f in entries.items() if v not in touched}
-        self._commit(number + 1, {**emptied, **self._write(result)})
+        result = how(self._read(touched), fresh, keys) if touched else fresh
+        untouched = {v: f for v, f in entries.items() if v not in touched}
+        self._commit(number + 1, {**untouched, **self._write(result)})

@@ -231,12 +231,14 @@ class TpchStar(Star):
             (F.col("l_returnflag") == "R").alias("credit_note"))
 
     def _wholesale_orders(self) -> DataFrame:
-        shipped = F.col("l_linestatus") == "F"
-        progress = self.raw("lineitem").groupBy("l_orderkey").agg(
-            F.sum(units("l_quantity")).cast("decimal(20,2)").alias("ordered"),
-            F.coalesce(F.sum(F.when(shipped, units("l_quantity"))), F.lit(0)).cast("decimal(20,2)").alias("delivered"))
-        head = self._orders_of(True)
-        return head.join(progress, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        qty, shipped = units("l_quantity"), F.col("l_linestatus") == "F"
+        lines = self.raw("lineitem").select("l_orderkey", "l_quantity", "l_linestatus")
+        head = self._orders_of(True).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+        sums = lines.join(head, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+            "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").agg(
+            F.sum(qty).cast("decimal(20,2)").alias("ordered"),
+            F.coalesce(F.sum(F.when(shipped, qty)), F.lit(0)).cast("decimal(20,2)").alias("delivered"))
+        return sums.select(
             F.col("o_orderkey").alias("order_id"), F.col("o_orderkey").alias("order_no"),
             F.col("o_custkey").alias("customer_id"), F.to_date("o_orderdate").alias("ordered_on"), "ordered", "delivered",
             (F.col("ordered") - F.col("delivered")).cast("decimal(20,2)").alias("pending"),
@@ -255,13 +257,14 @@ class TpchStar(Star):
     # --- purchasing: an order with several suppliers is one purchase order per supplier ---
 
     def _purchase_orders(self) -> DataFrame:
-        per_supplier = self.raw("lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+        # joined before grouping: a filter on the order date reaches the order scan, and the grouping
+        # reuses the partitioning of the join
+        lines = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_linestatus")
+        heads = self.raw("orders").select("o_orderkey", F.to_date("o_orderdate").alias("ordered_on"))
+        grouped = lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "l_suppkey", "ordered_on").agg(
             F.max("l_shipdate").alias("last_in"), F.bool_or(F.col("l_linestatus") == "O").alias("waiting"))
-        heads = self.raw("orders").select("o_orderkey", "o_orderdate")
-        return per_supplier.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            _po_id().alias("po_id"), F.col("l_suppkey").alias("supplier_id"),
-            F.to_date("o_orderdate").alias("ordered_on"),
-            F.when(~F.col("waiting"), F.to_date("last_in")).alias("received_on"))
+        return grouped.select(_po_id().alias("po_id"), F.col("l_suppkey").alias("supplier_id"), "ordered_on",
+                              F.when(~F.col("waiting"), F.to_date("last_in")).alias("received_on"))
 
     def _purchase_lines(self) -> DataFrame:
         return self.raw("lineitem").select(
