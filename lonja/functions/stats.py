@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,33 @@ def anomaly(df: DataFrame, value: str, order: str, keys: tuple[str, ...] = ()) -
 
     Two aggregations and no sort: partial aggregation absorbs a hot group.
     """
-    newest = F.max_by(F.struct(F.lit(True).alias("seen"), F.col(value).cast("double").alias("v")), order)
-    latest = df.groupBy(*keys).agg(F.max(order).alias("_newest"), newest["v"].alias("current"))
-    marked = (df.join(latest, list(keys)) if keys else df.crossJoin(F.broadcast(latest)))
-    history = marked.where(F.col(order) < F.col("_newest")).groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"),
-        F.stddev_pop(F.col(value).cast("double")).alias("sigma"))
-    joined = latest.join(history, list(keys), "left") if keys else latest.crossJoin(F.broadcast(history))
-    return joined.select(*keys, "current", "mean", "sigma", F.coalesce("n", F.lit(0)).alias("n"),
-                         *anomaly_columns(F.col("current"), F.col("mean"), F.col("sigma"), F.coalesce("n", F.lit(0))))
+    v = F.col(value).cast("double")
+    top = df.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("o"), v.alias("v"))).alias("_top"))
+    latest = top.select(*keys, F.col("_top.o").alias("_newest"), F.col("_top.v").alias("current"))
+    # null-safe conditions keep a NULL group, and leave both uses of the input equal down to the scan,
+    # so that Spark computes it once
+    is_older = F.coalesce(F.col(order) < F.col("_newest"), F.lit(False))
+    if not keys:
+        older = df.crossJoin(F.broadcast(latest)).where(is_older)
+        return _flagged(latest.crossJoin(F.broadcast(_spread(older, v))), ())
+    older = _null_safe(df, latest, keys, "inner").where(is_older)
+    return _flagged(_null_safe(latest, _spread(older, v, *keys), keys, "left"), keys)
+
+
+def _spread(history: DataFrame, v: Column, *keys: str) -> DataFrame:
+    return history.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sigma"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_{k}" for k in keys])
+
+
+def _flagged(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    n = F.coalesce("n", F.lit(0))
+    return df.select(*keys, "current", "mean", "sigma", n.alias("n"),
+                     *anomaly_columns(F.col("current"), F.col("mean"), F.col("sigma"), n))
 
 
 def leading_streak(position: Column, broken: Column) -> Column:

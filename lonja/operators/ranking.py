@@ -60,22 +60,36 @@ def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence
             .withColumn(name, F.col("_local") + F.col("_shift")).drop("_bucket", "_local", "_shift"))
 
 
-def share_of_total(df: DataFrame, value: str, name: str, digits: int = 1) -> DataFrame:
+def packed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows (unique by ``keys``) behind one opaque column.
+
+    A frame that is used twice is computed twice when each use keeps other columns of it.  Behind
+    this barrier every use needs all columns, the exchanges below are equal, and Spark runs them once.
+    """
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    return (df.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_row"))
+            .select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]))
+
+
+def share_of_total(df: DataFrame, keys: Sequence[str], value: str, name: str, digits: int = 1) -> DataFrame:
     """Percent of the column total, from a one-row total instead of a window over everything."""
-    whole = df.agg(F.sum(F.col(value)).cast("double").alias("_whole"))
+    rows = packed(df, keys)
+    whole = rows.agg(F.sum(F.col(value)).cast("double").alias("_whole"))
     share = F.round(F.col(value).cast("double") / F.when(F.col("_whole") != 0, F.col("_whole")) * 100, digits)
-    return df.crossJoin(F.broadcast(whole)).withColumn(name, share).drop("_whole")
+    return rows.crossJoin(F.broadcast(whole)).withColumn(name, share).drop("_whole")
 
 
-def normalise_to_max(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+def normalise_to_max(df: DataFrame, keys: Sequence[str], columns: Iterable[str]) -> DataFrame:
     """Each value over its column maximum (at least 0); text that is no number is ignored."""
-    columns = list(columns)
-    numbers = [F.greatest(F.coalesce(F.max(F.col(c).cast("string").try_cast("double")), F.lit(0.0)), F.lit(0.0)).alias(f"_max_{c}")
-               for c in columns]
-    tops = df.agg(*numbers)
-    scaled = {f"{c}_heat": F.when(F.col(f"_max_{c}") > 0, F.col(c).cast("string").try_cast("double") / F.col(f"_max_{c}"))
-              for c in columns}
-    return df.crossJoin(F.broadcast(tops)).withColumns(scaled).drop(*[f"_max_{c}" for c in columns])
+    rows, columns = packed(df, keys), list(columns)
+
+    def number(c: str) -> Column:
+        return F.col(c).cast("string").try_cast("double")
+
+    tops = rows.agg(*[F.greatest(F.coalesce(F.max(number(c)), F.lit(0.0)), F.lit(0.0)).alias(f"_max_{c}") for c in columns])
+    scaled = {f"{c}_heat": F.when(F.col(f"_max_{c}") > 0, number(c) / F.col(f"_max_{c}")) for c in columns}
+    return rows.crossJoin(F.broadcast(tops)).withColumns(scaled).drop(*[f"_max_{c}" for c in columns])
 
 
 def top_share(df: DataFrame, value: str, denominator: int = 10) -> DataFrame:

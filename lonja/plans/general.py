@@ -106,7 +106,7 @@ def top_families(star: Star, r: Range, filters: Filters = NONE, k: int = 10) ->
     families = sold.groupBy("family").agg(
         F.sum("net").alias("net"), F.sum("units").alias("units"), F.sum("cost").alias("cost"),
         F.sum("net_before").alias("net_before"), F.sum("net_ly").alias("net_ly")).where("net IS NOT NULL")
-    mixed = share_of_total(families, "net", "mix_pct")
+    mixed = share_of_total(families, ["family"], "net", "mix_pct")
     return top(mixed.select("family", "net", "units", M.margin_pct("net", "cost").alias("margin_pct"), "mix_pct",
                             M.change_pct("net", "net_before").alias("vs_previous_pct"),
                             M.change_pct("net", "net_ly").alias("vs_last_year_pct")),

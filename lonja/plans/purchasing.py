@@ -34,13 +34,14 @@ def _supplier_name():
 
 def kpis(star: Star, r: Range, filters: Filters = NONE) -> DataFrame:
     """Orders, suppliers, open orders, mean lead time of what arrived, and units ordered."""
-    placed = ordered_in(star, r, filters)
-    heads = placed.agg(F.count("po_id").alias("orders"), F.count_distinct("supplier_id").alias("suppliers"),
-                       F.count_if(F.col("received_on").isNull()).alias("open_orders"))
-    lead = received_in(star, r, filters).agg(F.coalesce(F.round(F.avg(lead_days()), 1), F.lit(0.0)).alias("lead_days"))
-    units = (star.purchase_lines.join(placed.select("po_id"), "po_id", "left_semi")
+    placed, arrived = P.in_days("ordered_on", r.lo, r.hi), P.in_days("received_on", r.lo, r.hi)
+    rows = filters.apply(star.purchase_orders.where(placed | (arrived & F.col("ordered_on").isNotNull())), "purchase_supplier")
+    heads = rows.agg(F.count_if(placed).alias("orders"), F.count_distinct(F.when(placed, F.col("supplier_id"))).alias("suppliers"),
+                     F.count_if(placed & F.col("received_on").isNull()).alias("open_orders"),
+                     F.coalesce(F.round(F.avg(F.when(arrived, lead_days())), 1), F.lit(0.0)).alias("lead_days"))
+    units = (star.purchase_lines.join(ordered_in(star, r, filters).select("po_id"), "po_id", "left_semi")
              .agg(M.total("units").alias("units")))
-    return base.one_row(heads, lead, units)
+    return base.one_row(heads, units)
 
 
 def by_supplier(star: Star, r: Range, filters: Filters = NONE, k: int = 10) -> DataFrame:

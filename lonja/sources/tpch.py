@@ -38,17 +38,30 @@ SCHEMAS = {
 WHOLESALE_SEGMENT = "MACHINERY"
 
 
+def _hundredths(column: str) -> Column:
+    return F.rint(F.col(column) * 100).cast("bigint")
+
+
+def _from_hundredths(n: Column, decimal_type: str) -> Column:
+    return (n.cast("decimal(17,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(decimal_type)
+
+
 def money(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast("decimal(15,2)")
+    """Exact decimal amount.  A double column goes through whole cents, which is faster than the text route of a cast."""
+    if isinstance(column, Column):
+        return column.cast("decimal(15,2)")
+    return _from_hundredths(_hundredths(column), "decimal(15,2)")
 
 
 def units(column: str) -> Column:
-    return F.col(column).cast("decimal(10,2)")
+    return _from_hundredths(_hundredths(column), "decimal(10,2)")
 
 
 def line_net() -> Column:
-    rate = 1 - F.col("l_discount").cast("decimal(4,2)")
-    return (money("l_extendedprice") * rate).cast("decimal(15,2)")
+    """Price less discount in whole cents, half a cent away from zero."""
+    exact = _hundredths("l_extendedprice") * (100 - _hundredths("l_discount"))
+    cents = F.floor((F.abs(exact) + 50) / 100) * F.signum(exact)
+    return _from_hundredths(cents.cast("bigint"), "decimal(15,2)")
 
 
 class TpchStar(Star):
@@ -150,19 +163,21 @@ class TpchStar(Star):
     # --- stock ---
 
     def _supplied_lines(self, columns: list[str]) -> DataFrame:
-        where_from = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"),
-                                                 F.col("s_nationkey").cast("string").alias("store"))
-        return self.raw("lineitem").select("l_suppkey", *columns).join(where_from, "l_suppkey")
+        where_from = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+        return self.raw("lineitem").select("l_suppkey", *columns).join(where_from, "l_suppkey").withColumn(
+            "store", F.col("s_nationkey").cast("string"))
 
     def _signed_qty(self) -> Column:
         q = F.col("l_quantity").cast("int")
         return F.sum(F.when(F.col("l_returnflag") == "R", -q).otherwise(q)).cast("int")
 
     def _stock(self) -> DataFrame:
+        """Cells per item, store and size; grouped by the source's integer keys, labelled afterwards."""
         rows = self._supplied_lines(["l_partkey", "l_linenumber", "l_quantity", "l_returnflag"])
-        return (rows.where(F.col("store") != self.ghost_store)
-                .groupBy(F.col("l_partkey").alias("item_id"), "store", F.col("l_linenumber").cast("string").alias("size"))
-                .agg(self._signed_qty().alias("qty")))
+        cells = (rows.where(F.col("store") != self.ghost_store).groupBy("l_partkey", "s_nationkey", "l_linenumber")
+                 .agg(self._signed_qty().alias("qty")))
+        return cells.select(F.col("l_partkey").alias("item_id"), F.col("s_nationkey").cast("string").alias("store"),
+                            F.col("l_linenumber").cast("string").alias("size"), "qty")
 
     def _central_stock(self) -> DataFrame:
         rows = self._supplied_lines(["l_partkey", "l_quantity", "l_returnflag"])

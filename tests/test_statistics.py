@@ -95,10 +95,10 @@ def test_best_match_against_brute_force(spark):
 
 def test_share_and_heat(spark, rows):
     df = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "k string, v double")
-    assert rows(ranking.share_of_total(df, "v", "pct")) == [("a", 3.0, 75.0), ("b", 1.0, 25.0)]
-    heat = ranking.normalise_to_max(spark.createDataFrame([("a", "4"), ("b", "x"), ("c", "-1")], "k string, v string"), ["v"])
+    assert rows(ranking.share_of_total(df, ["k"], "v", "pct")) == [("a", 3.0, 75.0), ("b", 1.0, 25.0)]
+    heat = ranking.normalise_to_max(spark.createDataFrame([("a", "4"), ("b", "x"), ("c", "-1")], "k string, v string"), ["k"], ["v"])
     assert rows(heat.select("k", "v_heat")) == [("a", 1.0), ("b", None), ("c", -0.25)]
-    assert rows(ranking.share_of_total(df.where("k = 'z'"), "v", "pct")) == []
+    assert rows(ranking.share_of_total(df.where("k = 'z'"), ["k"], "v", "pct")) == []
 
 
 def test_mixed_order_both_ways(spark):
