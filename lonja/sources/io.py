@@ -31,15 +31,15 @@ def read_jdbc(spark: SparkSession, url: str, query: str, *, partition_column: st
 def write_mirror(df: DataFrame, path: str, spec: TableSpec, mode: str = "overwrite") -> None:
     """Write a mirror table; facts are partitioned by their integer month so reports prune by folder.
 
-    Rows of a month are spread over many tasks: the hash covers the key as well as the month, so
-    a month holding most of the data is still written in parallel.
+    The rebalance hint gathers each month into few files, and lets adaptive execution split a
+    month that holds most of the rows over many tasks.
     """
-    writer = df.select(*spec.columns)
+    rows = df.select(*spec.columns)
     if spec.month_column:
-        (writer.write.mode(mode).partitionBy(spec.month_column).option("maxRecordsPerFile", 20_000_000)
-         .parquet(path))
+        rows = rows.hint("rebalance", F.col(spec.month_column))
+        rows.write.mode(mode).partitionBy(spec.month_column).parquet(path)
     else:
-        writer.write.mode(mode).option("maxRecordsPerFile", 20_000_000).parquet(path)
+        rows.write.mode(mode).parquet(path)
 
 
 def save_bucketed(df: DataFrame, table: str, keys: Iterable[str], buckets: int) -> None:

@@ -7,8 +7,6 @@ statistics are under the session threshold, and shuffles otherwise.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -323,14 +321,15 @@ def _po_id() -> Column:
     return F.concat_ws("-", "l_orderkey", "l_suppkey")
 
 
-@lru_cache(maxsize=8)
-def _cached(app: str, spark_id: int, path: str) -> TpchStar:
-    return TpchStar(SparkSession.active(), path)
+_STARS: dict[tuple, TpchStar] = {}
 
 
 def tpch_star(spark: SparkSession, path: str) -> TpchStar:
-    """One binding per session and folder, so that schemas are resolved once."""
-    return _cached(spark.sparkContext.applicationId, id(spark), path)
+    """One binding per session and folder, so that its plans are built once."""
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    if key not in _STARS:
+        _STARS[key] = TpchStar(spark, path)
+    return _STARS[key]
 
 
 def intraday_star(star: TpchStar) -> Star:
