@@ -112,7 +112,7 @@ def register(c: Catalog) -> None:
     c.add("e11_12_discount_summary", "avg_discount_pct d, net d, units d", lambda s: a.discount_summary(s, LAST_30),
           f"SELECT ROUND(CAST(SUM(discount) AS DOUBLE) / COUNT(discount) * 100, 4) AS avg_discount_pct, SUM(l.net) AS net, SUM(units) AS units {line_sales}")
     c.add("e11_13_growth_bands", "store s, now d, before d, yoy_pct d, band s",
-          lambda s: a.yoy_heat(q.store_sales(s, LAST_30), q.store_sales(s, year_before(LAST_30)), "store", "net"), f"""
+          lambda s: a.growth_bands(s, LAST_30, year_before(LAST_30)), f"""
         WITH n AS (SELECT store, SUM(net) AS now FROM r_tickets WHERE {SALE} AND sale_date {IN30} GROUP BY 1), b AS (SELECT store, SUM(net) AS before FROM r_tickets WHERE {SALE} AND sale_date {LY30} GROUP BY 1),
         j AS (SELECT n.store, now, before, ROUND(CAST(now - before AS DOUBLE) / NULLIF(ABS(CAST(before AS DOUBLE)), 0) * 100, 1) AS yoy_pct FROM n LEFT JOIN b ON b.store = n.store)
         SELECT *, CASE WHEN yoy_pct > 10 THEN 'strong growth' WHEN yoy_pct >= 0 THEN 'growth' WHEN yoy_pct >= -10 THEN 'decline' WHEN yoy_pct < -10 THEN 'strong decline' END AS band FROM j""")

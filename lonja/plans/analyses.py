@@ -194,10 +194,14 @@ def discount_summary(star: Star, r: Range, column: str = "discount") -> DataFram
     return sums.select(F.round(M.ratio("d", "n") * 100, 4).alias("avg_discount_pct"), "net", "units")
 
 
-def yoy_heat(now: DataFrame, before: DataFrame, key: str, value: str) -> DataFrame:
-    """Growth per key in four bands; a key without last year has no band."""
-    joined = now.select(key, F.col(value).alias("now")).join(before.select(key, F.col(value).alias("before")), key, "left")
-    grown = joined.withColumn("yoy_pct", M.change_pct("now", "before"))
+def growth_bands(star: Star, now: Range, before: Range) -> DataFrame:
+    """Growth per store in four bands, from one pass; a store without last year has no band."""
+    def within(r: Range) -> Column:
+        return P.in_days("sale_date", r.lo, r.hi)
+
+    rows = base.retail_tickets(star, None).where(within(now) | within(before)).groupBy("store").agg(
+        F.sum(F.when(within(now), F.col("net"))).alias("now"), F.sum(F.when(within(before), F.col("net"))).alias("before"))
+    grown = rows.where("now IS NOT NULL").withColumn("yoy_pct", M.change_pct("now", "before"))
     return grown.withColumn("band", M.heat_band("yoy_pct"))
 
 

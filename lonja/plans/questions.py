@@ -86,8 +86,14 @@ def returns(star: Star, r: Range) -> DataFrame:
 
 
 def year_comparison(star: Star, now: Range, before: Range) -> DataFrame:
-    out = total_sales(star, now).select(F.lit("Este año").alias("period"), "net", "tickets")
-    return out.unionByName(total_sales(star, before).select(F.lit("Año anterior").alias("period"), "net", "tickets"))
+    """Net and tickets of two ranges, one row each, from one pass."""
+    spans = {"Este año": now, "Año anterior": before}
+    rows = star.tickets.where(F.col("is_sale") & (_in(now) | _in(before)))
+    sums = rows.agg(*[e for i, r in enumerate(spans.values()) for e in (
+        F.sum(F.when(_in(r), F.col("net"))).alias(f"net_{i}"), F.count_if(_in(r)).alias(f"tickets_{i}"))])
+    cells = [F.struct(F.lit(n).alias("period"), F.col(f"net_{i}").alias("net"), F.col(f"tickets_{i}").alias("tickets"))
+             for i, n in enumerate(spans)]
+    return sums.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
 def store_year_comparison(star: Star, now: Range, before: Range) -> DataFrame:
