@@ -69,7 +69,7 @@ def signed_percent(fraction: Column | str) -> Column:
 def duration_text(ms: Column | str) -> Column:
     """850 -> "850ms", 65000 -> "1m 5s", 3 700 000 -> "1h 1m"; NULL -> dash."""
     ms = _c(ms).cast("bigint")
-    sec = F.expr("0") + F.floor(ms / 1000)
+    sec = F.floor(ms / 1000)
     h, m, s = F.floor(sec / 3600), F.floor(sec % 3600 / 60), sec % 60
     return (F.when(ms.isNull(), DASH)
             .when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))

@@ -20,12 +20,15 @@ RATE = T.DecimalType(5, 2)
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A maintained table: declared columns, primary key and pruning column."""
+    """A maintained table: declared columns, primary key and partition columns.
+
+    Facts are partitioned by month and day, so that a date filter and a YYYYMM filter both prune folders.
+    """
 
     name: str
     schema: T.StructType
     key: tuple[str, ...] = ()
-    month_column: str | None = None
+    partition_by: tuple[str, ...] = ()
     int16_columns: tuple[str, ...] = field(default=())
 
     @property
@@ -47,10 +50,10 @@ def _type(text: str) -> T.DataType:
     return _TYPES[text]
 
 
-def _spec(name: str, columns: str, key: str = "", month: str | None = None) -> TableSpec:
+def _spec(name: str, columns: str, key: str = "", partition_by: str = "") -> TableSpec:
     """Columns as "name type, name type"; needs no running session."""
     fields = [T.StructField(n, _type(t)) for n, t in (c.split() for c in columns.split(", "))]
-    return TableSpec(name, T.StructType(fields), tuple(key.split()), month)
+    return TableSpec(name, T.StructType(fields), tuple(key.split()), tuple(partition_by.split()))
 
 
 _K, _M, _U = "decimal(20,3)", "decimal(15,2)", "decimal(10,2)"
@@ -59,9 +62,9 @@ SPECS: dict[str, TableSpec] = {
     s.name: s
     for s in [
         _spec("tickets", f"ticket_id {_K}, store string, sale_date date, hour int, net {_M}, "
-              f"customer_id {_K}, is_sale boolean, month int", "ticket_id", "month"),
+              f"customer_id {_K}, is_sale boolean, month int", "ticket_id", "month sale_date"),
         _spec("lines", f"line_id {_K}, ticket_id {_K}, item_id string, sale_date date, units {_U}, net {_M}, "
-              f"cost {_M}, month int", "line_id", "month"),
+              f"cost {_M}, month int", "line_id", "month sale_date"),
         _spec("payments", f"payment_id {_K}, ticket_id {_K}, method string, method_code string, amount {_M}, "
               "paid_on date, store string, is_collection boolean", "payment_id"),
         _spec("items", f"item_id string, item_key {_K}, ref string, description string, family_id {_K}, "

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,9 @@ from lonja.model import TableSpec
 def project_rename(df: DataFrame, mapping: Mapping[str, str], spec: TableSpec | None = None) -> DataFrame:
     """Keep mapped columns only, under their new names and declared types; an absent source column is NULL.
 
-    Float record ids reach a decimal key through text, so no digit is lost.
+    Float record ids reach a decimal key through text, so no digit is lost.  A value that does not
+    fit its type becomes NULL instead of failing the feed; :func:`quarantine` then sets the row aside
+    if the column is required.
     """
     present = {c.lower(): c for c in df.columns}
     types = {f.name: f.dataType for f in spec.schema} if spec else {}
@@ -29,7 +31,7 @@ def project_rename(df: DataFrame, mapping: Mapping[str, str], spec: TableSpec |
         out = F.col(name)
         if isinstance(dtype, T.DecimalType) and isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
             out = out.cast("string")
-        return (out.cast(dtype) if dtype else out).alias(target)
+        return (out.try_cast(dtype) if dtype else out).alias(target)
 
     return df.select([column(s, t) for s, t in mapping.items()])
 
@@ -67,6 +69,14 @@ def decode_declared(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumns({c: decode_int16(c).cast(df.schema[c].dataType) for c in numeric})
 
 
+def _carrier(df: DataFrame, name: str) -> Column:
+    """A slot value as signed integer; NULL and non-numeric text count 0."""
+    raw = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.NumericType):
+        raw = raw.try_cast(T.DecimalType(20, 3))
+    return F.coalesce(decode_int16(raw).try_cast("int"), F.lit(0))
+
+
 def unpivot_slots(df: DataFrame, ids: Iterable[str], label_prefix: str, value_prefix: str, n: int = 34,
                   label: str = "size", value: str = "qty") -> DataFrame:
     """One wide row with ``n`` (label, value) slots -> one row per used slot.
@@ -76,7 +86,7 @@ def unpivot_slots(df: DataFrame, ids: Iterable[str], label_prefix: str, value_pr
     """
     slots = F.array(*[
         F.struct(F.trim(F.col(f"{label_prefix}{i}")).alias("l"),
-                 F.coalesce(decode_int16(F.col(f"{value_prefix}{i}").cast("int")), F.lit(0)).cast("int").alias("v"))
+                 _carrier(df, f"{value_prefix}{i}").alias("v"))
         for i in range(1, n + 1)])
     used = F.filter(slots, lambda s: s["l"] != "")
     return (df.select(*ids, F.explode(used).alias("slot"))
@@ -96,7 +106,7 @@ def unpivot_measures(df: DataFrame, ids: Iterable[str], label_prefix: str, value
 
 def sum_slots(df: DataFrame, key: str, prefix: str, n: int = 34, value: str = "qty") -> DataFrame:
     """Row-wise sum of decoded slots (NULL counts 0); rows with a NULL or 0 key are skipped."""
-    parts = [F.coalesce(decode_int16(F.col(f"{prefix}{i}").cast("int")), F.lit(0)) for i in range(1, n + 1)]
+    parts = [_carrier(df, f"{prefix}{i}") for i in range(1, n + 1)]
     others = [c for c in df.columns if c != key and not c.startswith(prefix)]
     return df.where(F.col(key) != 0).select(key, *others, reduce(add, parts).cast("int").alias(value))
 
@@ -111,6 +121,15 @@ def quarantine(df: DataFrame, required: Iterable[str]) -> tuple[DataFrame, DataF
     return df.where(ok), df.where(~ok)
 
 
+def quarantine_counted(df: DataFrame, required: Iterable[str], counts: Observation) -> DataFrame:
+    """The good rows; the numbers of good and bad rows arrive in the observation when the rows are written.
+
+    Counting rides on the pass that writes the rows, so the source is not read twice.
+    """
+    ok = key_present(required)
+    return df.observe(counts, F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad")).where(ok)
+
+
 def null_if_zero(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Optional foreign keys use 0 for "unassigned"; make that NULL."""
     return df.withColumns({c: F.nullif(F.col(c), F.lit(0)) for c in columns})

@@ -78,8 +78,9 @@ class VersionedTable:
     """Parquet table whose current content is named by a small manifest.
 
     Data folders are never changed once written; a new manifest, put in place by one rename,
-    makes them visible.  With a partition column (a calendar key such as YYYYMM) the manifest
-    names one folder per value, and a merge rewrites only the values it touches.
+    makes them visible.  With a partition column (a calendar key: a date, or YYYYMM) the manifest
+    names one folder per value; a merge rewrites only the values it touches, and a filter on the
+    column prunes folders.
     """
 
     def __init__(self, spark: SparkSession, root: str, partition: str | None = None):

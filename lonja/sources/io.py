@@ -29,15 +29,15 @@ def read_jdbc(spark: SparkSession, url: str, query: str, *, partition_column: st
 
 
 def write_mirror(df: DataFrame, path: str, spec: TableSpec, mode: str = "overwrite") -> None:
-    """Write a mirror table; facts are partitioned by their integer month so reports prune by folder.
+    """Write a mirror table in the layout of its spec.
 
-    The rebalance hint gathers each month into few files, and lets adaptive execution split a
-    month that holds most of the rows over many tasks.
+    The rebalance hint gathers each partition value into few files, and lets adaptive execution
+    split a value that holds most of the rows over many tasks.
     """
     rows = df.select(*spec.columns)
-    if spec.month_column:
-        rows = rows.hint("rebalance", F.col(spec.month_column))
-        rows.write.mode(mode).partitionBy(spec.month_column).parquet(path)
+    if spec.partition_by:
+        rows = rows.hint("rebalance", *[F.col(c) for c in spec.partition_by])
+        rows.write.mode(mode).partitionBy(*spec.partition_by).parquet(path)
     else:
         rows.write.mode(mode).parquet(path)
 

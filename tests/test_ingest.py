@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lonja.model import SPECS, TableSpec, _spec
@@ -127,10 +128,34 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.sql("DROP TABLE lj_lines")
 
 
-def test_month_partitions_prune(spark, tmp_path):
-    spec = _spec("t", "id int, month int", "id", "month")
-    df = spark.createDataFrame([(i, 202401 + i % 3) for i in range(30)], "id int, month int")
+def test_days_and_months_prune_folders(spark, tmp_path):
+    spec = _spec("t", "id int, sale_date date, month int", "id", "month sale_date")
+    days = [dt.date(2024, 1, 15) + dt.timedelta(days=i) for i in range(60)]
+    df = spark.createDataFrame([(i, d, d.year * 100 + d.month) for i, d in enumerate(days)], "id int, sale_date date, month int")
     io.write_mirror(df, str(tmp_path / "t"), spec)
-    read = spark.read.parquet(str(tmp_path / "t")).where("month BETWEEN 202401 AND 202402")
-    assert read.count() == 20
-    assert "PartitionFilters: [isnotnull(month" in read._jdf.queryExecution().executedPlan().toString()
+    read = spark.read.parquet(str(tmp_path / "t"))
+    by_day = read.where("sale_date BETWEEN DATE '2024-02-01' AND DATE '2024-02-10' OR sale_date = DATE '2024-03-01'")
+    assert by_day.count() == 11 and read.where("month = 202402").count() == 29
+    assert "PartitionFilters: [((" in by_day._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_ride_on_the_write(spark, tmp_path):
+    counts = Observation("feed")
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
+    ingest.quarantine_counted(df, ["k"], counts).write.parquet(str(tmp_path / "out"))
+    assert counts.get == {"good": 2, "bad": 1}
+
+
+def test_bad_values_do_not_fail_the_feed(spark, rows):
+    spec = _spec("t", "k decimal(20,3), d date")
+    df = spark.createDataFrame([("1.5", "2024-01-01"), ("oops", "2024-01-01"), ("2", "not a day")], "k string, d string")
+    good, bad = ingest.quarantine(ingest.project_rename(df, {"k": "k", "d": "d"}, spec), ["k"])
+    assert rows(good) == [(Decimal("1.500"), dt.date(2024, 1, 1)), (Decimal("2.000"), None)]
+    assert bad.count() == 1
+
+
+def test_fractional_and_text_carriers(spark, rows):
+    df = spark.createDataFrame([("A", "M", "65535", "L", "x")], "i string, t1 string, s1 string, t2 string, s2 string")
+    assert rows(ingest.unpivot_slots(df, ["i"], "t", "s", 2)) == [("A", "L", 0), ("A", "M", -1)]
+    df = spark.createDataFrame([("A", "M", 40000.5)], "i string, t1 string, s1 double")
+    assert rows(ingest.unpivot_slots(df, ["i"], "t", "s", 1)) == [("A", "M", 40000)]

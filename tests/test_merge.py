@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lonja.operators import merge
@@ -91,3 +93,29 @@ def test_versioned_table_row_that_moves_month(spark, rows, tmp_path):
     table.full_refresh(spark.createDataFrame([(1, "a", 202401), (2, "b", 202401), (3, "c", 202402)], schema))
     table.merge(spark.createDataFrame([(1, "A", 202403), (3, "C", 202401)], schema), ["k"], rows_may_move=True)
     assert rows(table.read().select("k", "v", "month")) == [(1, "A", 202403), (2, "b", 202401), (3, "C", 202401)]
+
+
+def test_versioned_table_by_day_prunes(spark, rows, tmp_path):
+    day = lambda n: dt.date(2024, 1, n)
+    table = merge.VersionedTable(spark, str(tmp_path / "d"), partition="sale_date")
+    table.full_refresh(spark.createDataFrame([(n, "a", day(n)) for n in range(1, 11)], "k int, v string, sale_date date"))
+    table.merge(spark.createDataFrame([(3, "B", day(3))], "k int, v string, sale_date date"), ["k"])
+    out = table.read().where(F.col("sale_date") <= F.lit(day(3)))
+    assert rows(out.select("k", "v")) == [(1, "a"), (2, "a"), (3, "B")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sale_date" in plan
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 50)), max_size=12, unique_by=lambda r: r[0]),
+       st.lists(st.tuples(st.integers(0, 9), st.integers(0, 50)), max_size=25, unique_by=lambda r: r[1]))
+def test_merges_agree_with_a_dictionary(spark, target, changes):
+    """Change rows carry their own order (the value), repeats included."""
+    t = spark.createDataFrame([(k, v, 0) for k, v in target], "k int, v int, at int")
+    c = spark.createDataFrame([(k, v, v + 1) for k, v in changes], "k int, v int, at int")
+    want = dict(target)
+    for k, v in sorted(changes, key=lambda r: r[1]):
+        want[k] = v
+    assert {r["k"]: r["v"] for r in merge.upsert(t, c, ["k"], ["at"]).collect()} == want
+    kept = {r["k"]: r["v"] for r in merge.insert_ignore(t, c, ["k"]).collect()}
+    assert set(kept) == set(want) and all(kept[k] == v for k, v in target)
