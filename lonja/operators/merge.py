@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lonja.session import written
 
@@ -38,9 +39,13 @@ def latest_per_key(df: DataFrame, keys: Iterable[str], order: Iterable[str]) ->
     """
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(c) for c in [*order, *[c for c in rest if c not in order]]])
-    newest = df.groupBy(*keys).agg(F.max(rank).alias("_row"))
-    return newest.select([F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    # the remaining columns break ties, so that the choice does not depend on the order of arrival
+    ties = [c for c in rest if c not in order and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    newest = F.max_by(F.struct(*rest), F.struct(*order, *ties))
+    if len(order) + len(ties) == len(rest):
+        newest = F.max(F.struct(*order, *ties))
+    picked = df.groupBy(*keys).agg(newest.alias("_row"))
+    return picked.select([F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: Iterable[str], order: Iterable[str] = ()) -> DataFrame:

@@ -94,24 +94,36 @@ def sessions(spans: DataFrame, gap: str = "10 seconds", lateness: str = "10 seco
         "trace_id", F.col("session_window.start").alias("first_ts"), "has_error", "spans", "elapsed_ms")
 
 
-TRACE_STATE = "first_us long, start_us long, end_us long, has_error boolean, spans long"
+TRACE_STATE = "first_us long, start_us long, end_us long, has_error boolean, spans long, decided boolean"
 TRACE_OUTPUT = "trace_id string, first_ts timestamp, has_error boolean, spans long, elapsed_ms double"
 
 
-def decide_after_first(spans: DataFrame, wait_seconds: int = 10, lateness: str = "10 seconds") -> DataFrame:
+def decide_after_first(spans: DataFrame, wait_seconds: int = 10, remember_seconds: int = 3600,
+                       lateness: str = "10 seconds") -> DataFrame:
     """The decision falls a fixed time after the FIRST span of a trace; later spans do not count.
 
-    The state of a trace is five numbers, whatever its number of spans, and leaves with its timer.
+    The state of a trace is six values, whatever its number of spans.  After its decision it is
+    remembered for a while, so that late spans do not decide it again, and then it leaves.
     """
-    wait_us = wait_seconds * 1_000_000
+    wait_us, remember_us = wait_seconds * 1_000_000, remember_seconds * 1_000_000
+
+    def arm(state: GroupState, at_us: int) -> None:
+        state.setTimeoutTimestamp(max(at_us // 1000, state.getCurrentWatermarkMs() + 1))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            first, start, end, error, n = state.get
-            state.remove()
+            first, start, end, error, n, decided = state.get
+            if decided:
+                state.remove()
+                return
+            state.update((first, start, end, error, n, True))
+            arm(state, first + remember_us)
             yield pd.DataFrame({"trace_id": [key[0]], "first_ts": [pd.Timestamp(first, unit="us", tz="UTC")], "has_error": [bool(error)],
                                 "spans": [n], "elapsed_ms": [(end - start) / 1000.0]})
             return
+        if state.exists and state.get[5]:
+            arm(state, state.get[0] + remember_us)
+            return
         parts = [p for p in batches if len(p)]
         if not parts:
             return
@@ -121,11 +133,10 @@ def decide_after_first(spans: DataFrame, wait_seconds: int = 10, lateness: str =
         inside = at <= first + wait_us
         at, pdf = at[inside], pdf[inside]
         ends = at + pdf["duration_ms"].astype("int64") * 1000
-        old = state.get if state.exists else (first, first, first, False, 0)
-        new = (first, min([old[1], *at.tolist()]), max([old[2], *ends.tolist()]), bool(old[3] or pdf["is_error"].any()), old[4] + len(pdf))
-        state.update(new)
-        due = max(first // 1000 + wait_seconds * 1000, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(due)
+        old = state.get if state.exists else (first, first, first, False, 0, False)
+        state.update((first, min([old[1], *at.tolist()]), max([old[2], *ends.tolist()]), bool(old[3] or pdf["is_error"].any()),
+                      old[4] + len(pdf), False))
+        arm(state, first + wait_us)
 
     return (spans.withWatermark("ts", lateness).groupBy("trace_id")
             .applyInPandasWithState(step, TRACE_OUTPUT, TRACE_STATE, "append", GroupStateTimeout.EventTimeTimeout))

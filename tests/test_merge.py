@@ -48,6 +48,11 @@ def test_hot_key_is_folded_before_the_shuffle(spark):
     assert "Window" not in plan and "partial_max" in plan
 
 
+def test_rows_with_maps(spark):
+    df = spark.createDataFrame([(1, {"a": "x"}, 1), (1, {"b": "y"}, 2)], "k int, m map<string,string>, at int")
+    assert [tuple(r) for r in merge.latest_per_key(df, ["k"], ["at"]).collect()] == [(1, {"b": "y"}, 2)]
+
+
 def test_replace_children(spark, rows):
     lines = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "p int, l string")
     fresh = spark.createDataFrame([(1, "x"), (2, "never"), (3, "y")], "p int, l string")

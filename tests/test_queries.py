@@ -1,5 +1,7 @@
 """Every registered query against its SQL, exactly, on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as contract
@@ -28,16 +30,33 @@ def test_entry(spark):
     assert df.count() > 0 and "family" in df.columns
 
 
-def test_no_cartesian_products(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_cartesian_products_and_no_python(spark):
     lazy = [n for n in QUERIES if not n.startswith(("j", "a12_m", "a14", "a15", "c18", "k15"))]
-    bad = [n for n in lazy if "CartesianProduct" in QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString()]
-    assert bad == []
+    plans = {n: plan_of(QUERIES[n](spark, SF)) for n in lazy}
+    assert [n for n, p in plans.items() if "CartesianProduct" in p or "EvalPython" in p or "InPandas" in p] == []
+
+
+@pytest.mark.parametrize("name,scans", [
+    ("e1_1_4_7_retail_kpis", {"orders": 1}), ("e1_11_top_families", {"lineitem": 1, "orders": 1}), ("e2_8_sales_by_store", {"orders": 1}),
+    ("e7_2_4_period_sales", {"orders": 1}), ("e8_3_period_cards", {"orders": 1}), ("e8_4_filled_series", {"orders": 1}),
+    ("e8_8_store_scorecard", {"orders": 1}), ("e8_12_margin_series", {"lineitem": 1, "orders": 1}), ("f4_weekly_anomaly", {"orders": 1}),
+    ("e10_5_year_comparison", {"orders": 1}), ("e11_10_customer_concentration", {"orders": 1})])
+def test_big_tables_are_read_once(spark, name, scans):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan")[0]
+    found = re.findall(r"FileScan parquet.*?/(\w+)\.parquet", final)
+    assert {t: found.count(t) for t in scans} == scans
 
 
 def test_dates_and_columns_reach_the_scan(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     try:
-        plan = QUERIES["e2_8_sales_by_store"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        plan = plan_of(QUERIES["e2_8_sales_by_store"](spark, SF))
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(o_orderdate,2001-05-17" in plan and "o_orderpriority" not in plan

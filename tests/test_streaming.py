@@ -73,6 +73,23 @@ def test_trace_decisions(spark, tmp_path):
     assert {r["trace_id"] for r in batch.where("keep").collect()} == {"err", "slow"}
 
 
+def test_late_spans_do_not_decide_again(spark, tmp_path):
+    schema = "trace_id string, ts timestamp, duration_ms long, is_error boolean"
+    sec = lambda n: T0 + dt.timedelta(seconds=n)
+
+    def run():
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+        jobs.run_available(jobs.decide_after_first(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                           .option("checkpointLocation", str(tmp_path / "cp")))
+
+    for batch in ([("x", sec(0), 5, False)], [("tick", sec(100), 1, False)], [("x", sec(95), 5, True)], [("tock", sec(50_000), 1, False)],
+                  [("x", sec(49_995), 7, False)], [("end", sec(90_000), 1, False)]):
+        put(spark, tmp_path / "in", batch, schema)
+        run()
+    got = [(r["spans"], r["has_error"]) for r in spark.read.parquet(str(tmp_path / "out")).where("trace_id = 'x'").orderBy("first_ts").collect()]
+    assert got == [(1, False), (1, False)]      # the span at 95 s is ignored; hours later the id is a new trace
+
+
 def test_share_of_normal_traces(spark):
     keep = monitor.keep_trace(F.lit(False), F.lit(1), F.col("id"))
     kept = spark.range(20000).where(keep).count()
