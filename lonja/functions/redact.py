@@ -65,6 +65,29 @@ def redact_tail(text: Column | str, keep: int, **options) -> Column:
     return F.right(redact(text, **options), F.lit(keep))
 
 
+# Command-line flags whose value is a secret, and flags whose value is free text (fixed values).
+SECRET_FLAGS = ("--api-key", "--token", "--auth-token", "--bearer", "--password", "--secret")
+TEXT_FLAGS = ("-p", "--prompt", "--system", "--system-prompt")
+
+
+def redact_arguments(arguments: Column | str, text_limit: int = 240) -> Column:
+    """An array of command-line arguments for display.
+
+    The value after a secret flag is replaced, the value after a free-text flag is redacted and
+    shortened, everything else is redacted.  A value is never taken for a flag.
+    """
+    def step(state: Column, argument: Column) -> Column:
+        clean = redact(argument)
+        short = F.when(F.length(clean) > text_limit, F.concat(F.left(clean, F.lit(text_limit)), F.lit("…[truncated]"))).otherwise(clean)
+        shown = F.when(state["after"] == "secret", REDACTED).when(state["after"] == "text", short).otherwise(clean)
+        after = (F.when(state["after"] != "", "").when(argument.isin(*SECRET_FLAGS), "secret")
+                 .when(argument.isin(*TEXT_FLAGS), "text").otherwise(""))
+        return F.struct(F.concat(state["shown"], F.array(shown)).alias("shown"), after.alias("after"))
+
+    start = F.struct(F.array().cast("array<string>").alias("shown"), F.lit("").alias("after"))
+    return F.aggregate(arguments, start, step, lambda state: state["shown"])
+
+
 def drop_denied(attributes: Column | str, denied: Sequence[str] = DENIED_ATTRIBUTES) -> Column:
     """Remove denied keys from a map column."""
     return F.map_filter(attributes, lambda key, _: ~key.isin(*denied))

@@ -353,6 +353,11 @@ def month_calendar(star: Star, as_of: dt.date) -> DataFrame:
                          F.coalesce("then", F.lit(0)).alias("last_year")).orderBy("day_num")
 
 
+def last_sales(star: Star) -> DataFrame:
+    """Day of the last sale of each store over all history."""
+    return star.tickets.where(P.is_retail_sale(star.ghost_store)).groupBy("store").agg(F.max("sale_date").alias("last_sale"))
+
+
 def scorecard(star: Star, as_of: dt.date) -> DataFrame:
     """One row per store: day, 7-day mean, 30-day total, last sale, last year, return rate.
 

@@ -198,19 +198,27 @@ def query_origins(log: DataFrame, sources: DataFrame, threshold: float = 0.5) ->
 # --- conversations and documents ------------------------------------------------------------------
 
 
-def conversation_list(conversations: DataFrame, messages: DataFrame, search: str = "", k: int | None = None,
-                      offset: int = 0) -> DataFrame:
-    """Conversations with message counts, tool use, tokens, last preview and unread flag, newest first."""
+def conversation_list(conversations: DataFrame, messages: DataFrame, search: str = "", modes: Sequence[str] = (),
+                      since: dt.datetime | None = None, k: int | None = None, offset: int = 0) -> DataFrame:
+    """Conversations with message counts, tool use, tokens, last preview and unread flag, newest first.
+
+    A message content is a JSON object with a text, a JSON string, or anything else (shown as it is).
+    """
     calls = F.get_json_object("content", "$.tool_calls")
     n_calls = F.when(F.col("role") == "assistant", F.coalesce(F.json_array_length(calls), F.lit(0))).otherwise(0)
-    preview = F.coalesce(F.get_json_object("content", "$.text"), F.col("content"))
+    as_string = F.when(F.startswith("content", F.lit('"')), F.get_json_object("content", "$"))
+    preview = F.coalesce(as_string, F.get_json_object("content", "$.text"), F.col("content"))
     stats = messages.withColumns({"_calls": n_calls, "_preview": F.left(preview, F.lit(120))}).groupBy("conversation_id").agg(
         F.count(F.lit(1)).alias("messages"), F.sum("_calls").alias("tool_calls"), F.count_if(F.col("_calls") > 0).alias("rounds"),
         F.max_by("_preview", F.struct("created_at", "message_id")).alias("preview"),
         F.sum(F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))).alias("tokens"))
     read, active = F.col("last_read_at"), F.col("last_interaction_at")
     unread = F.coalesce(F.when(read.isNull(), active > F.col("created_at")).otherwise(active > read), F.lit(False))
-    rows = conversations.where(contains_ci(search, "title", "first_prompt")) if search else conversations
+    rows = conversations.where(contains_ci(search, "title", "first_prompt")) if search.strip() else conversations
+    if modes:
+        rows = rows.where(F.col("mode").isin(*modes))
+    if since is not None:
+        rows = rows.where(F.col("last_interaction_at") >= F.lit(since))
     zero = F.lit(0)
     seconds = F.floor((F.unix_micros(active.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1e6)
     out = rows.join(stats, "conversation_id", "left").select(

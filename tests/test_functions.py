@@ -138,6 +138,14 @@ def test_redaction_literals_null_and_tail(spark):
     assert one(spark, R.redact_tail(F.lit("x password=abc"), 10)) == "[redacted]"
 
 
+def test_redacted_arguments(spark):
+    df = spark.createDataFrame([(["run", "--token", "--password", "x", "--api-key", "k1", "-p", "y" * 300, "password=abc", "--secret"],), ([],)],
+                               "a array<string>")
+    got = [r[0] for r in df.select(R.redact_arguments("a")).collect()]
+    assert got == [["run", "--token", "[redacted]", "x", "--api-key", "[redacted]", "-p", "y" * 240 + "…[truncated]",
+                    "password=[redacted]", "--secret"], []]
+
+
 def test_denied_attributes(spark):
     attrs = F.create_map(F.lit("db.user"), F.lit("u"), F.lit("postgres.password"), F.lit("p"), F.lit("http.route"), F.lit("/"))
     assert one(spark, R.drop_denied(attrs)) == {"http.route": "/"}
