@@ -28,6 +28,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int = 256 << 20,
+                  most: int = 100_000) -> int:
+    """Set the number of shuffle partitions so that one fits in an executor's memory.
+
+    ``shuffled_bytes`` is what the widest stage moves: for a line-level report the selected line
+    columns of its date range.  Adaptive execution merges partitions that turn out small, so a
+    generous estimate costs little, while too few partitions spill.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    n = min(max(-(-shuffled_bytes // partition_bytes), cores), most)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def get_session(app: str = "lonja", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
