@@ -109,10 +109,11 @@ def _usage(c: Catalog) -> None:
             + COALESCE(CAST(cache_read_tokens AS DOUBLE), 0) * COALESCE(CAST(read_rate AS DOUBLE), 0.3)) / 1000000, 9) ELSE 0 END AS call_cost
         FROM u LEFT JOIN rates r ON r.model = u.model""")
     c.add("k12_daily_budget", "spent d, budget d, exceeded b", lambda s: m.daily_budget(t.usage(s), TODAY, 0.5),
-          f"WITH {USAGE} SELECT SUM(cost_usd) AS spent, 0.5 AS budget, SUM(cost_usd) >= 0.5 AS exceeded FROM u WHERE created_at >= DATE '2024-01-30'")
-    c.add("k13_tool_call_stats", "endpoint s, tool s, status s, calls l, avg_ms d, max_ms l", lambda s: m.tool_call_stats(t.tool_calls(s), EVENTS_NOW), f"""
+          f"WITH {USAGE} SELECT SUM(cost_usd) AS spent, 0.5 AS budget, SUM(cost_usd) >= 0.5 AS exceeded FROM u WHERE provider = 'openrouter' AND created_at >= DATE '2024-01-30'")
+    c.add("k13_tool_call_stats", "endpoint s, tool s, status s, calls l, avg_ms l, max_ms l, payload_in l, payload_out l", lambda s: m.tool_call_stats(t.tool_calls(s), EVENTS_NOW), f"""
         SELECT event_type AS endpoint, 'tool_' || (k % 3) AS tool, CASE WHEN k % 10 = 0 THEN 'error' ELSE 'ok' END AS status, COUNT(*) AS calls,
-            CAST(SUM(CAST(floor(value * 10) AS BIGINT)) AS DOUBLE) / COUNT(*) AS avg_ms, MAX(CAST(floor(value * 10) AS BIGINT)) AS max_ms FROM r_events WHERE ts >= {NOW} - INTERVAL 30 DAY GROUP BY 1, 2, 3""")
+            ROUND(CAST(SUM(CAST(floor(value * 10) AS BIGINT)) AS DOUBLE) / COUNT(*)) AS avg_ms, MAX(CAST(floor(value * 10) AS BIGINT)) AS max_ms,
+            SUM(k * 10) AS payload_in, SUM(k * k) AS payload_out FROM r_events WHERE ts >= {NOW} - INTERVAL 30 DAY GROUP BY 1, 2, 3""")
     c.add("k14_slow_queries", "query_id s, query s, calls l, mean_ms d, max_ms d, total_ms d, rows l, cache_hit_pct d", lambda s: m.slow_queries(t.query_log(s)), f"""
         WITH {LOG}, x AS (SELECT *, CAST(((2 * CAST(total_ms * 10000 AS HUGEINT) + calls) // (2 * calls)) AS DOUBLE) / 10000 AS mean_ms FROM log WHERE query LIKE '%ps\\_%' ESCAPE '\\')
         SELECT query_id, left(query, 500) AS query, calls, mean_ms, max_ms, total_ms, rows,
@@ -162,7 +163,7 @@ def _chats(c: Catalog) -> None:
     c.add("h2_revision_diff", "text s, change s", lambda s: m.revision_diff(*[
         s.raw("conversations").where(F.col("turn") == n).select("text") for n in (0, 2)]), """
         WITH b AS (SELECT text FROM conversations WHERE turn = 0), a AS (SELECT text FROM conversations WHERE turn = 2)
-        SELECT text, 'added' AS change FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT text, 'removed' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+        SELECT text, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT text, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 
 
 def _text(c: Catalog) -> None:

@@ -29,7 +29,7 @@ def anomaly(df: DataFrame, value: str, order: str, keys: tuple[str, ...] = ()) -
 
     Two aggregations and no sort: partial aggregation absorbs a hot group.
     """
-    v = F.col(value).cast("double")
+    v = F.col(value).try_cast("double")   # what is no number is no history
     top = df.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("o"), v.alias("v"))).alias("_top"))
     latest = top.select(*keys, F.col("_top.o").alias("_newest"), F.col("_top.v").alias("current"))
     # null-safe conditions keep a NULL group, and leave both uses of the input equal down to the scan,

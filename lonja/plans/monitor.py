@@ -80,6 +80,10 @@ def recent_failures(runs: DataFrame, run_tables: DataFrame, now: dt.datetime, ho
     return one_row(failed_runs, tables.agg(F.count(F.lit(1)).alias("tables_failed")))
 
 
+def run_header(runs: DataFrame, run_id: int) -> DataFrame:
+    return runs.where(F.col("run_id") == run_id)
+
+
 def run_detail(run_tables: DataFrame, run_id: int) -> DataFrame:
     return run_tables.where(F.col("run_id") == run_id).orderBy("started_at", "feed")
 
@@ -158,15 +162,20 @@ def call_cost(usage: DataFrame, rates: DataFrame, default: Sequence[float], bill
     return priced.withColumn("call_cost", F.when(billed, cost / 1_000_000).otherwise(0.0)).drop(*names)
 
 
-def daily_budget(usage: DataFrame, today: dt.date, budget: float) -> DataFrame:
-    spent = usage.where(F.col("created_at") >= F.lit(today)).agg(M.total("cost_usd").alias("spent"))
-    return spent.select("spent", F.lit(budget).alias("budget"), (F.col("spent") >= budget).alias("exceeded"))
+def daily_budget(usage: DataFrame, today: dt.date, budget: float, billed_provider: str = "openrouter") -> DataFrame:
+    """Spend of the day with the provider that bills per token, against the budget."""
+    billed = usage.where((F.col("created_at") >= F.lit(today)) & (F.col("provider") == billed_provider))
+    return billed.agg(M.total("cost_usd").alias("spent")).select(
+        "spent", F.lit(budget).alias("budget"), (F.col("spent") >= budget).alias("exceeded"))
 
 
 def tool_call_stats(calls: DataFrame, now: dt.datetime, days: int = 30) -> DataFrame:
+    """Calls, mean and longest latency and payload sizes by endpoint, tool and status."""
     rows = calls.where(F.col("created_at") >= F.lit(now - dt.timedelta(days=days)))
     return rows.groupBy("endpoint", "tool", "status").agg(
-        F.count(F.lit(1)).alias("calls"), F.avg(F.col("latency_ms").cast("double")).alias("avg_ms"), F.max("latency_ms").alias("max_ms"))
+        F.count(F.lit(1)).alias("calls"), F.round(F.avg(F.col("latency_ms").cast("double"))).cast("bigint").alias("avg_ms"),
+        F.max("latency_ms").alias("max_ms"), F.sum("payload_in").alias("payload_in"),
+        F.sum("payload_out").alias("payload_out")).orderBy(F.desc("calls"), "endpoint", "tool", "status")
 
 
 def interactions(log: DataFrame, k: int = 50, **filters: str | None) -> DataFrame:
@@ -247,9 +256,9 @@ def document_versions(documents: DataFrame, key: str = "document_id", at: str =
 
 
 def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows added and removed between two revisions."""
-    added = after.exceptAll(before).withColumn("change", F.lit("added"))
-    return added.unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
+    """Entries that appear in only one of two revisions; copies of an entry do not count."""
+    added = after.subtract(before).withColumn("change", F.lit("added"))
+    return added.unionByName(before.subtract(after).withColumn("change", F.lit("removed")))
 
 
 # --- turn events ----------------------------------------------------------------------------------

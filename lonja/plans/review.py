@@ -189,8 +189,9 @@ def run_review(star: Star, week: Range, out_dir: str,
 
 
 def failed_share(outcomes: DataFrame) -> DataFrame:
-    """Share of failed sections in a review."""
-    return outcomes.agg(F.avg(F.col("error").isNotNull().cast("double")).alias("failed_share"))
+    """Share of failed sections in a review; 0 for an empty one."""
+    share = F.avg(F.col("error").isNotNull().cast("double"))
+    return outcomes.agg(F.coalesce(share, F.lit(0.0)).alias("failed_share"))
 
 
 def week_of(day: dt.date) -> Range:

@@ -33,7 +33,8 @@ def tool_calls(star: TpchStar) -> DataFrame:
     return _events(star).select(
         F.col("event_id").alias("id"), F.col("event_type").alias("endpoint"), F.concat(F.lit("tool_"), k % 3).alias("tool"),
         F.when(k % 10 == 0, "error").otherwise("ok").alias("status"),
-        F.floor(F.col("value") * 10).cast("bigint").alias("latency_ms"), F.col("ts").alias("created_at"))
+        F.floor(F.col("value") * 10).cast("bigint").alias("latency_ms"), (k * 10).cast("bigint").alias("payload_in"),
+        (k * k).cast("bigint").alias("payload_out"), F.col("ts").alias("created_at"))
 
 
 def interactions(star: TpchStar) -> DataFrame:

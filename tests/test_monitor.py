@@ -79,13 +79,14 @@ def test_pruning_keeps_durable_and_running(spark, rows):
     assert rows(monitor.prune_transient(events, done).select("event_id")) == [(2,), (3,), (4,)]
 
 
-def test_revision_diff_counts_copies(spark, rows):
-    a, b = (spark.createDataFrame([(x,) for x in xs], "t string") for xs in (["x", "x", "y"], ["x", "z"]))
-    assert rows(monitor.revision_diff(a, b)) == [("x", "removed"), ("y", "removed"), ("z", "added")]
+def test_revision_diff_ignores_copies(spark, rows):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "t string") for xs in (["x", "x", "y"], ["x", "z", "z"]))
+    assert rows(monitor.revision_diff(a, b)) == [("y", "removed"), ("z", "added")]
 
 
 def test_daily_budget(spark):
-    usage = spark.createDataFrame([(at(1), 2.0), (at(-600), 9.0)], "created_at timestamp, cost_usd double")
+    usage = spark.createDataFrame([(at(1), 2.0, "openrouter"), (at(2), 7.0, "cli"), (at(3), 7.0, None), (at(-600), 9.0, "openrouter")],
+                                  "created_at timestamp, cost_usd double, provider string")
     got = monitor.daily_budget(usage, T0.date(), 2.0).first()
     assert (got["spent"], got["exceeded"]) == (2.0, True)
     assert not monitor.daily_budget(usage.where(F.lit(False)), T0.date(), 2.0).first()["exceeded"]

@@ -28,6 +28,12 @@ def test_anomaly_examples(spark):
     assert flags(spark, [50, 100, None, 98, 102, 99, 101]) == (True, "low")
 
 
+def test_anomaly_drops_text_history(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["99", "n/a", "101", "98", "102", "100", "50"])], "t int, v string")
+    r = stats.anomaly(df, "v", "t").first()
+    assert (r["n"], r["is_anomaly"], r["direction"]) == (5, True, "low")
+
+
 def test_streak(spark):
     df = spark.createDataFrame([("a", 1, False), ("a", 2, False), ("a", 3, True), ("a", 4, False), ("b", 1, True), ("c", 1, False)],
                                "k string, p int, broken boolean")
