@@ -94,6 +94,18 @@ def age_text(seconds: Column | str) -> Column:
             .otherwise(F.concat(m.cast("bigint").cast("string"), F.lit("m"))))
 
 
+def sync_age_text(seconds: Column | str) -> Column:
+    """600 -> "10 min", 9000 -> "2.5 h", 200000 -> "2 d"; NULL or negative -> dash."""
+    sec = _c(seconds).cast("double")
+    mins = F.round(sec / 60)
+    hours = F.round(mins / 6) / 10
+    short = F.regexp_replace(hours.cast("string"), r"\.0$", "")
+    return (F.when(sec.isNull() | (sec < 0), DASH)
+            .when(mins < 60, F.concat(mins.cast("bigint").cast("string"), F.lit(" min")))
+            .when(hours < 48, F.concat(short, F.lit(" h")))
+            .otherwise(F.concat(F.round(hours / 24).cast("bigint").cast("string"), F.lit(" d"))))
+
+
 def throughput_text(rows_per_second: Column | str) -> Column:
     r = _c(rows_per_second)
     small = F.concat(F.format_string("%.1f", r.cast("double")), F.lit(" /s"))

@@ -78,11 +78,12 @@ class Filters:
                 df = df.where(condition)
         return df
 
-    def options(self, df: DataFrame, filter_id: str, value: str, label: Column | str, cascade: Sequence[str] = ()) -> DataFrame:
+    def options(self, df: DataFrame, filter_id: str, value: Column | str, label: Column | str,
+                cascade: Sequence[str] = ()) -> DataFrame:
         """Distinct (value, label) pairs, narrowed by the other active filters but not by the filter itself."""
-        label = F.col(label) if isinstance(label, str) else label
+        value, label = (F.col(c) if isinstance(c, str) else c for c in (value, label))
         narrowed = self.apply(df, *cascade, without=filter_id)
-        return (narrowed.select(F.col(value).alias("value"), label.alias("label"))
+        return (narrowed.select(value.alias("value"), label.alias("label"))
                 .where((F.col("value").cast("string") != "") & (F.col("label").cast("string") != "")).distinct())
 
 

@@ -102,6 +102,12 @@ def test_durations(spark):
     assert [g[0] for g in got] == ["1.234 /s", "9.9 /s", "—"]
 
 
+def test_sync_age(spark):
+    cases = [(600, "10 min"), (3599, "1 h"), (9000, "2.5 h"), (172_000, "47.8 h"), (200_000, "2 d"), (-1, "—"), (None, "—")]
+    got = values(spark, [(c[0],) for c in cases], "s int", L.sync_age_text("s"))
+    assert [g[0] for g in got] == [c[1] for c in cases]
+
+
 def test_slug_and_title(spark):
     got = values(spark, [("¡Acción: Revisión ñandú!",), ("---",), ("x" * 60,)], "t string", L.slug("t", default="accion_1"))
     assert [g[0] for g in got] == ["accion_revision_nandu", "accion_1", "x" * 48]
@@ -169,4 +175,5 @@ def test_filters(spark, rows):
     assert Filters({"supplier": ["5"]}).apply(df, "supplier").count() == 3
     assert rows(Filters({"store": "2", "family": ["B"]}).options(df, "store", "store", "store", ("store", "family"))) == [("2", "2")]
     assert rows(Filters({"store": "2"}).options(df, "store", "store", "store", ("store",))) == [("1", "1"), ("2", "2")]
+    assert rows(Filters().options(df, "catalog_family", F.trim("family"), F.trim("family"))) == [("A", "A"), ("B", "B")]
     assert {f for ids in SCOPES.values() for f in ids} == set(DEFINITIONS)
