@@ -185,6 +185,8 @@ class VersionedTable:
             self._commit(1, self._write(fresh))
             return
         fresh = written(fresh, "changes")
+        if fresh.isEmpty():
+            return
         touched = dict(entries)
         if self.partition:
             values = fresh.select(self.partition)

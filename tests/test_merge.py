@@ -81,6 +81,14 @@ def test_versioned_table(spark, rows, tmp_path):
     assert table.read().count() == 0
 
 
+def test_an_empty_change_set_publishes_nothing(spark, tmp_path):
+    table = merge.VersionedTable(spark, str(tmp_path / "t"))
+    table.full_refresh(frame(spark, [(1, "a", 1)]))
+    before = table._latest()
+    table.merge(frame(spark, []), ["k"], ["at"])
+    assert table._latest() == before
+
+
 def test_versioned_table_rewrites_only_touched_months(spark, rows, tmp_path):
     schema = "k int, v string, month int"
     table = merge.VersionedTable(spark, str(tmp_path / "m"), partition="month")
