@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonja.llm.binary_records import read_records, write_records
+from lonja.llm.byte_bpe import encode
 from lonja.llm.common import documents
 from lonja.llm.exact_dedup import exact_groups
+from lonja.llm.packing import pack
 
 QUERIES, SQL = {}, {}
 
@@ -29,3 +32,20 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), hash_all=True).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_hash")).alias("text_sha256"))
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir)).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_records(documents(spark, sf_dir))).select(
+        "doc_id", F.col("position").alias("start"), F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir), digests=True)
