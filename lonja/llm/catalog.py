@@ -9,6 +9,7 @@ from lonja.llm.binary_records import read_records, write_records
 from lonja.llm.byte_bpe import encode
 from lonja.llm.common import documents
 from lonja.llm.exact_dedup import exact_groups
+from lonja.llm.line_dedup import drop_shared_lines
 from lonja.llm.packing import pack
 
 QUERIES, SQL = {}, {}
@@ -49,3 +50,17 @@ def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), digests=True)
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+     k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+     s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+     d AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.keeper AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_shared_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -30,6 +30,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` uses it in lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hash128(value: Column) -> Column:
     """128 bits as two longs; as good as equality for grouping at any size in reach."""
     return F.struct(F.xxhash64(F.lit(17), value).alias("a"), F.xxhash64(F.lit(71), value).alias("b"))
