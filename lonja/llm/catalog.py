@@ -11,6 +11,7 @@ from lonja.llm.common import documents
 from lonja.llm.exact_dedup import exact_groups
 from lonja.llm.line_dedup import drop_shared_lines
 from lonja.llm.packing import pack
+from lonja.llm.quality_rules import base_failed, cascade, measured, ordered, rules
 
 QUERIES, SQL = {}, {}
 
@@ -64,3 +65,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM d GROUP BY doc_id""")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_shared_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+@query(r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+     l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+           WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+     dl AS (SELECT doc_id, sum(n - 1) AS n_dup_lines FROM l GROUP BY doc_id),
+     a AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+     x AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM a),
+     g AS (SELECT doc_id, i, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+     r AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, b, c) >= 2 AS twice FROM g),
+     s AS (SELECT doc_id, i, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside FROM r),
+     rw AS (SELECT doc_id, count(*) FILTER (inside) AS n_repeat_words FROM s GROUP BY doc_id),
+     m AS (SELECT doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                  length(regexp_replace(text, '[^!]', '', 'g')) AS shouted, length(regexp_replace(text, '\P{Lu}', '', 'g')) AS upper,
+                  len(string_split(text, chr(10))) AS n_lines
+           FROM a LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
+     f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 2 * n_words OR 10 * shouted > 3 * n_words OR 100 * upper > 40 * word_chars
+            OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_repeat_words > 40 * n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM f""")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    frame = measured(docs)
+    chosen = ordered(frame, rules())
+    return cascade(frame, chosen).withColumn("base_failed", base_failed()).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
