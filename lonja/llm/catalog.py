@@ -86,7 +86,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
      f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 2 * n_words OR 10 * shouted > 3 * n_words OR 100 * upper > 40 * word_chars
-            OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_repeat_words > 40 * n_words
+            OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * n_repeat_words > 40 * n_words
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM f""")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

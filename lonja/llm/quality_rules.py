@@ -111,7 +111,7 @@ def rules() -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > 2 * F.col("n_words")),
         Rule("exclamations", 10 * shouted > 3 * F.col("n_words")),
         Rule("capitals", 100 * upper > 40 * F.col("word_chars")),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.size(F.split(text, "\n"))),
+        Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.size(F.split(text, "\n")))),
         Rule("repeated_windows", 100 * F.col("n_repeat_words") > 40 * F.col("n_words")),
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
     ]
