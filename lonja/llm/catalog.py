@@ -11,7 +11,9 @@ from lonja.llm.common import documents
 from lonja.llm.exact_dedup import exact_groups
 from lonja.llm.line_dedup import drop_shared_lines
 from lonja.llm.packing import pack
+from lonja.llm.personal_data import KINDS, find, spans_text
 from lonja.llm.quality_rules import base_failed, cascade, measured, ordered, rules
+from lonja.llm.toxicity import THRESHOLD, score
 
 QUERIES, SQL = {}, {}
 
@@ -96,3 +98,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(frame, chosen).withColumn("base_failed", base_failed()).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return score(documents(spark, sf_dir), labels).select(
+        "doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return find(documents(spark, sf_dir)).select(
+        "doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.concat("base", "added")).alias("spans"))
