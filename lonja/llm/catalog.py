@@ -10,6 +10,7 @@ from lonja.llm.byte_bpe import encode
 from lonja.llm.common import documents
 from lonja.llm.exact_dedup import exact_groups
 from lonja.llm.line_dedup import drop_shared_lines
+from lonja.llm.minhash import near_groups
 from lonja.llm.packing import pack
 from lonja.llm.personal_data import KINDS, find, spans_text
 from lonja.llm.quality_rules import base_failed, cascade, measured, ordered, rules
@@ -114,3 +115,24 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(documents(spark, sf_dir)).select(
         "doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.concat("base", "added")).alias("spans"))
+
+
+@query(r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w
+               ELSE [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] END) AS g FROM w),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     k AS (SELECT doc_id, n, s.g, row_number() OVER (PARTITION BY doc_id ORDER BY df, s.g) AS r
+           FROM s JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS df FROM s GROUP BY g) d ON d.g = s.g),
+     c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny
+           FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id
+            AND a.r <= a.n // 5 + 1 AND b.r <= b.n // 5 + 1 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+     e AS (SELECT x, y FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND b.g = a.g
+           GROUP BY x, y, nx, ny HAVING 100 * count(*) >= 80 * (nx + ny - count(*))),
+     l AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+     p AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT p.x, l.y FROM p JOIN l ON l.x = p.y)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM p GROUP BY x) m ON m.x = w.doc_id""")
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), size=2).select("doc_id", "n_shingles", "component_id", "kept")
