@@ -14,6 +14,7 @@ from lonja.llm.minhash import near_groups
 from lonja.llm.packing import pack
 from lonja.llm.personal_data import KINDS, find, spans_text
 from lonja.llm.quality_rules import base_failed, cascade, measured, ordered, rules
+from lonja.llm.suffix_dedup import remove_repeats
 from lonja.llm.toxicity import THRESHOLD, score
 
 QUERIES, SQL = {}, {}
@@ -136,3 +137,9 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id, w.doc_id = m
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM p GROUP BY x) m ON m.x = w.doc_id""")
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
