@@ -1,4 +1,9 @@
-"""Cleaning and packing a corpus: each stage works on all documents that the one before kept."""
+"""Cleaning and packing a corpus: each stage works on all documents that the one before kept.
+
+Every stage but the last returns the columns of ``documents``.  Null and empty texts pass the stages as empty
+ones do; equal rows with one ``doc_id`` share their fate.  Near duplicates take shingles of five words and a
+similarity of 0.8.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,46 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lonja.llm.common import documents
+from lonja.llm.common import documents, prepare
 from lonja.llm.exact_dedup import drop_exact
+from lonja.llm.minhash import drop_near
+from lonja.llm.packing import pack
+from lonja.llm.personal_data import redact
+from lonja.llm.toxicity import drop_toxic
 from lonja.session import written
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    prepare(spark)
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
+    prepare(spark)
     return drop_exact(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    prepare(spark)
+    return drop_near(docs, size=5, percent=80)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in angle brackets."""
+    prepare(spark)
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    prepare(spark)
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("personal data", personal), ("packing", packing)]
 #: Learned and tokenised stages cannot be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
