@@ -61,7 +61,8 @@ def exact_groups(docs: DataFrame, hash_all: bool = False, prefix_chars: int = PR
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; rows with one ``doc_id`` and equal texts stay together."""
-    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_own", F.unhex(F.sha2(normalised(text_of()), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
-    return hashed.join(gone, same, "left_anti").select(*docs.columns)
+    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.unhex(F.sha2(normalised(text_of()), 256)).alias("own"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("text_hash"))
+    return rows.join(gone, same, "left_anti").select("doc.*")

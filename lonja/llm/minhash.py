@@ -262,6 +262,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
 
 
 def drop_near(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays, with all its columns; rows with one ``doc_id`` share the fate of the id."""
-    gone = near_groups(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    """One document of each component stays, with all its columns.
+
+    Rows with one ``doc_id`` share its fate: it goes when none of them is to stay.
+    """
+    gone = near_groups(docs, size, percent).groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("stays"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(gone.filter("not stays"), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select("doc.*")

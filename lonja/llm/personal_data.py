@@ -200,20 +200,25 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; ``n_chars``, where there is one, follows."""
     spans = find(docs, rounds).withColumn("spans", F.sort_array(F.concat("base", "added"))).filter(F.size("spans") > 0)
-    spans = spans.select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_own", F.xxhash64(text_of())).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left").drop("_id", "_hash", "_own")
+    spans = spans.select(F.col("doc_id").alias("id"), "text_hash", "spans").dropDuplicates(["id", "text_hash"])
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("own"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("text_hash"))
+    joined = rows.join(spans, same, "left").select("doc", "spans")
     names = docs.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [mask(t, s) if s else t for t, s in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), strict=True)]
-            columns = {x: batch[x] for x in names} | {"text": pa.array(texts, batch.schema.field("text").type)}
+            columns = dict(zip(names, batch["doc"].flatten(), strict=True))
+            text = columns["text"]
+            texts = [mask(t, s) if s else t for t, s in zip(text.to_pylist(), batch["spans"].to_pylist(), strict=True)]
+            columns["text"] = pa.array(texts, text.type)
+            if "n_chars" in columns:
+                kind = columns["n_chars"].type
+                columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(
+                    texts, batch["spans"].to_pylist(), columns["n_chars"].to_pylist(), strict=True)], kind)
             yield pa.RecordBatch.from_pydict(columns)
 
-    out = joined.mapInArrow(replace, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return joined.mapInArrow(replace, docs.schema)
 
 
 def mask(text: str, spans: list[dict]) -> str:

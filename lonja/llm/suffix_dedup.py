@@ -45,10 +45,10 @@ BASE = 0x9E3779B97F4A7C15 | 1
 
 
 @lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     def powers(x: int) -> np.ndarray:
-        steps = np.full(SLAB + 1, x, np.uint64)
+        steps = np.full(size + 1, x, np.uint64)
         steps[0] = 1
         return np.multiply.accumulate(steps)
     return powers(BASE), powers(pow(BASE, -1, 1 << 64))
@@ -62,7 +62,7 @@ def slabs(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 
 def anchors(slab: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slab: places of the anchors, their hashes, the first and the last window that each one has."""
-    power, inverse = _powers()
+    power, inverse = _powers(SLAB)
     data = np.frombuffer(slab, np.uint8).astype(np.uint64) + np.uint64(1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(data * power[: len(data)], out=sums[1:])

@@ -80,7 +80,7 @@ def surprise(t: Column, c: Column, n_toxic: int, n_clean: int) -> Column:
 
 def vocabulary(docs: DataFrame, sample: DataFrame, size: int = VOCABULARY, voters: int = VOTERS) -> tuple[list[str], list[int]]:
     """Marks that tell the classes apart, and the positions of those that vote."""
-    texts = docs.join(F.broadcast(sample), "doc_id").select("toxic", text_of().alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", text_of().alias("text"))
     rows = written(texts.mapInArrow(_marks, "toxic int, marks array<string>"), "toxic-marks")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
@@ -206,7 +206,7 @@ def shares(weighted: DataFrame, toxic: float, rate: np.ndarray) -> np.ndarray:
     return 1 / (correlation >= TOGETHER).sum(axis=1)
 
 
-def fit_classifier(rows: list, size: int, steps: int = 400, l2: float = 0.3) -> tuple[np.ndarray, float]:
+def fit_classifier(rows: list, size: int, steps: int = 400, l2: float = 1.5e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels by gradient steps with momentum; both classes weigh the same."""
     if not rows or not size:
         return np.zeros(size), -4.0
@@ -222,7 +222,7 @@ def fit_classifier(rows: list, size: int, steps: int = 400, l2: float = 0.3) ->
     for _ in range(steps):
         score = base + np.bincount(index, weights=weights[columns], minlength=len(rows))
         error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) * weight
-        slope = np.bincount(columns, weights=error[index], minlength=size) + l2 * weights / len(weights)
+        slope = np.bincount(columns, weights=error[index], minlength=size) + l2 * weights
         speed = 0.9 * speed - 0.5 * slope * scale
         base_speed = 0.9 * base_speed - 0.5 * error.sum()
         weights += speed
