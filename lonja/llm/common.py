@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import lonja
 from lonja.session import tune
 
 #: Python workers get texts in batches of so many rows and bytes at most.
@@ -13,9 +19,21 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 HOT_ROWS, HOT_GROUPS = 1000, 512
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for a Spark context; they need not have it installed."""
+    context, home = spark.sparkContext, os.path.dirname(lonja.__file__)
+    if getattr(context, "_lonja_shipped", False) or not os.path.isdir(home):
+        return
+    folder = tempfile.mkdtemp(prefix="lonja-")  # the driver serves the archive from here as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "lonja"), "zip", os.path.dirname(home), os.path.basename(home)))
+    context._lonja_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the text operators: small Arrow batches, since one text may have megabytes."""
     tune(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

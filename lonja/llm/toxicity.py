@@ -30,6 +30,7 @@ from lonja.session import written
 TOXIC_SAMPLE, CLEAN_SAMPLE, TRAIN_SAMPLE = 4000, 8000, 12000
 VOCABULARY, VOTERS, LEAST_ROWS = 2048, 200, 8
 ROUNDS, SMOOTH = 6, 1.0
+SURE = 12.0  # log-likelihood ratio from which a mark counts; chance reaches it once in 2000 times
 TOGETHER = 0.6  # correlation within the toxic class from which voters share a vote
 LABEL_TRUST = 0.97
 THRESHOLD = 0.7
@@ -90,7 +91,7 @@ def vocabulary(docs: DataFrame, sample: DataFrame, size: int = VOCABULARY, voter
             F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).filter(F.col("t") + F.col("c") >= LEAST_ROWS)
         lift = F.log(((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("c") + 0.5) / (n_clean + 1)))
         scored = counts.select("mark", "t", "c", lift.alias("lift"), surprise(F.col("t"), F.col("c"), n_toxic, n_clean).alias("z"))
-        found = scored.orderBy(F.desc("z"), "mark").limit(size).collect()
+        found = scored.filter(F.col("z") >= SURE).orderBy(F.desc("z"), "mark").limit(size).collect()
     names = [r["mark"] for r in found]
     names += [x for x in LEXICON if x not in set(names)]
     place = {x: i for i, x in enumerate(names)}
