@@ -8,11 +8,12 @@ executor or a failed job leaves the old one in place.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,36 +40,52 @@ def latest_per_key(df: DataFrame, keys: Iterable[str], order: Iterable[str]) ->
     """
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     # the remaining columns break ties, so that the choice does not depend on the order of arrival
     ties = [c for c in rest if c not in order and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
-    newest = F.max_by(F.struct(*rest), F.struct(*order, *ties))
+    newest = F.max_by(F.struct(*rest), F.struct(*order, *ties)) if order or ties else F.any_value(F.struct(*rest))
     if len(order) + len(ties) == len(rest):
         newest = F.max(F.struct(*order, *ties))
     picked = df.groupBy(*keys).agg(newest.alias("_row"))
     return picked.select([F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str) -> DataFrame:
+    """Join on keys among which NULL is a value like any other; the keys of the right side are named ``_key_...``."""
+    keys = list(keys)
+    named = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    # aliases make new columns, so that two frames from one source do not share theirs
+    named = named.select(*[F.col(c).alias(c) for c in named.columns])
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return left.join(named, same, how)
+
+
 def upsert(target: DataFrame, changes: DataFrame, keys: Iterable[str], order: Iterable[str] = ()) -> DataFrame:
     """Insert new keys, overwrite all other columns of known keys.
 
-    Repeated keys within the change set are reduced to the newest first.  A table whose
-    columns are all keys keeps its rows and only gains the unseen ones.
+    Repeated keys within the change set are reduced to one row first, the newest if there is an ``order``.
+    With an ``order`` a change that is older than the row of the target loses to it; an equal one wins.  NULL is
+    a key value like any other.  A table whose columns are all keys only gains the unseen rows.
     """
     keys, order = list(keys), list(order)
     if not keys:
         raise ValueError("upsert needs key columns")
     if set(keys) == set(target.columns):
         return insert_ignore(target, changes, keys)
-    fresh = latest_per_key(changes, keys, order) if order else changes
-    kept = target.join(fresh.select(*keys), keys, "left_anti")
-    return kept.select(*target.columns).unionByName(fresh.select(*target.columns))
+    fresh = latest_per_key(changes.select(*target.columns), keys, order)
+    if order:
+        held = target.select(*keys, F.struct(*order).alias("_held"))
+        newer = join_keys(held, fresh.select(*keys, F.struct(*order).alias("_order")), keys, "inner").where("_held > _order")
+        fresh = join_keys(fresh, newer.select(*keys), keys, "left_anti")
+    return join_keys(target, fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Add rows with unseen keys; existing rows never change."""
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: Iterable[str], order: Iterable[str] = ()) -> DataFrame:
+    """Add rows with unseen keys, one for each; existing rows never change.  NULL is a key value like any other."""
     keys = list(keys)
-    unseen = rows.select(*target.columns).dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(unseen.select(*target.columns))
+    fresh = latest_per_key(rows.select(*target.columns), keys, list(order))
+    return target.unionByName(join_keys(fresh, target.select(*keys), keys, "left_anti"))
 
 
 def replace_children(lines: DataFrame, changed_parents: DataFrame, new_lines: DataFrame, parent_key: str) -> DataFrame:
@@ -79,13 +96,17 @@ def replace_children(lines: DataFrame, changed_parents: DataFrame, new_lines: Da
     return kept.select(*lines.columns).unionByName(fresh.select(*lines.columns))
 
 
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 class VersionedTable:
     """Parquet table whose current content is named by a small manifest.
 
-    Data folders are never changed once written; a new manifest, put in place by one rename,
-    makes them visible.  With a partition column (a calendar key: a date, or YYYYMM) the manifest
-    names one folder per value; a merge rewrites only the values it touches, and a filter on the
-    column prunes folders.
+    Data folders are never changed once written; a new manifest, put in place by one rename, makes them
+    visible.  The file system must refuse a rename onto an existing file, as HDFS and local ones do; plain
+    object stores do not.  With a partition column (a calendar key: a date, or YYYYMM) the manifest names one
+    folder per value, NULL among them; a merge rewrites only the values it touches, and a filter on the
+    column prunes folders.  The manifest holds the schema, so a table without rows can be read.
     """
 
     def __init__(self, spark: SparkSession, root: str, partition: str | None = None):
@@ -102,27 +123,28 @@ class VersionedTable:
         path = jvm.org.apache.hadoop.fs.Path
         return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _latest(self) -> tuple[int, dict[str, str]]:
-        """Number and content of the newest manifest: partition value -> version folder."""
+    def _numbers(self) -> list[int]:
         fs, path = self._fs()
         folder = path(self._manifests)
         names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        numbers = sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-        if not numbers:
-            return 0, {}
-        stream = fs.open(path(f"{self._manifests}/{numbers[-1]}.json"))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _manifest(self, number: int) -> tuple[T.StructType, dict[str, str]]:
+        """Schema and content: folder of the partition value -> version."""
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self._manifests}/{number}.json"))
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            body = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return numbers[-1], json.loads(text)
+        return T.StructType.fromJson(body["schema"]), body["folders"]
 
-    def _commit(self, number: int, entries: dict[str, str]) -> None:
+    def _commit(self, number: int, schema: T.StructType, folders: dict[str, str]) -> None:
         fs, path = self._fs()
         fs.mkdirs(path(self._manifests))
         draft = path(f"{self._manifests}/.draft-{uuid.uuid4().hex}")
         stream = fs.create(draft, False)
-        stream.write(bytearray(json.dumps(entries).encode()))
+        stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "folders": folders}).encode()))
         stream.close()
         target = path(f"{self._manifests}/{number}.json")
         if fs.exists(target) or not fs.rename(draft, target):
@@ -130,21 +152,25 @@ class VersionedTable:
 
     @property
     def exists(self) -> bool:
-        return bool(self._latest()[0])
+        return bool(self._numbers())
 
     # --- reading ---
 
-    def _read(self, entries: dict[str, str]) -> DataFrame:
+    def _read(self, schema: T.StructType, folders: dict[str, str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
         if not self.partition:
-            return self.spark.read.parquet(f"{self._data}/version={entries['']}")
-        folders = [f"{self._data}/{self.partition}={value}/version={version}" for value, version in entries.items()]
-        return self.spark.read.option("basePath", self._data).parquet(*folders).drop("version")
+            return self.spark.read.schema(schema).parquet(f"{self._data}/version={folders['']}")
+        paths = [f"{self._data}/{folder}/version={version}" for folder, version in folders.items()]
+        stamped = T.StructType([*schema.fields, T.StructField("version", T.StringType())])
+        # the declared schema keeps the partition column's type, whatever its folder names look like
+        return self.spark.read.schema(stamped).option("basePath", self._data).parquet(*paths).select(*schema.names)
 
     def read(self) -> DataFrame:
-        number, entries = self._latest()
-        if not number:
+        numbers = self._numbers()
+        if not numbers:
             raise FileNotFoundError(self.root)
-        return self._read(entries)
+        return self._read(*self._manifest(numbers[-1]))
 
     # --- writing ---
 
@@ -158,43 +184,73 @@ class VersionedTable:
         stamped = df.withColumn("version", F.lit(version)).hint("rebalance", F.col(self.partition))
         stamped.write.mode("append").partitionBy(self.partition, "version").parquet(self._data)
         fs, path = self._fs()
-        found = fs.globStatus(path(f"{self._data}/{self.partition}=*/version={version}")) or []
-        return {s.getPath().getParent().getName().split("=", 1)[1]: version for s in found}
+        found = fs.globStatus(path(f"{self._data}/*/version={version}")) or []
+        return {s.getPath().getParent().getName(): version for s in found}
+
+    def _folders_of(self, rows: DataFrame) -> set[str]:
+        """The folder names that Spark gives to the partition values of some rows.  They are calendar keys, so few."""
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        values = rows.select(F.col(self.partition).cast("string")).distinct().collect()
+        return {f"{escape(self.partition)}={escape(v) if v else NO_VALUE}" for (v,) in values}
 
     def full_refresh(self, df: DataFrame) -> None:
-        """Replace the whole content.  An empty frame empties an unpartitioned table."""
-        number, _ = self._latest()
-        self._commit(number + 1, self._write(df))
+        """Replace the whole content; an empty frame empties the table."""
+        numbers = self._numbers()
+        self._commit(numbers[-1] + 1 if numbers else 1, df.schema, self._write(df))
 
     def merge(self, changes: DataFrame, keys: Iterable[str], order: Iterable[str] = (),
-              how: Callable[..., DataFrame] = upsert, rows_may_move: bool = False) -> None:
+              how: Callable[..., DataFrame] = upsert, rows_may_move: bool = True) -> None:
         """Apply a change set and publish the result.
 
         The change set is reduced to one row per key and written out once: it is read several
         times, and its known size lets the optimizer broadcast it when it is small, so that the
         target is not shuffled for a few changes.
 
-        With a partition column only the touched values are read and rewritten.  Rows keep their
-        value by default; ``rows_may_move`` also looks for the changed keys under other values,
-        reading the key columns only.  The values are calendar keys, so the list is short.
+        With a partition column only the touched values are read and rewritten: those of the changes, and
+        those under which the changed keys are held now, found by reading the key columns.  A caller whose
+        rows never change their value can save that read with ``rows_may_move=False``.
         """
         keys, order = list(keys), list(order)
-        number, entries = self._latest()
-        fresh = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(keys)
-        if not number:
-            self._commit(1, self._write(fresh))
+        numbers = self._numbers()
+        fresh = latest_per_key(changes, keys, order)
+        if not numbers:
+            self._commit(1, fresh.schema, self._write(fresh))
             return
-        fresh = written(fresh, "changes")
+        schema, folders = self._manifest(numbers[-1])
+        fresh = written(fresh.select(*schema.names), "changes")
         if fresh.isEmpty():
             return
-        touched = dict(entries)
+        touched = dict(folders)
         if self.partition:
             values = fresh.select(self.partition)
             if rows_may_move:
-                held = self.read().join(fresh.select(*keys), keys, "left_semi")
+                held = join_keys(self._read(schema, folders), fresh.select(*keys), keys, "left_semi")
                 values = values.union(held.select(self.partition))
-            wanted = {str(r[0]) for r in values.distinct().collect()}
-            touched = {v: folder for v, folder in entries.items() if v in wanted}
-        result = how(self._read(touched), fresh, keys) if touched else fresh
-        untouched = {v: f for v, f in entries.items() if v not in touched}
-        self._commit(number + 1, {**untouched, **self._write(result)})
+            wanted = self._folders_of(values)
+            touched = {folder: version for folder, version in folders.items() if folder in wanted}
+        rewritten = self._write(how(self._read(schema, touched), fresh, keys, order))
+        untouched = {folder: version for folder, version in folders.items() if folder not in touched}
+        if lost := untouched.keys() & rewritten.keys():
+            raise RuntimeError(f"rows were written under values that were not read: {sorted(lost)}")
+        self._commit(numbers[-1] + 1, schema, {**untouched, **rewritten})
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all but the newest manifests, and the folders that none of those names; the number of deleted folders.
+
+        Not while another writer is at work: its folders are in no manifest yet.
+        """
+        if keep < 1:
+            raise ValueError("keep the current version")
+        fs, path = self._fs()
+        numbers = self._numbers()
+        named = {(folder, version) for n in numbers[-keep:] for folder, version in self._manifest(n)[1].items()}
+        for n in numbers[:-keep]:
+            fs.delete(path(f"{self._manifests}/{n}.json"), False)
+        gone = 0
+        for status in fs.globStatus(path(f"{self._data}/*/version=*" if self.partition else f"{self._data}/version=*")) or []:
+            own = status.getPath()
+            folder = own.getParent().getName() if self.partition else ""
+            if (folder, own.getName().split("=", 1)[1]) not in named:
+                fs.delete(own, True)
+                gone += 1
+        return gone

@@ -10,12 +10,13 @@ import datetime as dt
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lonja.operators.merge import VersionedTable
+from lonja.operators.merge import VersionedTable, join_keys, latest_per_key
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, glob: str | None = None, files_per_batch: int | None = None,
@@ -49,10 +50,25 @@ def upsert_stream(changes: DataFrame, table: VersionedTable, keys: Iterable[str]
     return query
 
 
-def append_once(rows: DataFrame, keys: Iterable[str], ts: str, path: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
-    """Write the first row of each key; repeats inside the lateness window are dropped."""
-    unique = rows.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
-    return run_available(unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint))
+def append_once(rows: DataFrame, keys: Iterable[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Append one row of each key over all history, however late it comes.
+
+    Every micro-batch meets the keys written so far, so no state is kept and no row is late.  A batch that runs
+    again adds nothing.
+    """
+    keys = list(keys)
+
+    def apply(batch: DataFrame, _batch_id: int) -> None:
+        fresh = latest_per_key(batch, keys, [])
+        try:
+            held = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*keys)
+        except AnalysisException:  # nothing was written yet
+            held = None
+        if held is not None:
+            fresh = join_keys(fresh, held, keys, "left_anti")
+        fresh.write.mode("append").parquet(path)
+
+    return run_available(rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
 
 
 def windowed_totals(rows: DataFrame, ts: str, value: Column, keys: Iterable[str] = (), every: str = "1 hour",
@@ -94,7 +110,7 @@ def sessions(spans: DataFrame, gap: str = "10 seconds", lateness: str = "10 seco
         "trace_id", F.col("session_window.start").alias("first_ts"), "has_error", "spans", "elapsed_ms")
 
 
-TRACE_STATE = "first_us long, start_us long, end_us long, has_error boolean, spans long, decided boolean"
+TRACE_STATE = "starts array<bigint>, ends array<bigint>, errors array<boolean>, counts array<bigint>, decided boolean"
 TRACE_OUTPUT = "trace_id string, first_ts timestamp, has_error boolean, spans long, elapsed_ms double"
 
 
@@ -102,8 +118,10 @@ def decide_after_first(spans: DataFrame, wait_seconds: int = 10, remember_second
                        lateness: str = "10 seconds") -> DataFrame:
     """The decision falls a fixed time after the FIRST span of a trace; later spans do not count.
 
-    The state of a trace is six values, whatever its number of spans.  After its decision it is
-    remembered for a while, so that late spans do not decide it again, and then it leaves.
+    The state of a trace has one entry for each distinct start inside the wait, folded over the spans that
+    share it.  A span that comes late but is the first moves the wait, and entries that then lie beyond it go; what
+    lay beyond an earlier wait can never come back inside.  After its decision a trace is remembered for a
+    while, so that late spans do not decide it again, and then it leaves.
     """
     wait_us, remember_us = wait_seconds * 1_000_000, remember_seconds * 1_000_000
 
@@ -112,31 +130,34 @@ def decide_after_first(spans: DataFrame, wait_seconds: int = 10, remember_second
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            first, start, end, error, n, decided = state.get
+            starts, ends, errors, counts, decided = state.get
             if decided:
                 state.remove()
                 return
-            state.update((first, start, end, error, n, True))
-            arm(state, first + remember_us)
-            yield pd.DataFrame({"trace_id": [key[0]], "first_ts": [pd.Timestamp(first, unit="us", tz="UTC")], "has_error": [bool(error)],
-                                "spans": [n], "elapsed_ms": [(end - start) / 1000.0]})
-            return
-        if state.exists and state.get[5]:
-            arm(state, state.get[0] + remember_us)
+            state.update(([min(starts)], [], [], [], True))
+            arm(state, min(starts) + remember_us)
+            yield pd.DataFrame({"trace_id": [key[0]], "first_ts": [pd.Timestamp(min(starts), unit="us", tz="UTC")], "has_error": [any(errors)],
+                                "spans": [sum(counts)], "elapsed_ms": [(max(ends) - min(starts)) / 1000.0]})
             return
-        parts = [p for p in batches if len(p)]
-        if not parts:
+        if state.exists and state.get[4]:
+            arm(state, state.get[0][0] + remember_us)
             return
-        pdf = pd.concat(parts)
-        at = pd.to_datetime(pdf["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64")
-        first = min(state.get[0], int(at.min())) if state.exists else int(at.min())
-        inside = at <= first + wait_us
-        at, pdf = at[inside], pdf[inside]
-        ends = at + pdf["duration_ms"].astype("int64") * 1000
-        old = state.get if state.exists else (first, first, first, False, 0, False)
-        state.update((first, min([old[1], *at.tolist()]), max([old[2], *ends.tolist()]), bool(old[3] or pdf["is_error"].any()),
-                      old[4] + len(pdf), False))
-        arm(state, first + wait_us)
+        held = {s: (e, x, n) for s, e, x, n in zip(*state.get[:4], strict=True)} if state.exists else {}
+        for pdf in batches:
+            at = pd.to_datetime(pdf["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64")
+            if not len(at):
+                continue
+            first = min([int(at.min()), *held])
+            part = pd.DataFrame({"at": at, "end": at + pdf["duration_ms"].astype("int64") * 1000, "error": pdf["is_error"]})
+            folded = part[part["at"] <= first + wait_us].groupby("at").agg(end=("end", "max"), error=("error", "any"), n=("at", "size"))
+            for start, end, error, n in folded.itertuples():
+                old = held.get(start, (end, False, 0))
+                held[start] = (max(old[0], int(end)), bool(old[1] or error), old[2] + int(n))
+            held = {s: x for s, x in held.items() if s <= first + wait_us}
+        if held:
+            starts = sorted(int(x) for x in held)
+            state.update((starts, [held[s][0] for s in starts], [held[s][1] for s in starts], [held[s][2] for s in starts], False))
+            arm(state, starts[0] + wait_us)
 
     return (spans.withWatermark("ts", lateness).groupBy("trace_id")
             .applyInPandasWithState(step, TRACE_OUTPUT, TRACE_STATE, "append", GroupStateTimeout.EventTimeTimeout))

@@ -36,8 +36,22 @@ def test_append_once(spark, rows, tmp_path):
     put(spark, tmp_path / "in", [(1, T0), (2, T0), (1, T0 + dt.timedelta(hours=1))], schema)
     put(spark, tmp_path / "in", [(1, T0 + dt.timedelta(hours=2)), (3, T0)], schema)
     stream = jobs.file_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
-    jobs.append_once(stream, ["k"], "ts", str(tmp_path / "out"), str(tmp_path / "cp"))
+    jobs.append_once(stream, ["k"], str(tmp_path / "out"), str(tmp_path / "cp"))
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("k")) == [(1,), (2,), (3,)]
+    # a key that comes back after months, and a row that is months late
+    put(spark, tmp_path / "in", [(1, T0 + dt.timedelta(days=200)), (4, T0 - dt.timedelta(days=200)), (None, T0)], schema)
+    jobs.append_once(jobs.file_stream(spark, str(tmp_path / "in"), schema), ["k"], str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("k")) == [(1,), (2,), (3,), (4,), (None,)]
+
+
+def test_upserts_out_of_order_keep_the_newest(spark, rows, tmp_path):
+    schema = "k int, v string, at int"
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    for batch in ([(1, "new", 9), (2, "b", 1)], [(1, "old", 3), (2, "B", 5)], [(2, "late", 2), (3, "c", 1)]):
+        put(spark, tmp_path / "in", batch, schema)
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+        jobs.upsert_stream(stream, table, ["k"], ["at"], str(tmp_path / "cp"))
+    assert rows(table.read()) == [(1, "new", 9), (2, "B", 5), (3, "c", 1)]
 
 
 def test_late_rows_still_count(spark, rows, tmp_path):
@@ -73,6 +87,18 @@ def test_trace_decisions(spark, tmp_path):
     assert {r["trace_id"] for r in batch.where("keep").collect()} == {"err", "slow"}
 
 
+def test_a_first_span_that_comes_late_moves_the_wait(spark, tmp_path):
+    schema = "trace_id string, ts timestamp, duration_ms long, is_error boolean"
+    sec = lambda n: T0 + dt.timedelta(seconds=n)
+    for batch in ([("x", sec(8), 5, False), ("x", sec(17), 5, True)], [("x", sec(0), 5, False)], [("end", sec(90_000), 1, False)]):
+        put(spark, tmp_path / "in", batch, schema)
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+        jobs.run_available(jobs.decide_after_first(stream, lateness="1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                           .option("checkpointLocation", str(tmp_path / "cp")))
+    got = [(r["spans"], r["has_error"], r["elapsed_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).where("trace_id = 'x'").collect()]
+    assert got == [(2, False, 8005.0)]
+
+
 def test_late_spans_do_not_decide_again(spark, tmp_path):
     schema = "trace_id string, ts timestamp, duration_ms long, is_error boolean"
     sec = lambda n: T0 + dt.timedelta(seconds=n)
