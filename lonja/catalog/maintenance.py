@@ -73,8 +73,8 @@ def _ingest(c: Catalog) -> None:
     c.add("a5_unpivot_slots", "item_id l, store s, size s, qty l", lambda s: ingest.unpivot_slots(s.wide_stock(), ["item_id", "store"], "talla", "stock", 7),
           "SELECT item_id, store, size, qty FROM r_stock")
     c.add("a6_sum_slots", "item_id l, qty l", lambda s: ingest.sum_slots(
-        s.wide_stock().where("store = '3'").select("item_id", *[f"stock{i}" for i in range(1, 8)]), "item_id", "stock", 7),
-        "SELECT item_id, SUM(qty) AS qty FROM r_stock WHERE store = '3' AND item_id <> 0 GROUP BY 1")
+        s.wide_stock().select("item_id", *[f"stock{i}" for i in range(1, 8)]), "item_id", "stock", 7).groupBy("item_id").agg(F.sum("qty").alias("qty")),
+        "SELECT item_id, SUM(qty) AS qty FROM r_stock WHERE item_id <> 0 GROUP BY 1")
     c.add("a7_quarantine", "good l, bad l", lambda s: base.one_row(*[
         f.agg(F.count(F.lit(1)).alias(n)) for n, f in zip(("good", "bad"), ingest.quarantine(s.items, ["item_id", "description", "family"]))]), """
         SELECT COUNT(*) FILTER (WHERE COALESCE(TRIM(description), '') <> '' AND COALESCE(TRIM(family), '') <> '') AS good,
@@ -103,8 +103,11 @@ def _merge(c: Catalog) -> None:
         WITH {CHANGES_SQL} SELECT * FROM t UNION ALL SELECT * FROM n""")
     c.add("a14_append", LINE_COLUMNS, lambda s: _appended(s), f"WITH {CHANGES_SQL} SELECT * FROM t UNION ALL SELECT * FROM n")
     c.add("a12_monthly_merge", LINE_COLUMNS + ", month l", _merged_months, f"""
-        WITH {CHANGES_SQL} SELECT *, year(l_shipdate) * 100 + month(l_shipdate) AS month FROM (SELECT * FROM t WHERE l_orderkey % 2 <> 0 OR year(l_shipdate) <> 2001
-            UNION ALL SELECT * FROM d WHERE year(l_shipdate) = 2001 UNION ALL SELECT * FROM n WHERE year(l_shipdate) = 2001)""")
+        WITH {CHANGES_SQL}, m AS (SELECT *, false AS changed FROM t WHERE l_orderkey % 2 <> 0 OR year(l_shipdate) <> 2001
+            UNION ALL SELECT *, true FROM d WHERE year(l_shipdate) = 2001 UNION ALL SELECT *, true FROM n WHERE year(l_shipdate) = 2001),
+        p AS (SELECT *, changed AND l_orderkey % 3 = 0 AS moved FROM m)
+        SELECT l_orderkey, l_linenumber, l_partkey, qty, l_shipdate, CASE WHEN moved OR l_orderkey % 10 <> 0
+            THEN CAST(strftime(l_shipdate + CASE WHEN moved THEN INTERVAL 1 MONTH ELSE INTERVAL 0 MONTH END, '%Y%m') AS BIGINT) END AS month FROM p""")
     c.add("a15_full_refresh", LINE_COLUMNS, lambda s: _refreshed(s), f"WITH {CHANGES_SQL} SELECT * FROM n")
     c.add("a16_replace_children", "l_orderkey l, l_linenumber l, qty l", lambda s: merge.replace_children(
         _line_table(s), s.raw("orders").where("o_orderdate >= '2001-05-31'").select(F.col("o_orderkey").alias("l_orderkey")),
@@ -122,11 +125,15 @@ def _merge(c: Catalog) -> None:
 
 
 def _merged_months(s):
-    """Merge the 2001 changes into a table kept by month: the folders of other years are not touched."""
-    month = P.month_of("l_shipdate").alias("month")
+    """Merge the 2001 changes into a table kept by month: the folders of other years are not touched.
+
+    Every tenth order has no month at first; changed lines of every third order move to the next month.
+    """
+    month = F.when(F.col("l_orderkey") % 10 != 0, P.month_of("l_shipdate"))
+    moved = F.when(F.col("l_orderkey") % 3 == 0, P.month_of(F.add_months("l_shipdate", 1))).otherwise(month)
     table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "monthly"), partition="month")
-    table.full_refresh(_line_table(s).select("*", month))
-    changed = _changes(s).where("year(l_shipdate) = 2001").select("*", month)
+    table.full_refresh(_line_table(s).select("*", month.alias("month")))
+    changed = _changes(s).where("year(l_shipdate) = 2001").select("*", moved.alias("month"))
     table.merge(changed, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
     return table.read()
 
@@ -206,8 +213,8 @@ def _joins(c: Catalog) -> None:
     c.add("c3_unresolved_families", "family s, items l", lambda s: s.items.groupBy(L.family_label().alias("label")).agg(F.count(F.lit(1)).alias("items")).withColumnRenamed("label", "family"),
           "SELECT COALESCE(NULLIF(TRIM(family), ''), 'Sin clasificar') AS family, COUNT(*) AS items FROM r_items GROUP BY 1")
     c.add("c7_not_sold_null_safe", "item_id l", lambda s: s.items.select("item_id").join(
-        s.lines.where(base.line_window(T.Range(AS_OF, AS_OF))).select(F.when(F.col("line_no") != 1, F.col("item_id")).alias("item_id")).distinct(), "item_id", "left_anti"), """
-        SELECT item_id FROM r_items p WHERE NOT EXISTS (SELECT 1 FROM r_lines l WHERE l.item_id = p.item_id AND l.line_no <> 1 AND l.sale_date = DATE '2001-06-15')""")
+        s.lines.where(base.line_window(LAST_30)).select(F.when(F.col("line_no") != 1, F.col("item_id")).alias("item_id")).distinct(), "item_id", "left_anti"), f"""
+        SELECT item_id FROM r_items p WHERE NOT EXISTS (SELECT 1 FROM r_lines l WHERE l.item_id = p.item_id AND l.line_no <> 1 AND l.sale_date {IN30})""")
     c.add("c17_comparison_overlay", "label s, now d, before d", lambda s: q.store_sales(s, LAST_30).select(F.col("store").alias("label"), F.col("net").alias("now")).join(
         q.store_sales(s, T.year_before(LAST_30)).select(F.col("store").alias("label"), F.col("net").alias("before")), "label", "left"), f"""
         SELECT n.store AS label, now, before FROM (SELECT store, SUM(net) AS now FROM r_tickets WHERE {SALE} AND sale_date {IN30} GROUP BY 1) n
@@ -236,10 +243,10 @@ def _functions(c: Catalog) -> None:
         SELECT ref, ROUND(CAST(SUM(l.net) - SUM(l.units * p.unit_cost) AS DOUBLE) / NULLIF(CAST(SUM(l.net) AS DOUBLE), 0) * 100, 1) AS margin_pct FROM r_lines l JOIN r_tickets v ON v.ticket_id = l.ticket_id
         JOIN r_items p ON p.item_id = l.item_id WHERE v.is_sale AND l.net > 0 GROUP BY 1 ORDER BY margin_pct ASC NULLS LAST, ref LIMIT 15""")
     mixed = "CASE WHEN item_id % 5 = 0 THEN CAST(item_id * 37 % 1000 AS VARCHAR) WHEN item_id % 5 = 1 THEN ' ' ELSE description END"
-    c.add("g4_mixed_sort_head", "item_id l, cell s", lambda s: ranking.top(s.items.select("item_id", F.expr(mixed.replace("VARCHAR", "STRING")).alias("cell")).where("cell IS NOT NULL"), 450,
+    c.add("g4_mixed_sort_head", "item_id l, cell s", lambda s: ranking.top(s.items.select("item_id", F.expr(mixed.replace("VARCHAR", "STRING")).alias("cell")), 450,
                                                                           *ranking.mixed_order("cell"), F.asc("item_id")), f"""
-        SELECT item_id, cell FROM (SELECT item_id, {mixed} AS cell FROM r_items) WHERE cell IS NOT NULL
-        ORDER BY TRIM(cell) = '', TRY_CAST(cell AS DOUBLE) NULLS LAST, lower(cell), item_id LIMIT 450""")
+        SELECT item_id, cell FROM (SELECT item_id, {mixed} AS cell FROM r_items)
+        ORDER BY COALESCE(TRIM(cell) = '', true), TRY_CAST(cell AS DOUBLE) NULLS LAST, lower(cell), item_id LIMIT 450""")
     c.add("g5_keyset_page", "o_orderkey l, o_totalprice d", lambda s: ranking.page_after(s.raw("orders").select("o_orderkey", "o_totalprice"), 25, "o_orderkey", 7000),
           "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 7000 ORDER BY o_orderkey LIMIT 25")
     c.add("h3_distinct_brands", "brand s", lambda s: s.items.select("brand").distinct(), "SELECT DISTINCT brand FROM r_items")
@@ -249,10 +256,17 @@ def _event_stream(s, columns: list[str]):
     return jobs.file_stream(s.spark, s.path, SCHEMAS["events"], glob="events.parquet").select(*columns)
 
 
+def _scattered_events(s, columns: list[str], files: int = 4):
+    """The events dealt to files by a hash, one file to a micro-batch: newer rows come before older ones."""
+    folder = scratch_dir(s.spark, "events")
+    s.raw("events").repartition(files, "event_id").write.parquet(folder)
+    return jobs.file_stream(s.spark, folder, SCHEMAS["events"], files_per_batch=1).select(*columns)
+
+
 def _streams(c: Catalog) -> None:
     def upserted(s):
         table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "stream-upsert"))
-        jobs.upsert_stream(_event_stream(s, ["user_id", "event_id", "ts", "event_type", "value"]), table, ["user_id"], ["ts", "event_id"], scratch_dir(s.spark, "cp"))
+        jobs.upsert_stream(_scattered_events(s, ["user_id", "event_id", "ts", "event_type", "value"]), table, ["user_id"], ["ts", "event_id"], scratch_dir(s.spark, "cp"))
         return table.read()
     c.add("j1_stream_upsert", "user_id l, event_id l, event_type s, value d", upserted, """
         SELECT user_id, event_id, event_type, value FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
@@ -268,8 +282,8 @@ def _streams(c: Catalog) -> None:
 
     def once(s):
         out = scratch_dir(s.spark, "stream-once")
-        rows = _event_stream(s, ["ts", "user_id", "event_type"]).select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-        jobs.append_once(rows, ["user_id", "event_type"], "ts", out, scratch_dir(s.spark, "cp"), lateness="40 days")
+        rows = _scattered_events(s, ["user_id", "event_type"])
+        jobs.append_once(rows, ["user_id", "event_type"], out, scratch_dir(s.spark, "cp"))
         return s.spark.read.parquet(out)
     c.add("j3_append_once_per_key", "user_id l, event_type s", once, "SELECT DISTINCT user_id, event_type FROM events")
     c.add("j4_running_day_by_hour", "day date, hour l, total d, running d", lambda s: jobs.running_day(hourly(s, "1 hour", [])), """

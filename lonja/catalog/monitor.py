@@ -161,8 +161,8 @@ def _chats(c: Catalog) -> None:
         F.col("user_id").alias("document_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("version_id"))), """
         SELECT event_id AS version_id, user_id AS document_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events""")
     c.add("h2_revision_diff", "text s, change s", lambda s: m.revision_diff(*[
-        s.raw("conversations").where(F.col("turn") == n).select("text") for n in (0, 2)]), """
-        WITH b AS (SELECT text FROM conversations WHERE turn = 0), a AS (SELECT text FROM conversations WHERE turn = 2)
+        s.raw("conversations").where(F.col("turn") % 2 == n).select("text") for n in (0, 1)]), """
+        WITH b AS (SELECT text FROM conversations WHERE turn % 2 = 0), a AS (SELECT text FROM conversations WHERE turn % 2 = 1)
         SELECT text, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT text, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -37,11 +38,12 @@ def _number(value):
     if isinstance(value, bool):
         return None
     if isinstance(value, (int, float)):
-        return value
+        return value if math.isfinite(value) else None
     try:
-        return float(value) if isinstance(value, str) and value.strip() else None
+        number = float(value) if isinstance(value, str) and value.strip() else None
     except ValueError:
         return None
+    return number if number is not None and math.isfinite(number) else None
 
 
 def single(column: Column, value, kind: str = "text") -> Column | None:
@@ -55,10 +57,13 @@ def single(column: Column, value, kind: str = "text") -> Column | None:
 
 def multi(column: Column, values, kind: str = "text") -> Column | None:
     """Membership in the selected values; None (inactive) for an empty list or a wrong type."""
-    expected = (int, float) if kind == "numeric" else str
-    if not isinstance(values, (list, tuple)) or not values or not all(isinstance(v, expected) for v in values):
+    if not isinstance(values, (list, tuple)) or not values:
         return None
-    return column.isin(*values)
+    if kind == "numeric":
+        usable = all(isinstance(v, (int, float)) and _number(v) is not None for v in values)
+    else:
+        usable = all(isinstance(v, str) and v.strip() for v in values)
+    return column.isin(*values) if usable else None
 
 
 @dataclass(frozen=True)

@@ -1,15 +1,17 @@
 """Role tables from the mirror tables of the ERP.
 
 ``BINDINGS`` states which mirror column feeds which role column; everything else is a plain
-select.  A role may read columns that a mirror does not have yet: they become NULL.
+select.  A bound column that a mirror lacks is an error, but for those in ``LATER``, which were added to the mirror
+after its first tables and are NULL until then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lonja.functions.predicates import month_of
 from lonja.model import SPECS
@@ -18,7 +20,7 @@ from lonja.sources.star import Star
 
 # Mirror table of each role, and role column = mirror column.
 BINDINGS: dict[str, tuple[str, str]] = {
-    "tickets": ("ps_ventas", "ticket_id=reg_ventas store=tienda sale_date=fecha_creacion hour=hora net=total_si "
+    "tickets": ("ps_ventas", "ticket_id=reg_ventas store=tienda sale_date=fecha_creacion hour=hora_creacion net=total_si "
                              "customer_id=num_cliente is_sale=entrada"),
     "lines": ("ps_lineas_ventas", "line_id=reg_lineas ticket_id=num_ventas item_id=codigo sale_date=fecha_creacion "
                                   "units=unidades net=total_si cost=total_coste_si month=mes"),
@@ -26,7 +28,7 @@ BINDINGS: dict[str, tuple[str, str]] = {
                                     "amount=importe_cob paid_on=fecha_creacion store=tienda is_collection=entrada"),
     "stores": ("ps_tiendas", "store=codigo name=identificador town=poblacion updated_on=fecha_modifica"),
     "customers": ("ps_clientes", "customer_id=reg_cliente customer_no=num_cliente name=nombre tax_id=nif "
-                                 "created_on=fecha_creacion last_purchase=ultima_compra_f is_wholesale=mayorista"),
+                                 "created_on=fecha_creacion last_purchase=ultima_compra_f"),
     "suppliers": ("ps_proveedores", "supplier_id=reg_proveedor name=nombre"),
     "reps": ("ps_gc_comerciales", "rep_id=reg_comercial rep=comercial"),
     "stock": ("ps_stock_tienda", "item_id=codigo store=tienda size=talla qty=stock"),
@@ -58,6 +60,19 @@ BINDINGS: dict[str, tuple[str, str]] = {
 }
 
 
+LATER = {"hora_creacion"}
+
+
+def hour_of(df: DataFrame, column: str) -> Column:
+    """Hour of day from a time of day, however the mirror stores it: time, timestamp, text "HH:MM:SS" or a number."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(column).cast("int")
+    if isinstance(kind, T.StringType):
+        return F.substring_index(F.trim(column), ":", 1).try_cast("int")
+    return F.hour(column)
+
+
 class MirrorStar(Star):
     """``table(name)`` returns a mirror table, for example ``lambda n: spark.read.parquet(f"{root}/{n}")``."""
 
@@ -74,11 +89,20 @@ class MirrorStar(Star):
     def _bound(self, role: str) -> DataFrame:
         name, pairs = BINDINGS[role]
         mapping = {source: target for target, source in (p.split("=") for p in pairs.split())}
-        return project_rename(self._table(name), mapping, SPECS[role])
+        table = self._table(name)
+        if missing := {*mapping} - LATER - {c.lower() for c in table.columns}:
+            raise LookupError(f"{name} lacks {sorted(missing)}")
+        if "hora_creacion" in mapping and "hora_creacion" in table.columns:
+            table = table.withColumn("hora_creacion", hour_of(table, "hora_creacion"))
+        return project_rename(table, mapping, SPECS[role])
 
     def _tickets(self) -> DataFrame:
         return self._bound("tickets").withColumn("month", month_of("sale_date"))
 
+    def _customers(self) -> DataFrame:
+        """The mirror does not say which customers are wholesale ones."""
+        return self._bound("customers").withColumn("is_wholesale", F.lit(None).cast("boolean"))
+
     def _items(self) -> DataFrame:
         """Items with the labels of their family, department, brand and color; unresolved ones stay."""
         items = self._table("ps_articulos")
@@ -110,4 +134,4 @@ class MirrorStar(Star):
         return lines.join(codes, "item_key", "left").withColumn("item_id", F.coalesce("code", "item_id")).drop("code", "item_key")
 
     def _collections(self) -> DataFrame:
-        return self._table("ps_gc_cobros").select(F.col("num_factura").alias("invoice_id"), F.col("importe").alias("amount"))
+        raise LookupError("the mirror has no table of collections; reports on them need a source of their own")

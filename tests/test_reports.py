@@ -15,10 +15,10 @@ DAY = D(2026, 5, 14)
 MAY = Range(D(2026, 5, 1), D(2026, 5, 31))
 
 TABLES = {
-    "ps_ventas": ("reg_ventas decimal(20,3), tienda string, fecha_creacion date, hora int, total_si decimal(15,2), num_cliente decimal(20,3), entrada boolean", [
-        (X("1.153"), "104", DAY, 10, X("60.00"), X("0.000"), True), (X("2.153"), "104", DAY, 12, X("40.00"), X("7.990"), True),
-        (X("3.153"), "104", DAY, None, X("-10.00"), X("7.990"), False), (X("4.153"), "99", DAY, 9, X("999.00"), X("0.000"), True),
-        (X("5.153"), None, DAY, 9, X("999.00"), X("0.000"), True), (X("6.153"), "105", D(2025, 5, 14), 11, X("50.00"), X("8.990"), True)]),
+    "ps_ventas": ("reg_ventas decimal(20,3), tienda string, fecha_creacion date, hora_creacion string, total_si decimal(15,2), num_cliente decimal(20,3), entrada boolean", [
+        (X("1.153"), "104", DAY, "10:31:07", X("60.00"), X("0.000"), True), (X("2.153"), "104", DAY, "12:00:00", X("40.00"), X("7.990"), True),
+        (X("3.153"), "104", DAY, None, X("-10.00"), X("7.990"), False), (X("4.153"), "99", DAY, "09:59:59", X("999.00"), X("0.000"), True),
+        (X("5.153"), None, DAY, "09:59:59", X("999.00"), X("0.000"), True), (X("6.153"), "105", D(2025, 5, 14), "11:15:00", X("50.00"), X("8.990"), True)]),
     "ps_lineas_ventas": ("reg_lineas decimal(20,3), num_ventas decimal(20,3), codigo string, fecha_creacion date, unidades decimal(10,2), total_si decimal(15,2), total_coste_si decimal(15,2), mes int", [
         (X("1"), X("1.153"), "a", DAY, X(2), X("60.00"), X("20.00"), 202605), (X("2"), X("2.153"), "b", DAY, X(1), X("40.00"), X("30.00"), 202605),
         (X("3"), X("2.153"), "b", DAY, X(1), X("0.00"), X("5.00"), 202605), (X("4"), X("9.153"), "a", DAY, X(1), X("5.00"), X("1.00"), 202605)]),
@@ -165,3 +165,26 @@ def test_shrinkage_by_hand(spark, rows):
                                   "item_id string, store string, kind string, units int")
     actual = spark.createDataFrame([("a", "1", 9)], "item_id string, store string, qty int")
     assert rows(analyses.shrinkage(initial, moves, actual)) == [("a", "1", 11, 9, -2), ("b", "1", 2, 0, -2)]
+
+
+def test_hours_of_every_kind(spark):
+    from lonja.sources.mirror import hour_of
+    for kind, value in (("string", "23:05:00"), ("int", 23), ("timestamp", dt.datetime(2026, 1, 1, 23, 5)), ("timestamp_ntz", dt.datetime(2026, 1, 1, 23, 5))):
+        df = spark.createDataFrame([(value,), (None,)], f"t {kind}")
+        assert [r[0] for r in df.select(hour_of(df, "t")).collect()] == [23, None]
+
+
+def test_unknown_columns_are_refused(spark):
+    def of(schema):
+        return MirrorStar(spark, lambda name: spark.createDataFrame([], schema))
+    columns = "reg_ventas decimal(20,3), tienda string, fecha_creacion date, total_si decimal(15,2), num_cliente decimal(20,3), entrada boolean"
+    assert of(columns).tickets.columns  # the time of day came later
+    with pytest.raises(LookupError, match="entrada"):
+        _ = of(columns.replace(", entrada boolean", "")).tickets
+    with pytest.raises(LookupError):
+        _ = of(columns).collections
+
+
+def test_intraday_reports_see_the_hour(star):
+    hours = {r["hour"]: r["net"] for r in star.tickets.where("store = '104' and is_sale and hour is not null").select("hour", "net").collect()}
+    assert hours == {10: X("60.00"), 12: X("40.00")}
