@@ -66,8 +66,10 @@ def _runs(c: Catalog) -> None:
         SELECT feed, CAST(floor((epoch_us({NOW}) - epoch_us(last_sync_at)) / 1e6) AS BIGINT) AS age_seconds FROM r_watermarks
         WHERE status IN ('ok', 'error') ORDER BY last_sync_at, feed LIMIT 1""")
     c.add("k7_recent_failures", "runs_failed l, tables_failed l", lambda s: m.recent_failures(s.runs, s.run_tables, dt.datetime(2024, 1, 1, 12)), """
-        SELECT (SELECT COUNT(*) FROM r_runs WHERE status = 'failed' AND started_at > TIMESTAMP '2023-12-31 12:00:00') AS runs_failed,
-            (SELECT COUNT(*) FROM r_run_tables t JOIN r_runs r ON r.run_id = t.run_id WHERE t.status = 'failed' AND r.started_at > TIMESTAMP '2023-12-31 12:00:00') AS tables_failed""")
+        WITH recent AS (SELECT run_id, status FROM r_runs WHERE epoch_us(started_at) > epoch_us(TIMESTAMP '2024-01-01 12:00:00') - 86400000000),
+        failed AS (SELECT 1 AS run, 0 AS feed FROM recent WHERE status = 'failed'
+            UNION ALL SELECT 0, 1 FROM r_run_tables t SEMI JOIN recent USING (run_id) WHERE t.status = 'failed')
+        SELECT COALESCE(SUM(run), 0) AS runs_failed, COALESCE(SUM(feed), 0) AS tables_failed FROM failed""")
     late = "TIMESTAMP '2024-01-31 20:00:00'"
     c.add("k8_freshness", "feed s, last_sync_at ts, is_stale b", lambda s: m.freshness(s.watermarks, dt.datetime(2024, 1, 31, 20), 24),
           f"SELECT feed, last_sync_at, epoch_us({late}) - epoch_us(last_sync_at) > 86400000000 AS is_stale FROM r_watermarks")

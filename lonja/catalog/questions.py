@@ -58,11 +58,11 @@ def _sales(c: Catalog) -> None:
     c.add("e10_4_returns", "returns l, amount d", lambda s: q.returns(s, LAST_30),
           f"SELECT COUNT(*) AS returns, ABS(SUM(net)) AS amount FROM r_tickets WHERE NOT is_sale AND sale_date {IN30}")
     c.add("e10_5_year_comparison", "period s, net d, tickets l", lambda s: q.year_comparison(s, YTD, year_before(YTD)), f"""
-        SELECT 'Este año' AS period, SUM(net) AS net, COUNT(DISTINCT ticket_id) AS tickets FROM r_tickets WHERE is_sale AND sale_date {YEAR}
-        UNION ALL SELECT 'Año anterior', SUM(net), COUNT(DISTINCT ticket_id) FROM r_tickets WHERE is_sale AND sale_date {YEAR_LY}""")
+        WITH years AS (SELECT *, CASE WHEN sale_date {YEAR} THEN 'Este año' WHEN sale_date {YEAR_LY} THEN 'Año anterior' END AS period FROM r_tickets)
+        SELECT period, SUM(net) AS net, COUNT(*) AS tickets FROM years WHERE is_sale AND period IS NOT NULL GROUP BY period""")
     c.add("e10_5_store_year_comparison", "store s, this_year d, last_year d", lambda s: q.store_year_comparison(s, YTD, year_before(YTD)), f"""
-        SELECT store, SUM(CASE WHEN sale_date {YEAR} THEN net ELSE 0 END) AS this_year, SUM(CASE WHEN sale_date {YEAR_LY} THEN net ELSE 0 END) AS last_year
-        FROM r_tickets WHERE {SALE} AND (sale_date {YEAR} OR sale_date {YEAR_LY}) GROUP BY 1""")
+        WITH sold AS (SELECT store, net, sale_date {YEAR} AS newer, sale_date {YEAR_LY} AS older FROM r_tickets WHERE {SALE})
+        SELECT store, COALESCE(SUM(net) FILTER (newer), 0) AS this_year, COALESCE(SUM(net) FILTER (older), 0) AS last_year FROM sold WHERE newer OR older GROUP BY store""")
     c.add("e10_6_store_months", "month date, store s, net d, tickets l", lambda s: q.store_months(s, YTD),
           f"SELECT date_trunc('month', sale_date) AS month, store, SUM(net) AS net, COUNT(DISTINCT ticket_id) AS tickets FROM r_tickets WHERE {SALE} AND sale_date {YEAR} GROUP BY 1, 2")
     c.add("e10_6_weekdays", "day s, dow l, net d, tickets l", lambda s: q.weekdays(s, YTD),
@@ -97,9 +97,10 @@ def _stock(c: Catalog) -> None:
         c.add(f"e10_9_stock_by_{column}", f"{column} s, refs l, qty l, value d", lambda s, col=column: q.stock_by(s, col, family=col == "family"),
               f"SELECT {column}, COUNT(DISTINCT ref) AS refs, SUM(qty) AS qty, ROUND(SUM(qty * unit_cost), 2) AS value FROM {STOCK} AND active{inner} GROUP BY 1")
     c.add("e10_10_dead_stock", "ref s, description s, season s, qty l", lambda s: q.dead_stock(s, LAST_30), f"""
-        SELECT ref, description, season, SUM(qty) AS qty FROM r_stock s JOIN r_items p ON s.item_id = p.item_id WHERE s.qty > 10 AND active
-        AND p.item_id NOT IN (SELECT DISTINCT l.item_id FROM r_lines l JOIN r_tickets v ON l.ticket_id = v.ticket_id WHERE l.sale_date {IN30} AND v.is_sale)
-        GROUP BY 1, 2, 3 ORDER BY qty DESC, ref LIMIT 30""")
+        WITH moving AS (SELECT item_id FROM r_lines SEMI JOIN (FROM r_tickets WHERE is_sale) USING (ticket_id) WHERE sale_date {IN30}),
+        still AS (FROM r_items ANTI JOIN moving USING (item_id) WHERE active)
+        SELECT ref, description, season, SUM(qty) AS qty FROM still JOIN (FROM r_stock WHERE qty > 10) USING (item_id)
+        GROUP BY ALL ORDER BY qty DESC, ref LIMIT 30""")
 
 
 def _wholesale(c: Catalog) -> None:

@@ -38,13 +38,14 @@ def register(c: Catalog) -> None:
         FROM r_invoices f LEFT JOIN r_customers c ON c.customer_id = f.customer_id WHERE NOT credit_note AND {week('invoice_date')}
         GROUP BY 1, 2 ORDER BY net DESC, 1 LIMIT 3""")
     c.add("e9_9_uninvoiced_deliveries", "pending_deliveries l", lambda s: review.uninvoiced_deliveries(s, WEEK), f"""
-        SELECT COUNT(*) AS pending_deliveries FROM r_deliveries a WHERE NOT EXISTS (SELECT 1 FROM r_invoices f WHERE f.customer_id = a.customer_id
-            AND NOT f.credit_note AND f.invoice_date >= a.sent_on AND f.invoice_date < a.sent_on + 30)
-        AND a.sent_on >= {MON} - 30 AND a.sent_on < {NEXT}""")
+        WITH sent AS (SELECT delivery_id, customer_id, sent_on FROM r_deliveries WHERE sent_on BETWEEN {MON} - 30 AND {NEXT} - 1),
+        billed AS (SELECT delivery_id FROM sent JOIN r_invoices USING (customer_id) WHERE NOT credit_note AND invoice_date - sent_on BETWEEN 0 AND 29)
+        SELECT COUNT(*) AS pending_deliveries FROM sent WHERE delivery_id NOT IN (FROM billed)""")
     c.add("e9_10_stock_totals", "store_refs l, store_units l, central_refs l, central_units l, total_units l", review.stock_totals, """
-        SELECT store_refs, store_units, central_refs, central_units, store_units + central_units AS total_units FROM
-            (SELECT COUNT(DISTINCT item_id) AS store_refs, SUM(qty) AS store_units FROM r_stock WHERE qty > 0 AND store <> '24'),
-            (SELECT COUNT(*) AS central_refs, SUM(qty) AS central_units FROM r_central WHERE qty > 0)""")
+        WITH held AS (SELECT 'shop' AS place, item_id, qty FROM r_stock WHERE store <> '24' UNION ALL SELECT 'central', item_id, qty FROM r_central)
+        SELECT COUNT(DISTINCT item_id) FILTER (place = 'shop') AS store_refs, SUM(qty) FILTER (place = 'shop') AS store_units,
+            COUNT(*) FILTER (place = 'central') AS central_refs, SUM(qty) FILTER (place = 'central') AS central_units, SUM(qty) AS total_units
+        FROM held WHERE qty > 0""")
     c.add("e9_11_critical_stock", "item_id l, qty l", lambda s: review.critical_stock(s, limit=300), """
         SELECT item_id, SUM(qty) AS qty FROM r_stock GROUP BY 1 HAVING SUM(qty) < 300 AND SUM(qty) > 0 ORDER BY qty, item_id LIMIT 20""")
     c.add("e9_12_transfers", "shipments l, units_sent d, arrivals l, units_received d", lambda s: review.transfers(s, WEEK), f"""
