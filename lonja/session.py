@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,9 @@ TUNING = {
 }
 
 
+_MADE: list[str] = []  # scratch folders of this process
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in TUNING.items():
         if spark.conf.get(key, None) != value:
@@ -28,8 +33,7 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int = 256 << 20,
-                  most: int = 100_000) -> int:
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int = 256 << 20) -> int:
     """Set the number of shuffle partitions so that one fits in an executor's memory.
 
     ``shuffled_bytes`` is what the widest stage moves: for a line-level report the selected line
@@ -37,7 +41,7 @@ def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int
     generous estimate costs little, while too few partitions spill.
     """
     cores = spark.sparkContext.defaultParallelism
-    n = min(max(-(-shuffled_bytes // partition_bytes), cores), most)
+    n = max(-(-shuffled_bytes // partition_bytes), cores)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
 
@@ -54,16 +58,35 @@ def get_session(app: str = "lonja", master: str | None = None, **conf: str) -> S
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session without that setting falls back to a temporary folder;
-    on a cluster every executor must see the same storage, so a missing setting
-    is an error there.
+    Only a local session without that setting falls back to a folder of its own, which goes when the process
+    ends; on a cluster every executor must see the same storage, so a missing setting is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = os.path.join(tempfile.gettempdir(), "lonja-scratch")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        root = _own_root()
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+@functools.cache
+def _own_root() -> str:
+    folder = tempfile.mkdtemp(prefix="lonja-scratch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this process, once no frame that reads them is needed any more; how many there were."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        folder = path(_MADE.pop())
+        gone += bool(folder.getFileSystem(conf).delete(folder, True))
+    return gone
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

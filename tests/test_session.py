@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from lonja import session
@@ -8,7 +10,7 @@ def test_shuffle_sizing(spark):
     try:
         assert session.size_shuffles(spark, 1) == spark.sparkContext.defaultParallelism
         assert session.size_shuffles(spark, 10 << 40) == 40960            # 10 TB in 256 MB pieces
-        assert session.size_shuffles(spark, 1 << 60) == 100_000
+        assert session.size_shuffles(spark, 100 << 40) == 409600          # no clamp at 100 TB
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -39,6 +41,14 @@ def test_written_frames(spark, rows):
     assert rows(df) == [(0,), (1,), (2,)]
 
 
+def test_scratch_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_MADE", [])
+    df = session.written(spark.range(3), "gone")
+    folder = session._MADE[0]
+    assert df.count() == 3 and session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
 def test_tuning_is_applied(spark):
     session.tune(spark)
     assert all(spark.conf.get(k) == v for k, v in session.TUNING.items())
