@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -36,24 +37,23 @@ DENIED_ATTRIBUTES = (
 )
 
 
-# A pattern that matches nothing and costs one fast literal search.
-_NOTHING = "\u0000\u0000nothing\u0000\u0000"
-
-
 def redact(text: Column | str, extra_rules: Sequence[tuple[str, ...]] = (), literals: Sequence[str] = ()) -> Column:
     """Replace secrets in a text column; a second pass changes nothing.  NULL becomes the empty text.
 
-    Most texts hold no secret, so a rule runs its pattern only where the text contains what the
-    rule needs.  Extra rules are (pattern, replacement) or (pattern, replacement, needed text).
-    ``literals`` are secret values to remove verbatim; those under 8 characters are ignored.
+    Most texts hold no secret, so the patterns run only where the text contains what one of the rules
+    needs.  Extra rules are (pattern, replacement) or (pattern, replacement, needed text); one without a needed
+    text opens every text.  ``literals`` are secret values to remove verbatim; those under 8 characters are ignored.
     """
     source = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    lowered, out = F.lower(source), source
-    for pattern, replacement, *needed in (*RULES, *extra_rules):
-        chosen = F.lit(pattern)
-        if needed:
-            chosen = F.when(F.contains(lowered, F.lit(needed[0])), F.lit(pattern)).otherwise(F.lit(_NOTHING))
-        out = F.regexp_replace(out, chosen, F.lit(replacement))
+    rules = (*RULES, *extra_rules)
+    clean = source
+    for pattern, replacement, *_ in rules:
+        clean = F.regexp_replace(clean, F.lit(pattern), F.lit(replacement))
+    needed = sorted({rule[2] for rule in rules if len(rule) > 2})
+    out = clean
+    if all(len(rule) > 2 for rule in rules):
+        lowered = F.lower(source)
+        out = F.when(functools.reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in needed]), clean).otherwise(source)
     for literal in literals:
         if len(literal.strip()) >= 8:
             out = F.replace(out, F.lit(literal.strip()), F.lit(REDACTED))
