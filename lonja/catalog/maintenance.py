@@ -1,6 +1,7 @@
 """Ingest, merge, filters, joins, functions and streaming jobs over the test tables."""
 
 import datetime as dt
+import functools
 
 from pyspark.sql import functions as F
 
@@ -187,6 +188,21 @@ def _filters(c: Catalog) -> None:
         SELECT department, SUM(l.net) AS net, SUM(l.units) AS units FROM r_lines l JOIN r_tickets v ON v.ticket_id = l.ticket_id JOIN r_items p ON p.item_id = l.item_id
         WHERE v.is_sale AND v.store <> '24' AND l.net > 0 AND l.sale_date BETWEEN DATE '2000-01-01' AND DATE '2001-06-15' AND v.store = '7'
             AND p.family IN ('PROMO', 'SMALL ') AND p.season IN ('PV02', 'OI05', 'OI03') AND p.family_id IS NOT NULL GROUP BY 1""")
+    every = Filters({"sex": ["H"], "department": ["widget", "rod"], "brand": ["Brand#4"], "season": ["PV01", "OI05"], "catalog_family": ["SMALL", "PROMO"],
+                     "supplier": [11, 15], "purchase_supplier": [22], "wholesale_customer": [911, 299]})
+
+    def passing(s):
+        """How many rows of its table pass each filter."""
+        tables = {"purchase_supplier": s.purchase_orders, "wholesale_customer": s.invoices,
+                  "catalog_family": s.items.withColumn("family_trimmed", F.trim("family"))}
+        counts = [every.apply(tables.get(x, s.items), x).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(x).alias("filter"), "rows") for x in every.values]
+        return functools.reduce(lambda a, b: a.unionByName(b), counts)
+
+    c.add("b15_every_filter", "filter s, rows l", passing, """
+        SELECT 'sex' AS filter, COUNT(*) AS rows FROM r_items WHERE sex = 'H' UNION ALL SELECT 'department', COUNT(*) FROM r_items WHERE department IN ('rod', 'widget')
+        UNION ALL SELECT 'brand', COUNT(*) FROM r_items WHERE brand = 'Brand#4' UNION ALL SELECT 'season', COUNT(*) FROM r_items WHERE season IN ('OI05', 'PV01')
+        UNION ALL SELECT 'catalog_family', COUNT(*) FROM r_items WHERE trim(family) IN ('PROMO', 'SMALL') UNION ALL SELECT 'supplier', COUNT(*) FROM r_items WHERE supplier_id IN (11, 15)
+        UNION ALL SELECT 'purchase_supplier', COUNT(*) FROM r_po WHERE supplier_id = 22 UNION ALL SELECT 'wholesale_customer', COUNT(*) FROM r_invoices WHERE customer_id IN (911, 299)""")
     c.add("b16_filter_options", "value s, label s", lambda s: picked.options(
         base.with_items(s, base.fold_to_items(base.retail_lines(s, base.line_window(LAST_30), positive=False), "store"), family=True), "family", "family", "family",
         cascade=("store", "family")), f"""

@@ -10,6 +10,7 @@ from lonja.functions import labels as L
 from lonja.functions import metrics as M
 from lonja.functions import redact as R
 from lonja.functions.periods import constants
+from lonja.operators import control
 from lonja.operators.similarity import best_match
 from lonja.plans import monitor as m
 from lonja.plans import review
@@ -85,6 +86,33 @@ def _runs(c: Catalog) -> None:
           "SELECT entry_id, feed, started_at, duration_ms, status, rows_synced FROM r_run_tables WHERE run_id = 42")
     c.add("k25_failed_share", "failed_share d", lambda s: review.failed_share(s.run_tables.select(F.when(F.col("status") == "failed", "x").alias("error"))),
           "SELECT AVG(CASE WHEN status = 'failed' THEN 1.0 ELSE 0.0 END) AS failed_share FROM r_run_tables")
+    def synced(s):
+        """A first success of a new feed, a later one of a known feed, a failure of another."""
+        at = dt.datetime(2024, 3, 1, 5, tzinfo=dt.timezone.utc)
+        held = s.watermarks.select("feed", F.col("last_sync_at").cast("timestamp").alias("last_sync_at"), "rows_synced", "status",
+                                   F.lit(None).cast("string").alias("error_msg"), F.lit(None).cast("timestamp").alias("updated_at"))
+        rows = control.set_watermark(held, "brand_new", at, 11, True)
+        rows = control.set_watermark(rows, "click_2", at, 12, True)
+        return control.set_watermark(rows, "view_0", at, 0, False, "lost connection")
+
+    c.add("a17_set_watermark", "feed s, last_sync_at ts, rows_synced l, status s, error_msg s", synced, """
+        WITH told(feed, moment, n, status, error) AS (VALUES ('brand_new', TIMESTAMP '2024-03-01 05:00:00', 11, 'ok', NULL),
+            ('click_2', TIMESTAMP '2024-03-01 05:00:00', 12, 'ok', NULL), ('view_0', NULL, 0, 'error', 'lost connection'))
+        SELECT feed, COALESCE(moment, last_sync_at) AS last_sync_at, CASE WHEN t.status IS NULL THEN rows_synced ELSE n END AS rows_synced,
+            COALESCE(t.status, w.status) AS status, error AS error_msg
+        FROM r_watermarks w FULL JOIN told t USING (feed)""")
+    c.add("a17_reset_watermarks", "feed s, last_sync_at ts", lambda s: control.reset_watermarks(s.watermarks, ["click_2", "view_0", "not_there"]).select("feed", "last_sync_at"),
+          "SELECT feed, last_sync_at FROM r_watermarks WHERE feed <> 'click_2' AND feed <> 'view_0'")
+    c.add("a18_finished_runs", "run_id l, status s, tables_ok l, tables_failed l, total_tables l, total_rows l", lambda s: control.finish_runs(
+        s.runs.withColumn("status", F.when(F.col("run_id") % 4 == 0, "running").otherwise(F.col("status"))),
+        s.run_tables.where("run_id % 8 <> 0"), dt.datetime(2024, 3, 1)), """
+        WITH counts AS (SELECT run_id, COUNT(*) FILTER (status = 'ok') AS fine, COUNT(*) FILTER (status <> 'ok') AS bad, SUM(rows_synced) AS n
+            FROM r_run_tables WHERE run_id % 8 <> 0 GROUP BY 1),
+        open AS (SELECT run_id, COALESCE(fine, 0) AS fine, CASE WHEN counts.run_id IS NULL THEN 1 ELSE bad END AS bad, COALESCE(n, 0) AS n
+            FROM (SELECT run_id FROM r_runs WHERE run_id % 4 = 0) LEFT JOIN counts USING (run_id))
+        SELECT run_id, CASE WHEN bad = 0 THEN 'success' WHEN fine = 0 THEN 'failed' ELSE 'partial' END AS status, fine AS tables_ok, bad AS tables_failed,
+            fine + bad AS total_tables, n AS total_rows FROM open
+        UNION ALL SELECT run_id, status, tables_ok, tables_failed, total_tables, total_rows FROM r_runs WHERE run_id % 4 <> 0""")
     c.add("a17_watermarks", "feed s, last_sync_at ts, rows_synced l, status s", lambda s: s.watermarks, "SELECT * FROM r_watermarks")
 
 

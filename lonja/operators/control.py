@@ -86,7 +86,7 @@ def finish_runs(runs: DataFrame, run_tables: DataFrame, at: dt.datetime) -> Data
 
     return joined.withColumns({
         "finished_at": closed(end, "finished_at"),
-        "duration_ms": closed((F.unix_micros(end) - F.unix_micros("started_at")) / 1000, "duration_ms"),
+        "duration_ms": closed((F.unix_micros(end) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000, "duration_ms"),
         "tables_ok": closed(ok, "tables_ok"), "tables_failed": closed(bad, "tables_failed"),
         "total_tables": closed(ok + bad, "total_tables"), "total_rows": closed(rows, "total_rows"),
         "status": closed(verdict(ok, bad), "status"),
