@@ -5,10 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from lonja.catalog import CATALOG
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = CATALOG.queries, CATALOG.sql
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,10 @@ def test_entry(spark):
     assert df.count() > 0 and "family" in df.columns
 
 
+def test_the_contract_names_every_query():
+    assert QUERIES.keys() <= contract.queries().keys() and SQL.keys() <= contract.oracle_sql().keys()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
