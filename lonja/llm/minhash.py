@@ -65,7 +65,7 @@ class Shingler:
         words, known = text.lower().split(), self.words
         if not words:
             return np.zeros(0, np.uint64)
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         for new in set(words).difference(known):
             known[new] = xxhash.xxh64_intdigest(new)

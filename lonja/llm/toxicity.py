@@ -118,7 +118,7 @@ class Finder:
 
     def find(self, text: str) -> list[int]:
         tokens = set((text or "").lower().split())
-        if len(self.cached) > 400_000:
+        if len(self.cached) > 150_000:
             self.cached.clear()
         for token in tokens.difference(self.cached):
             self.cached[token] = self._token(token)
