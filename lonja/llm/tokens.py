@@ -1,8 +1,11 @@
-"""Token ids of texts by a tokenizers file, with a bounded cache of the chunks between spaces.
-
-A chunk starts at a space or line break that follows a character other than white space.  Both byte-level and
-word-level files split there anyway, so the ids of a text are those of its chunks in a row; the library
-encodes each distinct chunk once per worker.  Special tokens in a text are ordinary text.
+"""Token ids of texts by a tokenizers file, each distinct part of a text encoded once per worker.
+
+Byte-level and word-level files split a text before white space that follows another character, between a
+line break and a word, and between a letter or number and punctuation, whatever stands around.  The ids of a
+text are therefore those of its parts in a row.  Parts are remembered within bounds.  New words of Latin
+letters go straight to the library's merge model, as the characters that stand for their bytes; other new parts go
+through the whole library, many at a time, in one text with a separator whose id no part can have.  Special
+tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -12,9 +15,18 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 CHUNK = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 UNUSUAL = re.compile(r"\s ")
-CACHED, CACHED_CHARS = 400_000, 48
+CLOSING = ".,;:!?"
+LETTERS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: a file takes words to its merge model as they are, or lowered and without the space before them
+WAYS = (lambda x: x, lambda x: x.lstrip(" ").lower())
+SAMPLES = (" Word", "word", " élève", "Straße", " x", "ÑANDÚ", " Qu")
+SEPARATOR = " \x01"
+CACHED, CACHED_CHARS, JOINED = 300_000, 48, 400
 
 
 def default_path(name: str) -> str:
@@ -23,6 +35,27 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that byte-level files use for bytes: printable Latin-1 for itself, others from 256 on in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+
+def parts_of(chunk: str) -> list[str]:
+    """Cut a chunk at its line breaks and before closing punctuation, where both sides are encoded alone anyway."""
+    lines = chunk.split("\n")
+    if len(lines) > 1 and any(not x or x[-1].isspace() or (i and x[0].isspace()) for i, x in enumerate(lines)):
+        return [chunk]
+    out = []
+    for i, line in enumerate(lines):
+        if i:
+            out.append("\n")
+        body = line.rstrip(CLOSING)
+        out += [body, line[len(body):]] if body != line and body and body[-1].isalnum() else [line]
+    return out
+
+
 class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts."""
 
@@ -32,32 +65,86 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if UNUSUAL.search(text):
-            return CHUNK.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        self.separator = self._ids([SEPARATOR])[0]
+        self.characters = byte_characters()
+        self.model = self.tokenizer.model
+        samples = self._ids(list(SAMPLES))
+        self.way = next((way for way in WAYS if [self._word(x, way) for x in SAMPLES] == samples), None)
+        self.parts: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str, way) -> bytes:
+        shown = way(word)
+        shown = shown.replace(" ", self.characters[0x20]) if shown.isascii() else shown.encode().decode("latin-1").translate(self.characters)
+        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts: words one by one in the merge model, what stays apart from a separator in one text."""
+        found = {x: self._word(x, self.way) for x in parts if LETTERS(x)} if self.way else {}
+        plain = [x for x in parts if x not in found and (x[:1] == " " or x[:1].isalnum()) and not x[-1].isspace() and "\x01" not in x]
+        mark = np.frombuffer(self.separator, np.uint32)
+        for i in range(0, len(plain), JOINED):
+            some = plain[i : i + JOINED]
+            ids = np.frombuffer(self._ids([SEPARATOR.join(some) + SEPARATOR])[0], np.uint32)
+            ends = np.flatnonzero(ids == mark[-1]) + 1
+            if len(ends) == len(some):
+                starts = [0, *ends[:-1].tolist()]
+                found.update((x, ids[a : b - len(mark)].tobytes()) for x, a, b in zip(some, starts, ends.tolist(), strict=True))
+        rest = [x for x in parts if x not in found]
+        found.update(zip(rest, self._ids(rest), strict=True))
+        return found
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        cut = [parts_of(x) for x in chunks]
+        new = set().union(*cut).difference(self.parts) if cut else set()
+        if len(self.parts) > CACHED:
+            self.parts.clear()
+            new = set().union(*cut)
+        found = self._encode(sorted(new))
+        self.parts.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
+        known = self.parts
+        return [b"".join([known[y] if y in known else found[y] for y in x]) for x in cut]
+
+    def _easy(self, words: set[str]) -> list[str]:
+        """Remember words after a space that are Latin letters and closing punctuation; the others are given back."""
+        table, hard = self.spaced, []
+        for word in words:
+            body = word.rstrip(CLOSING)
+            if len(word) > CACHED_CHARS or not WORD(body):
+                hard.append(word)
+                continue
+            ids = table.get(body)
+            if ids is None:
+                ids = table[body] = self._word(" " + body, self.way)
+            if len(body) < len(word):
+                closing = word[len(body):]
+                end = self.parts.get(closing)
+                table[word] = ids + (self._chunks([closing])[0] if end is None else end)
+        return hard
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(x) for x in texts]
-        new = list(set().union(*parts) - self.known.keys())
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = list(set().union(*parts))
-        table = dict(zip(new, self._encode(new), strict=True))
-        self.known.update((k, v) for k, v in table.items() if len(k) <= CACHED_CHARS)
-        table = self.known if all(len(k) <= CACHED_CHARS for k in new) else self.known | table
-        return [b"".join(map(table.__getitem__, x)) for x in parts]
+        usual = [not UNUSUAL.search(x) for x in texts]
+        words = [x.split(" ") if ok else [] for x, ok in zip(texts, usual, strict=True)]
+        firsts = self._chunks([x[0] if x else "" for x in words])
+        if len(self.spaced) > CACHED:
+            self.spaced.clear()
+        after = [x[1:] for x in words]
+        table, long = self.spaced, {}
+        hard = self._easy(set().union(*after).difference(table)) if self.way else list(set().union(*after).difference(table))
+        for word, value in zip(hard, self._chunks([" " + x for x in hard]), strict=True):
+            (table if len(word) <= CACHED_CHARS else long)[word] = value
+        if long:
+            table = table | long
+        out = []
+        for text, ok, first, rest in zip(texts, usual, firsts, after, strict=True):
+            out.append(first + b"".join(map(table.__getitem__, rest)) if ok else b"".join(self._chunks(CHUNK.split(text))))
+        return out
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker and file, so that its cache outlives a task."""
+    """One encoder per worker and file, so that what it remembers outlives a task."""
     return ChunkEncoder(path)
