@@ -4,8 +4,8 @@ Byte-level and word-level files split a text before white space that follows ano
 line break and a word, and between a letter or number and punctuation, whatever stands around.  The ids of a
 text are therefore those of its parts in a row.  Parts are remembered within bounds.  New words of Latin
 letters go straight to the library's merge model, as the characters that stand for their bytes; other new parts go
-through the whole library, many at a time, in one text with a separator whose id no part can have.  Special
-tokens in a text are ordinary text.
+through the whole library, many at a time, in one text with a separator whose id no part can have.  A text is
+first cut at the literals of the file's added tokens, which get their own ids, as in the library.
 """
 
 from __future__ import annotations
@@ -64,7 +64,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {x: i.to_bytes(4, "little") for x, i in added.items()}
+        self.literals = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         self.separator = self._ids([SEPARATOR])[0]
         self.characters = byte_characters()
         self.model = self.tokenizer.model
@@ -126,6 +128,14 @@ class ChunkEncoder:
         return hard
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not any(y in x for x in texts for y in self.added):
+            return self._plain(texts)
+        cut = [self.literals.split(x) if any(y in x for y in self.added) else [x] for x in texts]
+        between = iter(self._plain([y for x in cut for y in x[::2]]))
+        return [b"".join([self.added[y] if i % 2 else next(between) for i, y in enumerate(x)]) for x in cut]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         usual = [not UNUSUAL.search(x) for x in texts]
         words = [x.split(" ") if ok else [] for x, ok in zip(texts, usual, strict=True)]
         firsts = self._chunks([x[0] if x else "" for x in words])
