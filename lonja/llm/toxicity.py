@@ -28,7 +28,7 @@ from lonja.session import written
 
 #: Bounds of what is fitted on the driver; everything else covers all documents.
 TOXIC_SAMPLE, CLEAN_SAMPLE, TRAIN_SAMPLE = 4000, 8000, 12000
-VOCABULARY, VOTERS, LEAST_ROWS = 2048, 200, 8
+VOCABULARY, VOTERS = 2048, 200
 ROUNDS, SMOOTH = 6, 1.0
 SURE = 12.0  # log-likelihood ratio from which a mark counts; chance reaches it once in 2000 times
 TOGETHER = 0.6  # correlation within the toxic class from which voters share a vote
@@ -88,7 +88,7 @@ def vocabulary(docs: DataFrame, sample: DataFrame, size: int = VOCABULARY, voter
     found = []
     if n_toxic and n_clean:
         counts = rows.select("toxic", F.explode("marks").alias("mark")).groupBy("mark").agg(
-            F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).filter(F.col("t") + F.col("c") >= LEAST_ROWS)
+            F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
         lift = F.log(((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("c") + 0.5) / (n_clean + 1)))
         scored = counts.select("mark", "t", "c", lift.alias("lift"), surprise(F.col("t"), F.col("c"), n_toxic, n_clean).alias("z"))
         found = scored.filter(F.col("z") >= SURE).orderBy(F.desc("z"), "mark").limit(size).collect()
@@ -96,8 +96,9 @@ def vocabulary(docs: DataFrame, sample: DataFrame, size: int = VOCABULARY, voter
     names += [x for x in LEXICON if x not in set(names)]
     place = {x: i for i, x in enumerate(names)}
     votes = {place[x] for x in LEXICON}
-    # a voter is rare among clean texts and seen in enough toxic ones
-    good = [r for r in found if r["lift"] > 2.5 and r["t"] >= max(LEAST_ROWS, 0.004 * n_toxic)]
+    # a voter is rare among clean texts; how often it was seen counts only through its surprise, so that the marks of
+    # a small language vote too
+    good = [r for r in found if r["lift"] > 2.5]
     votes.update(place[r["mark"]] for r in sorted(good, key=lambda r: -r["z"])[:voters])
     return names, sorted(votes)
 
