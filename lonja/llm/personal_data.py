@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
 The first pass finds e-mail addresses, IP addresses, card and phone numbers (the base spans) and, besides them,
-every token that could be an identifier: a run without white space, of 6 to 128 code points after its edges are
-stripped, with a digit or an at sign.  Each has lexical patterns: the word before it, the word after it, both
-together, and its shape.
+everything that could be an identifier: a token without white space, of any length after its edges are stripped,
+with a digit or an at sign; and a run of digits in blocks with spaces, brackets, dots or hyphens between, as long as
+it goes between two base spans.  Each has lexical patterns: the word before it, the word after it, both together, and
+its shape.
 
 Base entities are seeds.  In each round Spark scores the graph of patterns and distinct instances: a pattern's
 confidence for a kind is the mean score of its instances, damped for few of them; an instance's score is
@@ -17,6 +18,7 @@ own equal results; an empty table gives none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +41,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]")
 BLANK = re.compile(r"\s")
 EDGES = ".,;:!?()[]{}\"'|#*$%&<>="
-TOKEN_CHARS = (6, 128)
+SHORT = 6
+# a block that goes on as a word ends the run before it
+BLOCKS = re.compile(r"(?<!\w)[+(]?(?<!\w)[0-9]++(?!\w)(?:[ ().-]++[0-9]++(?!\w))++")
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.string()),
                   ("before", pa.string()), ("after", pa.string()), ("shape", pa.string())])
@@ -119,11 +123,20 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
         raw = text[start:end]
         left = len(raw) - len(raw.lstrip(EDGES))
         right = len(raw.rstrip(EDGES))
-        if TOKEN_CHARS[0] <= right - left <= TOKEN_CHARS[1]:
-            yield start + left, start + right
+        yield start + left, start + right
         found = HINT.search(text, end)
 
 
+def blocks(text: str, edges: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of digit blocks with a space in them, between the sorted base spans."""
+    at = 0
+    for start, end in [*edges, (len(text), len(text))]:
+        for match in BLOCKS.finditer(text, at, start) if at < start else ():
+            if " " in match[0]:
+                yield match.span()
+        at = max(at, end)
+
+
 def entities(text: str) -> list[tuple]:
     """The base spans, and the possible identifiers that overlap none of them, whose kind is null."""
     base = base_spans(text)
@@ -135,8 +148,16 @@ def entities(text: str) -> list[tuple]:
             i += 1
         if reach <= a:
             free.append((a, b, None))
-    return [(a, b, kind, text[a:b].lower(), word_before(text, a), word_after(text, b), shape_of(text[a:b]))
-            for a, b, kind in [*base, *free]]
+    runs = list(blocks(text, edges))
+    starts = [a for a, _ in runs]
+    out = []
+    for a, b, kind in [*base, *free, *((a, b, None) for a, b in runs)]:
+        # the words around a run tell of the run, not of a short block in it
+        run = bisect_right(starts, a) - 1
+        inner = kind is None and b - a < SHORT and run >= 0 and b <= runs[run][1] and (a, b) != runs[run]
+        around = ("", "") if inner else (word_before(text, a), word_after(text, b))
+        out.append((a, b, kind, text[a:b].lower(), *around, shape_of(text[a:b])))
+    return out
 
 
 def extract(docs: DataFrame) -> DataFrame:
