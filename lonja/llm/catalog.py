@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lonja.llm.exact_dedup import exact_groups
 from lonja.llm.line_dedup import drop_shared_lines
 from lonja.llm.minhash import near_groups
 from lonja.llm.packing import pack
+from lonja.llm.periodic_runs import find_runs
 from lonja.llm.personal_data import KINDS, find, spans_text
 from lonja.llm.quality_rules import base_failed, cascade, measured, ordered, rules
 from lonja.llm.suffix_dedup import remove_repeats
@@ -143,3 +146,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def planted(doc_id: int | None, words: list[str]) -> list[str]:
+    """Every tenth document, by the checksum of its id, goes on with a period of its own from some word on."""
+    code, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or code % 10 or not n:
+        return words
+    start = code // 10 % n
+    period = 1 + (n - start) // (3 + code // 10 % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    first = F.get(F.sort_array(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"]))), F.lit(0))
+    found = find_runs(documents(spark, sf_dir), rewrite=planted).withColumn("best", first)
+    length, period = -F.col("best.col1"), F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        period.alias("period"), F.expr("-1000 * best.col1 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -29,7 +29,7 @@ def test_query(spark, con, name):
         assert QUERIES[name](spark, SF).count() >= con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
-@pytest.mark.parametrize("name", ["op3_quality_rules", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op8_line_dedup", "op11_chat_format"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -37,7 +37,7 @@ def test_native_queries_run_no_python(spark, name):
 
 def test_the_contract_has_them():
     assert {*QUERIES, "pipeline"} <= contract.queries().keys() and SQL.keys() <= contract.oracle_sql().keys()
-    assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
