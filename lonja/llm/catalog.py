@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lonja.llm.binary_records import read_records, write_records
 from lonja.llm.byte_bpe import encode
+from lonja.llm.collocations import collocations
 from lonja.llm.common import documents
 from lonja.llm.exact_dedup import exact_groups
 from lonja.llm.line_dedup import drop_shared_lines
@@ -169,3 +170,25 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         period.alias("period"), F.expr("-1000 * best.col1 div best.period").alias("exponent_milli"),
         F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query(r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+     s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+     g AS (SELECT lang, w[i:i + m - 1] AS g, m FROM (SELECT lang, w, i, unnest(range(1, 6)) AS m FROM s) WHERE i + m - 1 <= len(w)),
+     f AS (SELECT lang, g, m, count(*) AS a FROM g GROUP BY lang, g, m HAVING count(*) >= 100),
+     k AS (SELECT lang, g, m, a, unnest(range(1, m)) AS k FROM f),
+     c AS (SELECT k.lang, k.g, k.a, x.a AS l, y.a AS r, n, (1000::HUGEINT * k.a * n) // (x.a::HUGEINT * y.a) AS score, k
+           FROM k JOIN t ON t.lang = k.lang JOIN f x ON x.lang = k.lang AND x.g = k.g[1:k] JOIN f y ON y.lang = k.lang AND y.g = k.g[k + 1:k.m]),
+     b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+     i AS (SELECT lang, g, m, a, unnest(range(2, m)) AS k FROM f),
+     h AS (SELECT lang, g[j:j + k - 1] AS g, a FROM (SELECT lang, g, a, m, k, unnest(range(1, m - k + 2)) AS j FROM i)),
+     d AS (SELECT b.lang, b.g FROM b JOIN h ON h.lang = b.lang AND h.g = b.g WHERE 100 * h.a >= 100 * b.a),
+     o AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b ANTI JOIN d ON d.lang = b.lang AND d.g = b.g)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM o QUALIFY rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
