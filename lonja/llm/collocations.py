@@ -3,7 +3,8 @@
 A level at a time: the frequent words get numbers by frequency, then the pairs of frequent neighbours are counted,
 the frequent pairs get numbers by frequency, pairs of such a pair and the next word are counted, and so on.  Numbers
 address the cells of square tiles directly: pairs whose tile is well filled are counted with a dense ``bincount``, the
-others as sorted coordinates with run lengths.  Tasks count what they hold, Spark adds the counts.
+others as sorted coordinates with run lengths.  Tasks count what they hold and send one row for each tile; the rows
+of a tile are added up in the same two ways.
 
 Ranks go to the ``RANKS`` most frequent words or phrases of a level at most, which bounds what is sent to the tasks.
 Those beyond count all the same: words by a 62-bit code that is checked to be theirs alone, phrases by the codes of
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ from lonja.session import written
 
 LEAST, LONGEST, SHOWN = 100, 5, 2000
 #: Numbers of a level, the side of a tile, and the pairs that make a tile worth a dense count.
-RANKS, TILE, DENSE = 1 << 16, 1 << 10, 1 << 14
+RANKS, TILE, DENSE = 1 << 18, 1 << 10, 1 << 14
+#: Partial counts of so many tasks are summed together.
+FAN_IN = 64
 #: Words of a slice, places that a task counts at once, distinct words that it holds, bytes that it splits at once.
 SLICE, FLUSH, HELD, PART = 1 << 20, 1 << 22, 1 << 19, 4 << 20
 FILTER_BITS = 1 << 27
@@ -135,28 +139,82 @@ class Level:
         return out
 
 
-def tally(codes: np.ndarray, bits: int, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs ``first << bits | second`` and how often each occurs, tile by tile."""
+def tiled(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Pairs of numbers of ``bits`` bits as tile and cell in one number, and the bits of a cell."""
     side = min(bits, TILE.bit_length() - 1)
-    first, second = codes >> bits, codes & ((1 << bits) - 1)
-    tile = (first >> side << (bits - side) | second >> side).astype(np.uint16 if 2 * (bits - side) <= 16 else np.int64)
-    order = np.argsort(tile, kind="stable")
-    sizes = np.bincount(tile)
-    ends = np.cumsum(sizes)
-    mask, full = (1 << side) - 1, np.flatnonzero(sizes >= dense)
-    found, counts = [], []
-    for t in full.tolist():
-        own = order[ends[t] - sizes[t] : ends[t]]
-        cells = np.bincount((first[own] & mask) << side | second[own] & mask, minlength=1 << 2 * side)
-        there = np.flatnonzero(cells)
-        row, column = (t >> (bits - side)) << side, (t & (1 << (bits - side)) - 1) << side
-        found.append((row + (there >> side)) << bits | column + (there & mask))
-        counts.append(cells[there])
-    rest = np.sort(codes if not len(full) else codes[sizes[tile] < dense])
-    starts = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]])) if len(rest) else np.zeros(0, np.int64)
-    found.append(rest[starts])
-    counts.append(np.diff(np.append(starts, len(rest))))
-    return np.concatenate(found), np.concatenate(counts)
+    mask = (1 << side) - 1
+    tile = first >> side << (bits - side) | second >> side
+    return tile << 2 * side | (first & mask) << side | second & mask, 2 * side
+
+
+def tally(codes: np.ndarray, cell_bits: int, dense: int = DENSE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each tile with its filled cells in order and how often each occurs."""
+    if not len(codes):
+        return
+    tile = codes >> cell_bits
+    order = np.argsort(tile.astype(np.uint16) if codes.max() >> cell_bits < 1 << 16 else tile, kind="stable")
+    codes, tile = codes[order], tile[order]
+    starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    for t, low, high in zip(tile[starts].tolist(), starts.tolist(), np.append(starts[1:], len(tile)).tolist(), strict=True):
+        cells = codes[low:high] & (1 << cell_bits) - 1
+        if high - low >= dense:
+            counts = np.bincount(cells, minlength=1 << cell_bits)
+            there = np.flatnonzero(counts)
+            yield t, there, counts[there]
+        else:
+            cells.sort()
+            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            yield t, cells[first], np.diff(np.append(first, len(cells)))
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    most = int(values.max(initial=0))
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
+def packed(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Cells in order as gaps, then counts, each in as many bytes as the largest needs."""
+    gaps, counts = narrow(np.diff(cells, prepend=0)), narrow(counts)
+    return bytes([gaps.itemsize, counts.itemsize]) + gaps.tobytes() + counts.tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    sizes = data[0], data[1]
+    n = (len(data) - 2) // sum(sizes)
+    gaps = np.frombuffer(data, f"u{sizes[0]}", n, 2)
+    return np.cumsum(gaps, dtype=np.int64), np.frombuffer(data, f"u{sizes[1]}", n, 2 + n * sizes[0]).astype(np.int64)
+
+
+class TileSum:
+    """The sum of partial counts of one tile, dense once many cells have come."""
+
+    def __init__(self, cell_bits: int, dense: int = DENSE):
+        self.cell_bits, self.limit = cell_bits, dense
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.cells = 0, None
+
+    def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((cells, counts))
+        self.held += len(cells)
+        if self.held >= self.limit:
+            if self.cells is None:
+                self.cells = np.zeros(1 << self.cell_bits, np.int64)
+            for cells, counts in self.parts:
+                self.cells[cells] += counts
+            self.parts, self.held = [], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.cells is not None:
+            for cells, counts in self.parts:
+                self.cells[cells] += counts
+            self.parts = []
+            there = np.flatnonzero(self.cells)
+            return there, self.cells[there]
+        cells, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(cells, kind="stable")
+        cells, counts = cells[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        return cells[first], np.add.reduceat(counts, first)
 
 
 def row_tally(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,56 +240,128 @@ def extended(words: np.ndarray, levels: list[Level]) -> tuple[np.ndarray, np.nda
     return at, rank[at]
 
 
-def phrase_counts(numbered: DataFrame, levels: list[Level], ranks: int, least: int) -> DataFrame:
-    """w1 .. wm and n of the phrases one word longer than the last level's, whose parts are all frequent."""
-    length = len(levels) + 2
-    names = [f"w{i + 1}" for i in range(length)]
-    bits = (ranks - 1).bit_length()
-    shared = numbered.sparkSession.sparkContext.broadcast(levels)
+def places(batches: Iterator[pa.RecordBatch], levels: list[Level]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice its words, the places where a phrase to be counted starts, the rank of its first words and its last word."""
+    for batch in batches:
+        for own, ranked, coded in zip(*(batch[x].to_pylist() for x in ("own", "ranked", "coded")), strict=True):
+            words = np.frombuffer(ranked, np.int32).astype(np.int64)
+            words[words == -2] = np.frombuffer(coded, np.int64)
+            at, rank = extended(words, levels)
+            rank, at = rank[at < own], at[at < own]
+            yield words, at, rank, words[at + len(levels) + 1]
+
 
+def tile_sums(parts: DataFrame, cell_bits: int, schema: str, make) -> DataFrame:
+    """Rows of ``group, tile, data`` summed by group and tile; ``make(group, tile, cells, counts)`` gives a record batch of ``schema``.
+
+    Rows arrive in order, so that a task holds the counts of one tile at a time, however many rows it has.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
-        pairs, loose, held = [], [], 0
+        key, held = None, None
+        for batch in batches:
+            for group, tile, data in zip(*(batch[x].to_pylist() for x in ("group", "tile", "data")), strict=True):
+                if key != (group, tile):
+                    if key:
+                        yield make(*key, *held.total())
+                    key, held = (group, tile), TileSum(cell_bits)
+                held.add(*unpacked(data))
+        if key:
+            yield make(*key, *held.total())
+
+    return parts.repartition("group", "tile").sortWithinPartitions("group", "tile").mapInArrow(run, schema)
+
+
+def tile_rows(group: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())],
+                                      ["group", "tile", "data"])
+
+
+def ranked_counts(numbered: DataFrame, shared, ranks: int, least: int, names: list[str]) -> DataFrame:
+    """Counts of phrases whose first words and last word have ranks, summed by tile.
+
+    A task sends a row for each tile, with all its cells; the rows of some ``FAN_IN`` tasks are summed first, then those of as many
+    sums, until one is left.
+    """
+    bits = (ranks - 1).bit_length()
+    cell_bits = 2 * min(bits, TILE.bit_length() - 1)
+    schema = "group long, tile long, data binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = TaskContext.get().partitionId() // FAN_IN
+        pairs, held = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows, counts = [], []
-            if pairs:
-                codes, n = tally(np.concatenate(pairs), bits)
-                first, second = codes >> bits, codes & ((1 << bits) - 1)
-                rows.append(np.column_stack([levels[-1].keys[first] if levels else first[:, None], second]))
-                counts.append(n)
-            if loose:
-                for part in zip(row_tally(np.concatenate(loose)), (rows, counts)):
-                    part[1].append(part[0])
-            pairs.clear()
-            loose.clear()
-            for table, n in zip(rows, counts):
-                for i in range(0, len(n), 1 << 16):
-                    columns = [pa.array(np.ascontiguousarray(x)) for x in table[i : i + (1 << 16)].T]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n[i : i + (1 << 16)].astype(np.int64))], [*names, "n"])
+            rows, size = [], 0
+            for tile, cells, counts in tally(np.concatenate(pairs), cell_bits):
+                rows.append((tile, packed(cells, counts)))
+                size += len(rows[-1][1])
+                if size > PART or len(rows) == 4096:
+                    yield tile_rows(group, rows)
+                    rows, size = [], 0
+            yield tile_rows(group, rows)
+
+        for _, _, rank, after in places(batches, shared.value):
+            some = (rank >= 0) & (after < CODES)
+            pairs.append(tiled(rank[some], after[some], bits)[0])
+            held += len(pairs[-1])
+            if held > FLUSH:
+                yield from out()
+                pairs, held = [], 0
+        if pairs:
+            yield from out()
+
+    def frequent(group: int, tile: int, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        enough = counts >= least
+        cells, counts = cells[enough], counts[enough]
+        side = cell_bits // 2
+        first = (tile >> (bits - side) << side) + (cells >> side)
+        second = ((tile & (1 << (bits - side)) - 1) << side) + (cells & (1 << side) - 1)
+        levels = shared.value
+        rows = np.column_stack([levels[-1].keys[first] if levels else first[:, None], second])
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in rows.T), pa.array(counts)], [*names, "a"])
 
-        for batch in batches:
-            for own, ranked, coded in zip(*(batch[x].to_pylist() for x in ("own", "ranked", "coded")), strict=True):
-                words = np.frombuffer(ranked, np.int32).astype(np.int64)
-                words[words == -2] = np.frombuffer(coded, np.int64)
-                at, rank = extended(words, levels)
-                rank, at = rank[at < own], at[at < own]
-                after = words[at + length - 1]
-                tiled = (rank >= 0) & (after < CODES)
-                pairs.append(rank[tiled] << bits | after[tiled])
-                rest = at[~tiled]
-                if len(rest):
-                    loose.append(np.column_stack([words[rest + i] for i in range(length)]))
-                held += len(at)
+    parts, groups = numbered.mapInArrow(count, schema), -(-numbered.rdd.getNumPartitions() // FAN_IN)
+    while groups > 1:
+        parts = tile_sums(parts, cell_bits, schema, lambda group, tile, cells, counts: tile_rows(group // FAN_IN, [(tile, packed(cells, counts))]))
+        groups = -(-groups // FAN_IN)
+    return tile_sums(parts, cell_bits, ", ".join(f"{x} long" for x in [*names, "a"]), frequent)
+
+
+def coded_counts(numbered: DataFrame, shared, least: int, names: list[str]) -> DataFrame:
+    """Counts of phrases with a part without rank, as sorted rows of word numbers."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found, n = row_tally(np.concatenate(rows))
+            for i in range(0, len(n), 1 << 16):
+                columns = [pa.array(np.ascontiguousarray(x)) for x in found[i : i + (1 << 16)].T]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[i : i + (1 << 16)])], [*names, "n"])
+
+        for words, at, rank, after in places(batches, shared.value):
+            some = at[(rank < 0) | (after >= CODES)]
+            rows.append(np.column_stack([words[some + i] for i in range(len(names))]))
+            held += len(some)
             if held > FLUSH:
                 yield from out()
-                held = 0
-        yield from out()
+                rows, held = [], 0
+        if rows:
+            yield from out()
 
-    counted = numbered.mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
+    counted = numbered.mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "n"]))
     return counted.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
 
 
+def phrase_counts(numbered: DataFrame, levels: list[Level], ranks: int, least: int, all_ranked: bool) -> DataFrame:
+    """w1 .. wm and a of the frequent phrases one word longer than the last level's; ``all_ranked``: no word is without a rank."""
+    names = [f"w{i + 1}" for i in range(len(levels) + 2)]
+    shared = numbered.sparkSession.sparkContext.broadcast(levels)
+    out = ranked_counts(numbered, shared, ranks, least, names)
+    if all_ranked and all(x.bits is None for x in levels):
+        return out
+    return out.unionByName(coded_counts(numbered, shared, least, names))
+
+
 def by_frequency(table: DataFrame, count: str, most: int) -> tuple[DataFrame, DataFrame, int]:
     """The most frequent rows, at most ``most``, all others, and how many others there are; equal counts stay together."""
     step = F.floor(16 * F.log2(count)).cast("int")
@@ -362,7 +492,7 @@ def collocations(docs: DataFrame, least: int = LEAST, shown: int = SHOWN, ranks:
     numbered = written(numbered_texts(docs, known), "phrase-numbers")
     levels: list[Level] = []
     for length in range(2, LONGEST + 1):
-        tables.append(written(longer(phrase_counts(numbered, levels, ranks, least), tables[-1], length), f"phrase-level-{length}"))
+        tables.append(written(longer(phrase_counts(numbered, levels, ranks, least, known[1] is None), tables[-1], length), f"phrase-level-{length}"))
         if length < LONGEST:
             levels.append(level_of(tables[-1], length, ranks))
     found = []

@@ -56,8 +56,9 @@ def found(spark, rows, **options):
     return sorted(map(tuple, out.collect()))
 
 
-@pytest.mark.parametrize("ranks", [1 << 16, 32, 2])
-def test_phrases_equal_those_by_definition(spark, ranks):
+@pytest.mark.parametrize("ranks, fan_in", [(1 << 18, 64), (1 << 18, 2), (32, 64), (2, 64)])
+def test_phrases_equal_those_by_definition(spark, monkeypatch, ranks, fan_in):
+    monkeypatch.setattr(c, "FAN_IN", fan_in)
     rows = texts()
     want = brute(rows, 5, 60)
     assert found(spark, rows, least=5, shown=60, ranks=ranks) == want and len(want) > 100
@@ -66,7 +67,7 @@ def test_phrases_equal_those_by_definition(spark, ranks):
 def test_slices_and_parts_cut_no_phrase(spark, monkeypatch):
     rows = texts(80, 7)
     known = c.number_words(c.word_counts(prepare(spark).createDataFrame(rows, "lang string, text string")
-                                         .selectExpr("coalesce(lang, 'und') lang", "coalesce(text, '') text")), 3, 1 << 16)[1]
+                                         .selectExpr("coalesce(lang, 'und') lang", "coalesce(text, '') text")), 3, 1 << 18)[1]
     assert set(known[0]) == {"en", "de", "und", "fr"}
     # places of a slice are counted by it alone, however the text is cut
     words = np.array([0, 1, 0, 1, 2, 0, 1, -1, 0, 1] * 20)
@@ -82,13 +83,25 @@ def test_slices_and_parts_cut_no_phrase(spark, monkeypatch):
 
 def test_tiles_equal_a_plain_count():
     rnd = np.random.default_rng(4)
-    for bits in (1, 5, 10, 12, 16):
-        pairs = np.minimum(rnd.geometric(0.002, (2, 30_000)), (1 << bits) - 1)
-        codes = pairs[0] << bits | pairs[1]
+    for bits in (1, 5, 10, 12, 18):
+        first, second = np.minimum(rnd.geometric(0.002, (2, 30_000)), (1 << bits) - 1)
+        codes, cell_bits = c.tiled(first, second, bits)
+        assert len(set(codes.tolist())) == len(set(zip(first.tolist(), second.tolist())))
         for dense in (1, 500, 1 << 30):
-            got = c.tally(codes, bits, dense)
-            assert dict(zip(got[0].tolist(), got[1].tolist())) == Counter(codes.tolist()) and len(got[0]) == len(set(got[0].tolist()))
-    assert [len(x) for x in c.tally(np.zeros(0, np.int64), 16)] == [0, 0]
+            got, sums = {}, {}
+            for tile, cells, counts in c.tally(codes, cell_bits, dense):
+                assert (np.diff(cells) > 0).all()
+                again = c.unpacked(c.packed(cells, counts))
+                assert (again[0] == cells).all() and (again[1] == counts).all()
+                got.update(zip((tile << cell_bits | cells).tolist(), counts.tolist()))
+                total = c.TileSum(cell_bits, dense)
+                total.add(cells, counts)
+                total.add(cells[:3], counts[:3])
+                total.add(cells[1:], counts[1:])
+                sums.update(zip((tile << cell_bits | total.total()[0]).tolist(), total.total()[1].tolist()))
+            assert got == Counter(codes.tolist()) and sums.keys() == got.keys()
+            assert sum(sums.values()) > sum(got.values())
+    assert list(c.tally(np.zeros(0, np.int64), 16)) == []
     rows = rnd.integers(0, 3, (500, 3))
     got = c.row_tally(rows)
     assert {tuple(r): n for r, n in zip(got[0].tolist(), got[1].tolist())} == Counter(map(tuple, rows.tolist()))
