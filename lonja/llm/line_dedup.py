@@ -20,7 +20,9 @@ from lonja.llm.common import hash128, join_groups, let, text_of
 from lonja.session import written
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
-BATCHES, FANOUT = 4, 3
+#: Batches at least, documents of a batch at most, about.
+BATCHES, BATCH_DOCS = 4, 1 << 27
+FANOUT = 3
 WHITE = " \t\n\x0b\x0c\r"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 NO_ID = -(1 << 63)
@@ -30,16 +32,13 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(WHITE)), *LOWER)
-
-
 def hashed_lines(text: Column, least_chars: int) -> Column:
-    """For each line the hash of its key, null where the key is too short to count."""
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= least_chars, hash128(key))
-    return F.transform(lines_of(text), one)
+    """For each line the hash of its key, null where the key is too short to count.
+
+    Letters are lowered in the whole text, which is far cheaper than line by line.
+    """
+    keys = F.transform(lines_of(F.translate(text, *LOWER)), lambda line: F.btrim(line, F.lit(WHITE)))
+    return F.transform(keys, lambda key: F.when(F.char_length(key) >= least_chars, hash128(key)))
 
 
 def fold(hashes: DataFrame) -> DataFrame:
@@ -100,11 +99,12 @@ def shared_lines(hashed: DataFrame, least_docs: int, batches: int, fanout: int =
     return compact(runs.all()).filter(F.col("n_docs") >= least_docs)
 
 
-def drop_shared_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
-    """doc_id, text without the lines it loses, n_lines before, n_dropped."""
+def drop_shared_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int | None = None) -> DataFrame:
+    """doc_id, text without the lines it loses, n_lines before, n_dropped; ``batches`` grow with the documents unless given."""
     text = text_of()
     hashed = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), hashed_lines(text, least_chars).alias("keys"))
     hashed = written(hashed.filter(F.exists("keys", lambda x: x.isNotNull())), "line-hashes")
+    batches = batches or max(BATCHES, -(-hashed.count() // BATCH_DOCS))
     shared = written(shared_lines(hashed, least_docs, batches), "shared-lines")
 
     lines = hashed.select("doc_id", "text_hash", F.posexplode("keys").alias("position", "key")).filter("key is not null")
