@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lonja.llm.common import bit_set, in_bit_set, join_groups, text_of
-from lonja.llm.front_coding import Suffix, merge, pack_run, unpack_run
+from lonja.llm.front_coding import Suffix, common, merge, pack_run, unpack_run
 from lonja.session import written
 
 LENGTH, GRAM = 200, 64
@@ -176,6 +176,17 @@ def window_range(x: Suffix, low: int, high: int) -> tuple[int, int, int, int]:
     return x.doc_id, x.text_hash, x.at - high, x.at - low
 
 
+def touching(ranges: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Ranges of windows with those of one text that touch as one, so that a repeated passage is one row."""
+    out: list[tuple[int, int, int, int]] = []
+    for x in sorted(ranges):
+        if out and out[-1][:2] == x[:2] and x[2] <= out[-1][3] + 1:
+            out[-1] = (*out[-1][:3], max(out[-1][3], x[3]))
+        else:
+            out.append(x)
+    return out
+
+
 SENT = "target int, doc_id long, text_hash long, low long, high long, run binary"
 RANGE = "doc_id long, text_hash long, low long, high long"
 
@@ -197,8 +208,10 @@ def sent_runs(texts: DataFrame, splitters: list[int], length: int, gram: int) ->
         for batch in batches:
             done = []
             for doc_id, text_hash, text, numbers in zip(*(batch[x].to_pylist() for x in ("doc_id", "text_hash", "text", "open")), strict=True):
+                own: list[tuple[int, int, int, int]] = []
                 for x in suffixes_of(doc_id, text_hash, text, numbers, length, gram):
-                    done += current.add(x)
+                    own += current.add(x)
+                done += touching(own)
                 if current.bytes > RUN_BYTES:
                     yield from flush()
                     current = Run()
@@ -214,13 +227,19 @@ def matches(group: list[tuple[int, Suffix]], length: int) -> list[tuple[int, int
     if len(group) == 1:
         return []
     shared = [*[x for x, _ in group[1:]], 0]
+    # no window can reach further back than its text shares with any other's
+    by_left = sorted(range(len(group)), key=lambda i: group[i][1].left)
+    alike = [0, *(common(group[a][1].left, group[b][1].left) for a, b in zip(by_left, by_left[1:])), 0]
+    back = [0] * len(group)
+    for k, i in enumerate(by_left):
+        back[i] = max(alike[k], alike[k + 1])
     seen: dict[bytes, int] = {}
     marks: dict[int, set[int]] = {}
     before = 0
     for i, (_, x) in enumerate(group):
         reach = max(before, shared[i])
         before = shared[i]
-        for offset in range(max(x.low, length - reach), x.high + 1):
+        for offset in range(max(x.low, length - reach), min(x.high, back[i]) + 1):
             window = offset.to_bytes(2, "little") + x.left[:offset] + x.right[: length - offset]
             other = seen.setdefault(window, i)
             if other != i:
