@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 CHUNK = re.compile(r"(?<=\S)(?=[ \n\t\r])")
-UNUSUAL = re.compile(r"\s ")
+UNUSUAL = re.compile(r" (?<=\s )")  # a space after white space, looked for from the space, which is faster
 CLOSING = ".,;:!?"
 LETTERS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -26,7 +26,7 @@ WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 WAYS = (lambda x: x, lambda x: x.lstrip(" ").lower())
 SAMPLES = (" Word", "word", " élève", "Straße", " x", "ÑANDÚ", " Qu")
 SEPARATOR = " \x01"
-CACHED, CACHED_CHARS, JOINED = 300_000, 48, 400
+CACHED, CACHED_CHARS, JOINED = 600_000, 48, 400
 
 
 def default_path(name: str) -> str:
@@ -142,15 +142,16 @@ class ChunkEncoder:
         if len(self.spaced) > CACHED:
             self.spaced.clear()
         after = [x[1:] for x in words]
-        table, long = self.spaced, {}
+        table = self.spaced
         hard = self._easy(set().union(*after).difference(table)) if self.way else list(set().union(*after).difference(table))
         for word, value in zip(hard, self._chunks([" " + x for x in hard]), strict=True):
-            (table if len(word) <= CACHED_CHARS else long)[word] = value
-        if long:
-            table = table | long
+            table[word] = value
         out = []
         for text, ok, first, rest in zip(texts, usual, firsts, after, strict=True):
             out.append(first + b"".join(map(table.__getitem__, rest)) if ok else b"".join(self._chunks(CHUNK.split(text))))
+        for word in hard:  # long ones, and those that hold line breaks, are mostly never seen again
+            if len(word) > CACHED_CHARS or "\n" in word:
+                del table[word]
         return out
 
 

@@ -37,7 +37,6 @@ def noise(n, seed=5):
 def test_parts_have_the_ids_of_the_whole(name):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public.path(name))
-    plain.encode_special_tokens = True
     texts = ODD + noise(1500)
     want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
     assert [list(array("I", x)) for x in ChunkEncoder(public.path(name)).encode(texts)] == want
@@ -64,7 +63,6 @@ def test_room_finds_the_tightest():
 def packs_whole(pieces, texts, window):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     want = sorted(tuple(plain.encode(t or "", add_special_tokens=False).ids + [0]) for _, t in texts)
     by_sequence = {}
     for x in pieces:
@@ -105,7 +103,6 @@ def test_packing_wastes_little(spark):
 def test_records(spark):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     texts = [(i * 7 % 40, t) for i, t in enumerate(ODD)] + [(50, None), (51, "again"), (51, "again"), (None, "no id")]
     manifest = binary_records.write_records(frame(spark, texts))
     rows = sorted(binary_records.read_records(manifest).collect(), key=lambda r: (r.shard, r.position))
