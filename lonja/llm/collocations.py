@@ -38,7 +38,7 @@ RANKS, TILE, DENSE = 1 << 18, 1 << 10, 1 << 14
 #: Partial counts of so many tasks are summed together.
 FAN_IN = 64
 #: Words of a slice, places that a task counts at once, distinct words that it holds, bytes that it splits at once.
-SLICE, FLUSH, HELD, PART = 1 << 20, 1 << 22, 1 << 19, 4 << 20
+SLICE, FLUSH, HELD, PART = 1 << 20, 1 << 21, 1 << 18, 2 << 20
 FILTER_BITS = 1 << 27
 #: Codes of words without a rank start here.
 CODES = 1 << 62
