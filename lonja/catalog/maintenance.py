@@ -13,11 +13,11 @@ from lonja.functions import periods as T
 from lonja.functions import predicates as P
 from lonja.functions import stats
 from lonja.model import SPECS
-from lonja.operators import control, ingest, merge, ranking
+from lonja.operators import control, ingest, merge, publish, ranking
 from lonja.operators.filters import Filters
 from lonja.plans import base, home, monitor
 from lonja.plans import questions as q
-from lonja.session import scratch_dir
+from lonja.session import scratch_dir, written
 from lonja.sources import io, telemetry
 from lonja.sources.tpch import SCHEMAS, money
 from lonja.streaming import jobs
@@ -46,6 +46,7 @@ LINES_SQL = """t AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity
     QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_quantity DESC) = 1)"""
 CHANGES_SQL = LINES_SQL + """, d AS (SELECT l_orderkey, l_linenumber, l_partkey, qty * 2 AS qty, l_shipdate FROM t WHERE l_orderkey % 2 = 0),
     n AS (SELECT -l_orderkey - 1 AS l_orderkey, l_linenumber, l_partkey, qty, l_shipdate FROM t WHERE l_orderkey % 7 = 0)"""
+LINE_SCHEMA = "l_orderkey long, l_linenumber int, l_partkey long, qty int, l_shipdate timestamp_ntz"
 LINE_COLUMNS = "l_orderkey l, l_linenumber l, l_partkey l, qty l, l_shipdate ts"
 
 
@@ -98,7 +99,7 @@ def _ingest(c: Catalog) -> None:
 
 def _merge(c: Catalog) -> None:
     key = ["l_orderkey", "l_linenumber"]
-    c.add("a12_upsert", LINE_COLUMNS, lambda s: merge.upsert(_line_table(s), _changes(s), key, ["l_shipdate"]), f"""
+    c.add("a12_upsert", LINE_COLUMNS, lambda s: _upserted(s, key), f"""
         WITH {CHANGES_SQL} SELECT * FROM t WHERE l_orderkey % 2 <> 0 UNION ALL SELECT * FROM d UNION ALL SELECT * FROM n""")
     c.add("a13_insert_ignore", LINE_COLUMNS, lambda s: merge.insert_ignore(_line_table(s), _changes(s), key), f"""
         WITH {CHANGES_SQL} SELECT * FROM t UNION ALL SELECT * FROM n""")
@@ -132,18 +133,23 @@ def _merged_months(s):
     """
     month = F.when(F.col("l_orderkey") % 10 != 0, P.month_of("l_shipdate"))
     moved = F.when(F.col("l_orderkey") % 3 == 0, P.month_of(F.add_months("l_shipdate", 1))).otherwise(month)
-    table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "monthly"), partition="month")
-    table.full_refresh(_line_table(s).select("*", month.alias("month")))
+    table = publish.stored_table(s.spark, scratch_dir(s.spark, "monthly"), LINE_SCHEMA + ", month int", ["l_orderkey", "l_linenumber"], partition="month")
+    table.replace(_line_table(s).select("*", month.alias("month")))
     changed = _changes(s).where("year(l_shipdate) = 2001").select("*", moved.alias("month"))
-    table.merge(changed, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    table.merge(changed, ["l_shipdate"])
     return table.read()
 
 
+def _upserted(s, keys):
+    """The target and the change set are stored tables, as they are in use."""
+    return merge.upsert(written(_line_table(s), "lines"), written(_changes(s), "changes"), keys, ["l_shipdate"])
+
+
 def _refreshed(s):
-    """Publish one version, replace it by another, read the current one."""
-    table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "refresh"))
-    table.full_refresh(_line_table(s))
-    table.full_refresh(_changes(s).where("l_orderkey < 0"))
+    """Publish one content, replace it by another, read the current one."""
+    table = publish.stored_table(s.spark, scratch_dir(s.spark, "refresh"), LINE_SCHEMA, ["l_orderkey", "l_linenumber"])
+    table.replace(_line_table(s))
+    table.replace(_changes(s).where("l_orderkey < 0"))
     return table.read()
 
 
@@ -281,20 +287,30 @@ def _scattered_events(s, columns: list[str], files: int = 4):
 
 def _streams(c: Catalog) -> None:
     def upserted(s):
-        table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "stream-upsert"))
-        jobs.upsert_stream(_scattered_events(s, ["user_id", "event_id", "ts", "event_type", "value"]), table, ["user_id"], ["ts", "event_id"], scratch_dir(s.spark, "cp"))
+        schema = "user_id long, event_id long, ts timestamp_ntz, event_type string, value double"
+        table = publish.stored_table(s.spark, scratch_dir(s.spark, "stream-upsert"), schema, ["user_id"], buckets=8)
+        jobs.upsert_stream(_scattered_events(s, ["user_id", "event_id", "ts", "event_type", "value"]), table, ["ts", "event_id"], scratch_dir(s.spark, "cp"))
         return table.read()
     c.add("j1_stream_upsert", "user_id l, event_id l, event_type s, value d", upserted, """
         SELECT user_id, event_id, event_type, value FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 
-    def hourly(s, every, keys):
-        rows = _event_stream(s, ["ts", "event_type", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
-        table = merge.VersionedTable(s.spark, scratch_dir(s.spark, "stream-totals"))
-        totals = jobs.windowed_totals(rows, "ts", money("value"), keys, every)
-        jobs.publish_totals(totals, table, ["window_start", *keys], scratch_dir(s.spark, "cp"))
+    def hourly(s):
+        rows = _event_stream(s, ["ts", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
+        table = publish.stored_table(s.spark, scratch_dir(s.spark, "stream-totals"), "window_start timestamp, total decimal(25,2), rows long", ["window_start"], buckets=4)
+        jobs.publish_totals(jobs.windowed_totals(rows, "ts", money("value"), [], "1 hour"), table, scratch_dir(s.spark, "cp"))
         return table.read()
-    c.add("j2_daily_totals_with_late_data", "window_start ts, event_type s, total d, rows l", lambda s: hourly(s, "1 day", ["event_type"]), """
+
+    def recomputed(s):
+        """Daily totals of events that come in files over the whole time, and the log of what came when."""
+        base_dir, log = scratch_dir(s.spark, "stream-base"), scratch_dir(s.spark, "stream-log")
+        table = publish.stored_table(s.spark, scratch_dir(s.spark, "stream-days"), "day date, event_type string, total decimal(25,2), rows long",
+                                     ["day", "event_type"], partition="day")
+        jobs.recomputed_days(_scattered_events(s, ["ts", "event_type", "value"]), "ts", money("value"), ["event_type"], base_dir, table, log, scratch_dir(s.spark, "cp"))
+        return table.read(), s.spark.read.schema("day date, rows long, late boolean, batch int").parquet(log)
+    c.add("j2_daily_totals_with_late_data", "window_start ts, event_type s, total d, rows l", lambda s: recomputed(s)[0].withColumnRenamed("day", "window_start"), """
         SELECT date_trunc('day', ts) AS window_start, event_type, SUM(CAST(value AS DECIMAL(15,2))) AS total, COUNT(*) AS rows FROM events GROUP BY 1, 2""")
+    c.add("j2_arrivals_by_day", "day date, rows l", lambda s: recomputed(s)[1].groupBy("day").agg(F.sum("rows").alias("rows")),
+          "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS rows FROM events GROUP BY 1")
 
     def once(s):
         out = scratch_dir(s.spark, "stream-once")
@@ -302,7 +318,7 @@ def _streams(c: Catalog) -> None:
         jobs.append_once(rows, ["user_id", "event_type"], out, scratch_dir(s.spark, "cp"))
         return s.spark.read.parquet(out)
     c.add("j3_append_once_per_key", "user_id l, event_type s", once, "SELECT DISTINCT user_id, event_type FROM events")
-    c.add("j4_running_day_by_hour", "day date, hour l, total d, running d", lambda s: jobs.running_day(hourly(s, "1 hour", [])), """
+    c.add("j4_running_day_by_hour", "day date, hour l, total d, running d", lambda s: jobs.running_day(hourly(s)), """
         WITH h AS (SELECT date_trunc('hour', ts) AS w, SUM(CAST(value AS DECIMAL(15,2))) AS total FROM events GROUP BY 1)
         SELECT CAST(w AS DATE) AS day, hour(w) AS hour, total, SUM(total) OVER (PARTITION BY CAST(w AS DATE) ORDER BY w) AS running FROM h""")
     def spans_until(s, plan):

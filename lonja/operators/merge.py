@@ -1,24 +1,15 @@
-"""Incremental table maintenance as DataFrame -> DataFrame operators, plus a versioned parquet store.
-
-The frame operators only build plans.  ``VersionedTable`` publishes a result: it writes new
-folders and then a small manifest, so readers see either the old or the new table and a lost
-executor or a failed job leaves the old one in place.
-"""
+"""Incremental table maintenance as DataFrame -> DataFrame operators; they only build plans (``publish`` writes)."""
 
 from __future__ import annotations
 
 import datetime as dt
 import functools
-import json
-import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lonja.session import written
-
 
 def delta_filter(df: DataFrame, ts_column: str, watermark: dt.datetime | None, lookback_days: int = 1,
                  include_nulls: bool = False) -> DataFrame:
@@ -66,7 +57,8 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Iterable[str], order: It
 
     Repeated keys within the change set are reduced to one row first, the newest if there is an ``order``.
     With an ``order`` a change that is older than the row of the target loses to it; an equal one wins.  NULL is
-    a key value like any other.  A table whose columns are all keys only gains the unseen rows.
+    a key value like any other, and the target holds a key once.  A table whose columns are all keys only gains
+    the unseen rows.  A small change set is broadcast to the target, which then is not shuffled.
     """
     keys, order = list(keys), list(order)
     if not keys:
@@ -74,11 +66,13 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Iterable[str], order: It
     if set(keys) == set(target.columns):
         return insert_ignore(target, changes, keys)
     fresh = latest_per_key(changes.select(*target.columns), keys, order)
+    rest = [c for c in target.columns if c not in keys]
+    both = join_keys(target, fresh.select(*keys, F.struct(*rest).alias("_new")), keys, "left")
+    taken = F.col("_new").isNotNull()
     if order:
-        held = target.select(*keys, F.struct(*order).alias("_held"))
-        newer = join_keys(held, fresh.select(*keys, F.struct(*order).alias("_order")), keys, "inner").where("_held > _order")
-        fresh = join_keys(fresh, newer.select(*keys), keys, "left_anti")
-    return join_keys(target, fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+        taken &= ~F.coalesce(F.struct(*order) > F.struct(*(F.col(f"_new.{c}").alias(c) for c in order)), F.lit(False))
+    updated = both.select([F.col(c) if c in keys else F.when(taken, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in target.columns])
+    return updated.unionByName(join_keys(fresh, target.select(*keys), keys, "left_anti"))
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Iterable[str], order: Iterable[str] = ()) -> DataFrame:
@@ -94,163 +88,3 @@ def replace_children(lines: DataFrame, changed_parents: DataFrame, new_lines: Da
     kept = lines.join(parents, parent_key, "left_anti")
     fresh = new_lines.join(parents, parent_key, "left_semi")
     return kept.select(*lines.columns).unionByName(fresh.select(*lines.columns))
-
-
-NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
-
-
-class VersionedTable:
-    """Parquet table whose current content is named by a small manifest.
-
-    Data folders are never changed once written; a new manifest, put in place by one rename, makes them
-    visible.  The file system must refuse a rename onto an existing file, as HDFS and local ones do; plain
-    object stores do not.  With a partition column (a calendar key: a date, or YYYYMM) the manifest names one
-    folder per value, NULL among them; a merge rewrites only the values it touches, and a filter on the
-    column prunes folders.  The manifest holds the schema, so a table without rows can be read.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, partition: str | None = None):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.partition = partition
-        self._data = f"{self.root}/data"
-        self._manifests = f"{self.root}/manifest"
-
-    # --- manifest ---
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _numbers(self) -> list[int]:
-        fs, path = self._fs()
-        folder = path(self._manifests)
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-
-    def _manifest(self, number: int) -> tuple[T.StructType, dict[str, str]]:
-        """Schema and content: folder of the partition value -> version."""
-        fs, path = self._fs()
-        stream = fs.open(path(f"{self._manifests}/{number}.json"))
-        try:
-            body = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-        return T.StructType.fromJson(body["schema"]), body["folders"]
-
-    def _commit(self, number: int, schema: T.StructType, folders: dict[str, str]) -> None:
-        fs, path = self._fs()
-        fs.mkdirs(path(self._manifests))
-        draft = path(f"{self._manifests}/.draft-{uuid.uuid4().hex}")
-        stream = fs.create(draft, False)
-        stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "folders": folders}).encode()))
-        stream.close()
-        target = path(f"{self._manifests}/{number}.json")
-        if fs.exists(target) or not fs.rename(draft, target):
-            raise RuntimeError("another writer published this version")
-
-    @property
-    def exists(self) -> bool:
-        return bool(self._numbers())
-
-    # --- reading ---
-
-    def _read(self, schema: T.StructType, folders: dict[str, str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        if not self.partition:
-            return self.spark.read.schema(schema).parquet(f"{self._data}/version={folders['']}")
-        paths = [f"{self._data}/{folder}/version={version}" for folder, version in folders.items()]
-        stamped = T.StructType([*schema.fields, T.StructField("version", T.StringType())])
-        # the declared schema keeps the partition column's type, whatever its folder names look like
-        return self.spark.read.schema(stamped).option("basePath", self._data).parquet(*paths).select(*schema.names)
-
-    def read(self) -> DataFrame:
-        numbers = self._numbers()
-        if not numbers:
-            raise FileNotFoundError(self.root)
-        return self._read(*self._manifest(numbers[-1]))
-
-    # --- writing ---
-
-    def _write(self, df: DataFrame) -> dict[str, str]:
-        """Write rows as new folders and return their manifest entries."""
-        version = uuid.uuid4().hex
-        if not self.partition:
-            df.write.mode("errorifexists").parquet(f"{self._data}/version={version}")
-            return {"": version}
-        # rebalance splits a partition value that holds most of the rows over many tasks
-        stamped = df.withColumn("version", F.lit(version)).hint("rebalance", F.col(self.partition))
-        stamped.write.mode("append").partitionBy(self.partition, "version").parquet(self._data)
-        fs, path = self._fs()
-        found = fs.globStatus(path(f"{self._data}/*/version={version}")) or []
-        return {s.getPath().getParent().getName(): version for s in found}
-
-    def _folders_of(self, rows: DataFrame) -> set[str]:
-        """The folder names that Spark gives to the partition values of some rows.  They are calendar keys, so few."""
-        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        values = rows.select(F.col(self.partition).cast("string")).distinct().collect()
-        return {f"{escape(self.partition)}={escape(v) if v else NO_VALUE}" for (v,) in values}
-
-    def full_refresh(self, df: DataFrame) -> None:
-        """Replace the whole content; an empty frame empties the table."""
-        numbers = self._numbers()
-        self._commit(numbers[-1] + 1 if numbers else 1, df.schema, self._write(df))
-
-    def merge(self, changes: DataFrame, keys: Iterable[str], order: Iterable[str] = (),
-              how: Callable[..., DataFrame] = upsert, rows_may_move: bool = True) -> None:
-        """Apply a change set and publish the result.
-
-        The change set is reduced to one row per key and written out once: it is read several
-        times, and its known size lets the optimizer broadcast it when it is small, so that the
-        target is not shuffled for a few changes.
-
-        With a partition column only the touched values are read and rewritten: those of the changes, and
-        those under which the changed keys are held now, found by reading the key columns.  A caller whose
-        rows never change their value can save that read with ``rows_may_move=False``.
-        """
-        keys, order = list(keys), list(order)
-        numbers = self._numbers()
-        fresh = latest_per_key(changes, keys, order)
-        if not numbers:
-            self._commit(1, fresh.schema, self._write(fresh))
-            return
-        schema, folders = self._manifest(numbers[-1])
-        fresh = written(fresh.select(*schema.names), "changes")
-        if fresh.isEmpty():
-            return
-        touched = dict(folders)
-        if self.partition:
-            values = fresh.select(self.partition)
-            if rows_may_move:
-                held = join_keys(self._read(schema, folders), fresh.select(*keys), keys, "left_semi")
-                values = values.union(held.select(self.partition))
-            wanted = self._folders_of(values)
-            touched = {folder: version for folder, version in folders.items() if folder in wanted}
-        rewritten = self._write(how(self._read(schema, touched), fresh, keys, order))
-        untouched = {folder: version for folder, version in folders.items() if folder not in touched}
-        if lost := untouched.keys() & rewritten.keys():
-            raise RuntimeError(f"rows were written under values that were not read: {sorted(lost)}")
-        self._commit(numbers[-1] + 1, schema, {**untouched, **rewritten})
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Delete all but the newest manifests, and the folders that none of those names; the number of deleted folders.
-
-        Not while another writer is at work: its folders are in no manifest yet.
-        """
-        if keep < 1:
-            raise ValueError("keep the current version")
-        fs, path = self._fs()
-        numbers = self._numbers()
-        named = {(folder, version) for n in numbers[-keep:] for folder, version in self._manifest(n)[1].items()}
-        for n in numbers[:-keep]:
-            fs.delete(path(f"{self._manifests}/{n}.json"), False)
-        gone = 0
-        for status in fs.globStatus(path(f"{self._data}/*/version=*" if self.partition else f"{self._data}/version=*")) or []:
-            own = status.getPath()
-            folder = own.getParent().getName() if self.partition else ""
-            if (folder, own.getName().split("=", 1)[1]) not in named:
-                fs.delete(own, True)
-                gone += 1
-        return gone

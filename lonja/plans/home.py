@@ -8,6 +8,7 @@ hot store costs nothing extra.  Line-level margins use the same roll-up at line
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,9 @@ from lonja.functions import periods as T
 from lonja.functions import predicates as P
 from lonja.functions.periods import DAY, Range
 from lonja.functions.stats import leading_streak, slope
+from lonja.operators.publish import StoredTable
 from lonja.operators.ranking import top
+from lonja.operators.rollup import ROWS, RollUp
 from lonja.plans import base
 from lonja.sources.star import Star
 
@@ -86,6 +89,37 @@ def daily(star: Star, window: Column | None = None) -> DataFrame:
         M.sum_if(~sale, F.abs("net")).alias("returns"))
 
 
+def store_days() -> RollUp:
+    """The cells of :func:`daily` as a roll-up that is kept from changed tickets alone."""
+    sale = F.col("is_sale")
+    return RollUp(("store", "sale_date", "month"), {
+        "net": F.when(sale, F.col("net")), "tickets": F.when(sale, F.lit(1).cast("long")), "returns": F.when(~sale, F.abs("net"))})
+
+
+#: Stored by month.
+STORE_DAYS_SCHEMA = "store string, sale_date date, net decimal(38,2), tickets long, returns decimal(38,2), cell_rows long, cell_batch long, month int"
+
+
+def with_month(star: Star, tickets: DataFrame) -> DataFrame:
+    """Tickets as the roll-up wants them: of real stores, with the month that it is stored by."""
+    return tickets.where(P.in_real_store(star.ghost_store)).withColumn("month", P.month_of("sale_date").cast("int"))
+
+
+def kept_days(table: StoredTable) -> DataFrame:
+    """The stored roll-up in the shape of :func:`daily`."""
+    rows = table.read().where(F.col(ROWS) > 0)
+    return rows.select("store", "sale_date", F.when(F.col("tickets") > 0, F.col("net")).alias("net"), "tickets", "returns")
+
+
+def _days(star: Star, days: DataFrame | None, window: Column | None = None, sales_only: bool = False) -> DataFrame:
+    """Store days from a kept roll-up, if there is one, else from the tickets."""
+    if days is None:
+        wanted = [w for w in (F.col("is_sale") if sales_only else None, window) if w is not None]
+        return daily(star, functools.reduce(lambda a, b: a & b, wanted) if wanted else None)
+    days = days if window is None else days.where(window)
+    return days.where(F.col("tickets") > 0) if sales_only else days
+
+
 def daily_margin(star: Star, window: Column) -> DataFrame:
     """Net and cost of sale lines with a positive amount, per store and line date."""
     lines = base.retail_lines(star, window)
@@ -302,12 +336,12 @@ def _streak_weeks(as_of: dt.date, weeks: int) -> list[tuple[int, dt.date, dt.dat
     return [(i, monday, T.iso_week_last_year(monday)) for i, monday in enumerate(mondays, 1)]
 
 
-def weekly_pairs(star: Star, as_of: dt.date, *by: str, weeks: int = 16) -> DataFrame:
+def weekly_pairs(star: Star, as_of: dt.date, *by: str, weeks: int = 16, days: DataFrame | None = None) -> DataFrame:
     """Sales of each closed week next to the same ISO week of last year (zero where nothing was sold)."""
     calendar = _streak_weeks(as_of, weeks)
     mondays, twins = [c[1] for c in calendar], [c[2] for c in calendar]
     window = _any([Range(min(mondays), max(mondays) + DAY * 6), Range(min(twins), max(twins) + DAY * 6)])
-    per_week = (daily(star, F.col("is_sale") & window).withColumn("week", T.week_start("sale_date"))
+    per_week = (_days(star, days, window, sales_only=True).withColumn("week", T.week_start("sale_date"))
                 .groupBy("week", *by).agg(F.sum("net").alias("net")))
     sides = T.constants(
         star.spark, [(p, monday, True) for p, monday, _ in calendar] + [(p, twin, False) for p, _, twin in calendar],
@@ -316,7 +350,7 @@ def weekly_pairs(star: Star, as_of: dt.date, *by: str, weeks: int = 16) -> DataF
         M.sum_if(F.col("is_now"), "net").alias("now"), M.sum_if(~F.col("is_now"), "net").alias("last_year"))
     frame = T.constants(star.spark, [(p, monday) for p, monday, _ in calendar], "position int, week date")
     if by:
-        recent = daily(star, F.col("is_sale") & P.in_days("sale_date", as_of - DAY * 30, as_of)).select(*by).distinct()
+        recent = _days(star, days, P.in_days("sale_date", as_of - DAY * 30, as_of), sales_only=True).select(*by).distinct()
         frame = recent.crossJoin(F.broadcast(frame))
     return frame.join(matched, ["position", *by], "left").select(
         *by, "position", "week", F.coalesce("now", F.lit(0)).alias("now"), F.coalesce("last_year", F.lit(0)).alias("last_year"))
@@ -331,8 +365,8 @@ def business_streak(star: Star, as_of: dt.date, weeks: int = 16) -> DataFrame:
     return weekly_pairs(star, as_of, weeks=weeks).agg(leading_streak(F.col("position"), ~_declined()).alias("streak_weeks"))
 
 
-def store_streaks(star: Star, as_of: dt.date, weeks: int = 16) -> DataFrame:
-    return weekly_pairs(star, as_of, "store", weeks=weeks).groupBy("store").agg(
+def store_streaks(star: Star, as_of: dt.date, weeks: int = 16, days: DataFrame | None = None) -> DataFrame:
+    return weekly_pairs(star, as_of, "store", weeks=weeks, days=days).groupBy("store").agg(
         leading_streak(F.col("position"), ~_declined()).alias("streak_weeks"))
 
 
@@ -353,21 +387,23 @@ def month_calendar(star: Star, as_of: dt.date) -> DataFrame:
                          F.coalesce("then", F.lit(0)).alias("last_year")).orderBy("day_num")
 
 
-def last_sales(star: Star) -> DataFrame:
-    """Day of the last sale of each store over all history."""
+def last_sales(star: Star, days: DataFrame | None = None) -> DataFrame:
+    """Day of the last sale of each store over all history; from a kept roll-up no ticket is read."""
+    if days is not None:
+        return days.where(F.col("tickets") > 0).groupBy("store").agg(F.max("sale_date").alias("last_sale"))
     return star.tickets.where(P.is_retail_sale(star.ghost_store)).groupBy("store").agg(F.max("sale_date").alias("last_sale"))
 
 
-def scorecard(star: Star, as_of: dt.date) -> DataFrame:
+def scorecard(star: Star, as_of: dt.date, days: DataFrame | None = None) -> DataFrame:
     """One row per store: day, 7-day mean, 30-day total, last sale, last year, return rate.
 
     The 7-day mean is over the days that had sales.  One pass over the tickets (the last sale
-    needs all of history), folded by day before anything else.
+    needs all of history), folded by day before anything else; with a kept roll-up (``days``) none.
     """
     ly = T.add_months(as_of, -12)
     on, week = F.col("sale_date") == F.lit(as_of), P.in_days_until("sale_date", as_of - DAY * 7, as_of)
     sold = F.col("tickets") > 0
-    rows = daily(star).groupBy("store").agg(
+    rows = _days(star, days).groupBy("store").agg(
         M.sum_if(on, "net").alias("sales"), F.coalesce(F.sum(F.when(on, F.col("tickets"))), F.lit(0)).alias("tickets"),
         F.coalesce(M.ratio(M.sum_if(week & sold, "net"), F.count_if(week & sold)), F.lit(0.0)).alias("avg7"),
         M.sum_if(P.in_days("sale_date", as_of - DAY * 30, as_of), "net").alias("total_30d"),
@@ -382,9 +418,12 @@ def scorecard(star: Star, as_of: dt.date) -> DataFrame:
         M.ratio("returns", "sales").alias("returns_rate"))
 
 
-def store_board(star: Star, as_of: dt.date) -> DataFrame:
-    """The scorecard with changes, margin, streak and traffic light; inactive stores are marked."""
-    cards = (scorecard(star, as_of).join(store_streaks(star, as_of), "store", "left")
+def store_board(star: Star, as_of: dt.date, days: DataFrame | None = None) -> DataFrame:
+    """The scorecard with changes, margin, streak and traffic light; inactive stores are marked.
+
+    With a kept roll-up tickets are read for the margins of the window only.
+    """
+    cards = (scorecard(star, as_of, days).join(store_streaks(star, as_of, days=days), "store", "left")
              .join(store_margins(star, as_of).select("store", "margin"), "store", "left"))
     delta = F.when(F.col("avg7") > 0, M.ratio("sales", "avg7") - 1).otherwise(0.0)
     return cards.select(
@@ -406,22 +445,22 @@ def store_sparks(star: Star, as_of: dt.date) -> DataFrame:
                                                    lambda p: p["v"]).alias("spark"))
 
 
-def network_return_rate(star: Star, as_of: dt.date) -> DataFrame:
+def network_return_rate(star: Star, as_of: dt.date, days: DataFrame | None = None) -> DataFrame:
     """Return rate of the last 30 days over all stores."""
-    rows = daily(star, P.in_days("sale_date", as_of - DAY * 29, as_of))
+    rows = _days(star, days, P.in_days("sale_date", as_of - DAY * 29, as_of))
     return rows.agg(M.ratio(F.sum("returns"), M.total("net")).alias("network_rate"))
 
 
-def return_outliers(star: Star, as_of: dt.date, margin: float = 0.01) -> DataFrame:
+def return_outliers(star: Star, as_of: dt.date, margin: float = 0.01, days: DataFrame | None = None) -> DataFrame:
     """Stores whose return rate of the day is more than one point above the network.
 
     The network rate is the 30-day one, else the sales-weighted mean of the stores.
     """
-    cards = scorecard(star, as_of).where("total_30d > 0").select("store", "sales", "returns_rate")
+    cards = scorecard(star, as_of, days).where("total_30d > 0").select("store", "sales", "returns_rate")
     known = F.col("returns_rate").isNotNull() & (F.col("sales") > 0)
     weighted = cards.agg(M.ratio(F.sum(F.when(known, F.col("returns_rate") * M.dbl("sales"))),
                                  F.sum(F.when(known, F.col("sales")))).alias("weighted"))
-    network = base.one_row(network_return_rate(star, as_of), weighted).select(
+    network = base.one_row(network_return_rate(star, as_of, days), weighted).select(
         F.coalesce("network_rate", "weighted").alias("network_rate"))
     return cards.crossJoin(F.broadcast(network)).withColumn(
         "is_outlier", F.coalesce(F.col("returns_rate") > F.col("network_rate") + margin, F.lit(False)))

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lonja.operators.merge import VersionedTable, join_keys, latest_per_key
+from lonja.operators.merge import join_keys, latest_per_key
+from lonja.operators.publish import BUCKET, StoredTable, bucket_of, one_of, overwrite_partitions
+from lonja.session import written
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, glob: str | None = None, files_per_batch: int | None = None,
@@ -36,13 +38,12 @@ def run_available(query_writer) -> StreamingQuery:
     return query
 
 
-def upsert_stream(changes: DataFrame, table: VersionedTable, keys: Iterable[str], order: Iterable[str], checkpoint: str,
-                  trigger: dict | None = None) -> StreamingQuery:
+def upsert_stream(changes: DataFrame, table: StoredTable, order: Iterable[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Merge every micro-batch into a table.  Applying a batch twice gives the same table."""
-    keys, order = list(keys), list(order)
+    order = list(order)
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
-        table.merge(batch, keys, order)
+        table.merge(batch, order)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     query = writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -50,27 +51,35 @@ def upsert_stream(changes: DataFrame, table: VersionedTable, keys: Iterable[str]
     return query
 
 
-def append_once(rows: DataFrame, keys: Iterable[str], path: str, checkpoint: str) -> StreamingQuery:
+def append_once(rows: DataFrame, keys: Iterable[str], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Append one row of each key over all history, however late it comes.
 
-    Every micro-batch meets the keys written so far, so no state is kept and no row is late.  A batch that runs
-    again adds nothing.
+    Rows are stored by a hash bucket of their keys, and a micro-batch meets only the buckets that its own keys fall
+    into: what it reads is bounded by those, not by all that was ever written.  No state is kept and no
+    row is late.  A batch that runs again adds nothing.
     """
     keys = list(keys)
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
-        fresh = latest_per_key(batch, keys, [])
-        try:
-            held = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*keys)
-        except AnalysisException:  # nothing was written yet
-            held = None
+        fresh = written(latest_per_key(batch, keys, []).withColumn(BUCKET, bucket_of(keys, buckets)), "append-once")
+        held = stored_keys(fresh, keys, path)
         if held is not None:
             fresh = join_keys(fresh, held, keys, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        fresh.write.mode("append").partitionBy(BUCKET).parquet(path)
 
     return run_available(rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
 
 
+def stored_keys(rows: DataFrame, keys: list[str], path: str) -> DataFrame | None:
+    """The keys stored in the buckets of some rows; None before anything was stored."""
+    touched = [v for (v,) in rows.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
+    try:
+        stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    except AnalysisException:
+        return None
+    return stored.where(one_of(F.col(BUCKET), touched)).select(*keys)
+
+
 def windowed_totals(rows: DataFrame, ts: str, value: Column, keys: Iterable[str] = (), every: str = "1 hour",
                     lateness: str = "1 day") -> DataFrame:
     """Totals per time window; rows up to the lateness behind still count."""
@@ -79,16 +88,42 @@ def windowed_totals(rows: DataFrame, ts: str, value: Column, keys: Iterable[str]
         F.col("window.start").alias("window_start"), *keys, "total", "rows")
 
 
-def publish_totals(totals: DataFrame, table: VersionedTable, keys: Iterable[str], checkpoint: str) -> StreamingQuery:
+def publish_totals(totals: DataFrame, table: StoredTable, checkpoint: str) -> StreamingQuery:
     """Keep the newest total of each window in a small table.  Only changed windows are sent."""
-    keys = list(keys)
-
     def apply(batch: DataFrame, _batch_id: int) -> None:
-        table.merge(batch, keys)
+        table.merge(batch)
 
     return run_available(totals.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint))
 
 
+def recomputed_days(rows: DataFrame, ts: str, value: Column, by: Iterable[str], base: str, totals: StoredTable, log: str, checkpoint: str,
+                    lateness_days: int = 1) -> StreamingQuery:
+    """Totals per day that are right however late a row comes.
+
+    Each micro-batch stores its rows under their day, then the days it touched, and no others, are summed again from
+    the stored rows and replaced.  There is no watermark behind which rows are dropped; instead ``log`` gets, for each
+    batch and day, the number of rows and whether they came more than ``lateness_days`` behind the newest day of the
+    batches before.  A batch that runs again replaces what it stored.
+    """
+    by = list(by)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn("day", F.to_date(ts)).withColumn("batch", F.lit(batch_id))
+        overwrite_partitions(stamped, base, "day", "batch")
+        stored = batch.sparkSession.read.schema(stamped.schema).parquet(base)
+        own = stored.where(F.col("batch") == batch_id)
+        days = [d for (d,) in own.select("day").distinct().collect()]  # days of the calendar
+        newest = stored.where(F.col("batch") < batch_id).agg(F.max("day")).first()[0]
+        limit = newest - dt.timedelta(days=lateness_days) if newest else None
+        late = F.coalesce(F.col("day") < F.lit(limit).cast("date"), F.lit(False))
+        overwrite_partitions(own.groupBy("day").agg(F.count(F.lit(1)).alias("rows")).select(
+            "day", "rows", late.alias("late"), F.lit(batch_id).alias("batch")), log, "batch")
+        again = stored.where(one_of(F.col("day"), days)).groupBy("day", *by).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("rows"))
+        totals.put(again, days)
+
+    return run_available(rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
+
+
 def running_day(totals: DataFrame) -> DataFrame:
     """Running total per day from hourly totals: each day has at most 24 of them."""
     from pyspark.sql import Window as W

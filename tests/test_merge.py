@@ -68,56 +68,6 @@ def test_delta_filter_is_inclusive(spark, rows):
     assert merge.delta_filter(df, "d", None).count() == 3
 
 
-def test_versioned_table(spark, rows, tmp_path):
-    table = merge.VersionedTable(spark, str(tmp_path / "t"))
-    assert not table.exists
-    table.merge(frame(spark, [(1, "a", 1), (1, "b", 2)]), ["k"], ["at"])
-    table.merge(frame(spark, [(2, "c", 1)]), ["k"], ["at"])
-    before = table.read()
-    table.full_refresh(frame(spark, [(9, "z", 1)]))
-    assert rows(before) == [(1, "b", 2), (2, "c", 1)]      # an open reader keeps its version
-    assert rows(table.read()) == [(9, "z", 1)]
-    table.full_refresh(frame(spark, []))
-    assert table.read().count() == 0
-
-
-def test_an_empty_change_set_publishes_nothing(spark, tmp_path):
-    table = merge.VersionedTable(spark, str(tmp_path / "t"))
-    table.full_refresh(frame(spark, [(1, "a", 1)]))
-    table.merge(frame(spark, []), ["k"], ["at"])
-    assert table._numbers() == [1]
-
-
-def test_versioned_table_rewrites_only_touched_months(spark, rows, tmp_path):
-    schema = "k int, v string, month int"
-    table = merge.VersionedTable(spark, str(tmp_path / "m"), partition="month")
-    table.full_refresh(spark.createDataFrame([(1, "a", 202401), (2, "b", 202402), (3, "c", 202403)], schema))
-    _, first = table._manifest(1)
-    table.merge(spark.createDataFrame([(2, "B", 202402), (4, "d", 202404)], schema), ["k"])
-    _, second = table._manifest(2)
-    assert rows(table.read().select("k", "v", "month")) == [(1, "a", 202401), (2, "B", 202402), (3, "c", 202403), (4, "d", 202404)]
-    assert second["month=202401"] == first["month=202401"] and second["month=202402"] != first["month=202402"]
-
-
-def test_versioned_table_row_that_moves_month(spark, rows, tmp_path):
-    schema = "k int, v string, month int"
-    table = merge.VersionedTable(spark, str(tmp_path / "m"), partition="month")
-    table.full_refresh(spark.createDataFrame([(1, "a", 202401), (2, "b", 202401), (3, "c", 202402)], schema))
-    table.merge(spark.createDataFrame([(1, "A", 202403), (3, "C", 202401)], schema), ["k"])
-    assert rows(table.read().select("k", "v", "month")) == [(1, "A", 202403), (2, "b", 202401), (3, "C", 202401)]
-
-
-def test_versioned_table_by_day_prunes(spark, rows, tmp_path):
-    day = lambda n: dt.date(2024, 1, n)
-    table = merge.VersionedTable(spark, str(tmp_path / "d"), partition="sale_date")
-    table.full_refresh(spark.createDataFrame([(n, "a", day(n)) for n in range(1, 11)], "k int, v string, sale_date date"))
-    table.merge(spark.createDataFrame([(3, "B", day(3))], "k int, v string, sale_date date"), ["k"])
-    out = table.read().where(F.col("sale_date") <= F.lit(day(3)))
-    assert rows(out.select("k", "v")) == [(1, "a"), (2, "a"), (3, "B")]
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(sale_date" in plan
-
-
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 50)), max_size=12, unique_by=lambda r: r[0]),
        st.lists(st.tuples(st.integers(0, 9), st.integers(0, 50)), max_size=25, unique_by=lambda r: r[1]))
@@ -133,36 +83,6 @@ def test_merges_agree_with_a_dictionary(spark, target, changes):
     assert set(kept) == set(want) and all(kept[k] == v for k, v in target)
 
 
-@pytest.mark.parametrize("values", [(202101, None, 202102), (dt.date(2021, 1, 1), None, dt.date(2021, 2, 1)), ("x:y", None, "a b/c=d%"), ("01", "", "1")])
-def test_partition_values_of_every_kind_keep_their_rows(spark, rows, tmp_path, values):
-    kind = {int: "int", dt.date: "date", str: "string"}[type(values[0])]
-    schema = f"k int, v string, part {kind}"
-    a, b, c = values
-    table = merge.VersionedTable(spark, str(tmp_path / "p"), partition="part")
-    table.full_refresh(spark.createDataFrame([(1, "a", a), (2, "b", b), (3, "c", b), (4, "d", c)], schema))
-    table.merge(spark.createDataFrame([(2, "B", b), (4, "D", c), (5, "e", a)], schema), ["k"])
-    none = b or None
-    assert rows(table.read()) == sorted([(1, "a", a), (2, "B", none), (3, "c", none), (4, "D", c), (5, "e", a)], key=repr)
-    assert table.read().schema["part"].dataType.simpleString() == kind
-
-
-def test_moved_rows_leave_one_copy(spark, rows, tmp_path):
-    schema = "k int, v string, month int"
-    table = merge.VersionedTable(spark, str(tmp_path / "m"), partition="month")
-    table.full_refresh(spark.createDataFrame([(1, "a", 202101), (2, "b", None)], schema))
-    table.merge(spark.createDataFrame([(1, "A", None), (2, "B", 202102)], schema), ["k"])
-    assert rows(table.read()) == [(1, "A", None), (2, "B", 202102)]
-
-
-def test_an_empty_refresh_of_a_partitioned_table_can_be_read(spark, rows, tmp_path):
-    table = merge.VersionedTable(spark, str(tmp_path / "e"), partition="month")
-    empty = spark.createDataFrame([], "k int, month int")
-    table.full_refresh(empty)
-    assert rows(table.read()) == [] and table.read().columns == ["k", "month"]
-    table.merge(spark.createDataFrame([(1, 202101)], "k int, month int"), ["k"])
-    assert rows(table.read()) == [(1, 202101)]
-
-
 def test_an_older_change_loses_to_the_target(spark, rows):
     target = frame(spark, [(1, "new", 9), (2, "b", 1), (None, "n", 1)])
     changes = frame(spark, [(1, "old", 3), (2, "B", 1), (None, "N", 2), (None, "x", 1)])
@@ -182,13 +102,3 @@ def test_rows_of_one_source_do_not_meet_themselves(spark, rows):
     source = frame(spark, [(1, "a", 1), (2, "b", 2), (3, "c", 3)])
     out = merge.upsert(source.where("k < 3"), source.where("k > 1").withColumn("v", F.upper("v")), ["k"], ["at"])
     assert rows(out) == [(1, "a", 1), (2, "B", 2), (3, "C", 3)]
-
-
-def test_vacuum_keeps_what_the_newest_versions_name(spark, rows, tmp_path):
-    table = merge.VersionedTable(spark, str(tmp_path / "v"), partition="month")
-    schema = "k int, month int"
-    for month in (202101, 202101, 202102, 202101):
-        table.merge(spark.createDataFrame([(month % 10, month)], schema), ["k"])
-    before = rows(table.read())
-    assert table.vacuum(keep=1) == 2 and table._numbers() == [4]
-    assert rows(table.read()) == before and table.vacuum(keep=1) == 0
