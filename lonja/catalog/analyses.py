@@ -9,8 +9,10 @@ from lonja.catalog.params import AS_OF, HI, IN30, LAST_30, LY30, YTD, money_avg
 from lonja.catalog.questions import YEAR
 from lonja.catalog.registry import Catalog
 from lonja.functions.periods import year_before
+from lonja.operators import history
 from lonja.plans import analyses as a
 from lonja.plans import questions as q
+from lonja.session import written
 from lonja.sources.tpch import intraday_star
 
 MOVES = f"""moves AS (
@@ -19,16 +21,12 @@ MOVES = f"""moves AS (
     UNION ALL SELECT item_id, from_store, -units_out FROM r_transfers WHERE NOT is_in AND out_date {IN30}
     UNION ALL SELECT item_id, '24', units FROM r_po_lines l JOIN r_po o ON o.po_id = l.po_id WHERE received_on {IN30}
     UNION ALL SELECT item_id, '24', CASE WHEN credit_note THEN units ELSE -units END FROM r_invoice_lines l JOIN r_invoices f ON f.invoice_id = l.invoice_id WHERE invoice_date {IN30})"""
-LATER, EARLIER = dt.date(2001, 6, 15), dt.date(2001, 6, 8)
+EARLIER, LATER, AFTER = dt.date(2001, 6, 8), dt.date(2001, 6, 15), dt.date(2001, 6, 16)
 
 
-def _initial(s):
-    """Opening stock of the check: the positive cells per store."""
-    return s.stock.where("qty > 0").groupBy("item_id", "store").agg(F.sum("qty").alias("qty"))
-
-
-def _actual(s):
-    return s.stock.groupBy("item_id", "store").agg(F.sum("qty").alias("qty"))
+def _counts(s):
+    """Opening stock of the check, the positive cells per store, beside all cells."""
+    return s.stock.groupBy("item_id", "store").agg(F.sum(F.when(F.col("qty") > 0, F.col("qty"))).alias("initial"), F.sum("qty").alias("actual"))
 
 
 def _snapshots(s):
@@ -51,7 +49,27 @@ def _wide_lines(s):
 def _metrics(s):
     parts = [q.total_sales(s, YTD).select(F.lit("net_sales").alias("metric"), F.col("net").cast("double").alias("value")),
              q.average_ticket(s, YTD).select(F.lit("average_ticket").alias("metric"), F.col("avg_ticket").alias("value")),
-             q.stock_value(s).select(F.lit("stock_value").alias("metric"), F.col("value").cast("double").alias("value"))]
+             q.stock_value(s).select(F.inline(F.array(F.struct(F.lit("stock_value").alias("metric"), F.col("value").cast("double").alias("value")),
+                                                      F.struct(F.lit("stock_units").alias("metric"), F.col("units").cast("double").alias("value")),
+                                                      F.struct(F.lit("stock_refs").alias("metric"), F.col("refs").cast("double").alias("value")))))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _history(s):
+    """Three snapshots as intervals: a week ago, today, and a day later without every third item and with one more of each seventh."""
+    cells = s.stock.where("qty <> 0").select("item_id", "store", "size", "qty")
+    first = cells.where("size <> '1'").withColumn("qty", (F.col("qty") / 2).cast("int"))
+    last = cells.where("item_id % 3 <> 0").withColumn("qty", F.col("qty") + F.when(F.col("item_id") % 7 == 0, 1).otherwise(0))
+    ended, lasting = [], history.first_intervals(first, EARLIER)
+    for snapshot, day in ((cells, LATER), (last, AFTER)):
+        gone, lasting = (written(x, "intervals") for x in history.next_intervals(lasting, snapshot, day, ["item_id", "store", "size"]))
+        ended.append(gone)
+    return lasting.unionByName(ended[0]).unionByName(ended[1])
+
+
+def _days_read_back(s):
+    rows = _history(s)
+    parts = [history.as_of(rows, day).withColumn("day", F.lit(day)) for day in (EARLIER, LATER, AFTER)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -59,7 +77,7 @@ def register(c: Catalog) -> None:
     c.add("e11_1_net_movement", "store s, entries d, exits d, net d", lambda s: a.net_movement(a.movements(s, LAST_30, "24"), "store"), f"""
         WITH {MOVES} SELECT store, COALESCE(SUM(u) FILTER (WHERE u > 0), 0) AS entries, COALESCE(-SUM(u) FILTER (WHERE u < 0), 0) AS exits, SUM(u) AS net FROM moves GROUP BY 1""")
     c.add("e11_1_shrinkage", "item_id l, store s, expected d, actual d, difference d",
-          lambda s: a.shrinkage(_initial(s), a.movements(s, LAST_30, "24"), _actual(s)), f"""
+          lambda s: a.shrinkage(_counts(s), a.movements(s, LAST_30, "24")), f"""
         WITH {MOVES}, cells AS (SELECT item_id, store, qty AS e, 0 AS a FROM r_stock WHERE qty > 0 UNION ALL SELECT item_id, store, u, 0 FROM moves
             UNION ALL SELECT item_id, store, 0, qty FROM r_stock)
         SELECT item_id, store, SUM(e) AS expected, SUM(a) AS actual, SUM(a) - SUM(e) AS difference FROM cells GROUP BY 1, 2""")
@@ -82,6 +100,11 @@ def register(c: Catalog) -> None:
           lambda s: a.snapshot_change(_snapshots(s), EARLIER, LATER), """
         SELECT item_id, store, size, CASE WHEN size <> '1' THEN CAST(trunc(qty / 2.0) AS INTEGER) ELSE 0 END AS before, qty AS after,
             qty - CASE WHEN size <> '1' THEN CAST(trunc(qty / 2.0) AS INTEGER) ELSE 0 END AS change FROM r_stock WHERE qty <> 0""")
+    c.add("e11_5_history_as_of", "day date, item_id l, store s, size s, qty l", _days_read_back, """
+        WITH cells AS (SELECT item_id, store, size, qty FROM r_stock WHERE qty <> 0)
+        SELECT DATE '2001-06-08' AS day, item_id, store, size, CAST(trunc(qty / 2.0) AS INTEGER) AS qty FROM cells WHERE size <> '1'
+        UNION ALL SELECT DATE '2001-06-15', * FROM cells
+        UNION ALL SELECT DATE '2001-06-16', item_id, store, size, qty + CASE WHEN item_id % 7 = 0 THEN 1 ELSE 0 END FROM cells WHERE item_id % 3 <> 0""")
     c.add("e11_6_unpaid_invoices", "invoice_id l, customer_id l, total d, collected d, pending d", lambda s: a.unpaid_invoices(s, YTD), f"""
         SELECT f.invoice_id, customer_id, total, COALESCE(SUM(amount), 0) AS collected, total - COALESCE(SUM(amount), 0) AS pending
         FROM r_invoices f LEFT JOIN r_collections k ON k.invoice_id = f.invoice_id WHERE invoice_date {YEAR} GROUP BY 1, 2, 3
@@ -101,8 +124,9 @@ def register(c: Catalog) -> None:
         tiles AS (SELECT *, ntile(10) OVER (ORDER BY net DESC, customer_id) AS t FROM spent)
         SELECT COUNT(*) AS members, COUNT(*) FILTER (WHERE t = 1) AS top_members, SUM(net) FILTER (WHERE t = 1) AS top_total, SUM(net) AS total,
             ROUND(CAST(SUM(net) FILTER (WHERE t = 1) AS DOUBLE) / CAST(SUM(net) AS DOUBLE) * 100, 1) AS share_pct FROM tiles""")
-    c.add("e11_11_weekly_trend", "week date, net d, tickets l", lambda s: a.weekly_trend(s, AS_OF), f"""
-        SELECT w AS week, COALESCE(SUM(net), 0) AS net, COUNT(ticket_id) AS tickets FROM (SELECT CAST(unnest(generate_series(DATE '2001-03-26', DATE '2001-06-11', INTERVAL 7 DAY)) AS DATE) AS w)
+    c.add("e11_11_weekly_trend", "week date, net d, tickets l, units d", lambda s: a.weekly_trend(s, AS_OF), f"""
+        SELECT w AS week, COALESCE(SUM(net), 0) AS net, COUNT(ticket_id) AS tickets, (SELECT COALESCE(SUM(l.units), 0) FROM r_lines l
+            JOIN r_tickets v ON v.ticket_id = l.ticket_id WHERE v.{SALE} AND l.sale_date >= w AND l.sale_date < w + 7) AS units FROM (SELECT CAST(unnest(generate_series(DATE '2001-03-26', DATE '2001-06-11', INTERVAL 7 DAY)) AS DATE) AS w)
         LEFT JOIN r_tickets ON {SALE} AND sale_date >= w AND sale_date < w + 7 GROUP BY 1""")
     line_sales = f"FROM r_lines l JOIN r_tickets v ON v.ticket_id = l.ticket_id WHERE v.{SALE} AND l.sale_date {IN30}"
     c.add("e11_12_sales_by_size", "line_no l, units d, net d, lines l", lambda s: a.sold_by_line(s, LAST_30, "line_no"),
@@ -126,6 +150,8 @@ def register(c: Catalog) -> None:
     c.add("e11_16_magnitude_check", "metric s, value d, low d, high d, flag s", lambda s: a.magnitude_check(_metrics(s), ("store",)), f"""
         WITH v AS (SELECT 'net_sales' AS metric, CAST(SUM(net) AS DOUBLE) AS value, 200000.0 / 50 AS low, 3000000.0 / 50 AS high FROM r_tickets WHERE is_sale AND sale_date {YEAR}
             UNION ALL SELECT 'average_ticket', {money_avg('SUM(net)', 'COUNT(*)')}, 30, 250 FROM r_tickets WHERE {SALE} AND sale_date {YEAR}
+            UNION ALL SELECT 'stock_units', CAST(SUM(qty) AS DOUBLE), 20000.0 / 50, 400000.0 / 50 FROM r_stock s JOIN r_items p ON s.item_id = p.item_id WHERE qty > 0 AND active
+            UNION ALL SELECT 'stock_refs', CAST(COUNT(DISTINCT s.item_id) AS DOUBLE), NULL, NULL FROM r_stock s JOIN r_items p ON s.item_id = p.item_id WHERE qty > 0 AND active
             UNION ALL SELECT 'stock_value', CAST(SUM(qty * unit_cost) AS DOUBLE), 500000.0 / 50, 15000000.0 / 50 FROM r_stock s JOIN r_items p ON s.item_id = p.item_id WHERE qty > 0 AND active)
         SELECT *, CASE WHEN value = 0 THEN 'zero' WHEN value > high * 10 THEN 'too high' ELSE 'plausible' END AS flag FROM v""")
     c.add("c19_customers_in_both_channels", "customer_id l, name s", lambda s: a.customers_in_both(

@@ -33,9 +33,9 @@ def _line_table(s):
     return merge.latest_per_key(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "qty"])
 
 
-def _changes(s):
+def _changes(s, base_rows=None):
     """A change set with repeats: even orders doubled, and every seventh order under a new number."""
-    base_rows = _line_table(s)
+    base_rows = _line_table(s) if base_rows is None else base_rows
     doubled = base_rows.where("l_orderkey % 2 = 0").withColumn("qty", F.col("qty") * 2)
     stale = doubled.withColumn("l_shipdate", F.lit("1990-01-01").cast("timestamp_ntz")).withColumn("qty", F.lit(-1))
     new = base_rows.where("l_orderkey % 7 = 0").withColumn("l_orderkey", -F.col("l_orderkey") - 1)
@@ -88,6 +88,14 @@ def _ingest(c: Catalog) -> None:
     c.add("a10_cascade_exclude", "ticket_id l, item_id l, line_no l, units d", lambda s: ingest.cascade_exclude(s.lines, s.items.where("NOT active")).select(
         "ticket_id", "item_id", "line_no", "units"), """
         SELECT ticket_id, item_id, line_no, units FROM r_lines WHERE item_id NOT IN (SELECT item_id FROM r_items WHERE NOT active)""")
+    def cascaded(s):
+        """Rows per item of four facts after inactive items have left."""
+        facts, gone = {"lines": s.lines, "stock": s.stock, "transfers": s.transfers, "purchases": s.purchase_lines}, s.items.where("NOT active")
+        parts = [ingest.cascade_exclude(f.select("item_id"), gone).groupBy("item_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("fact", F.lit(n)) for n, f in facts.items()]
+        return functools.reduce(lambda x, y: x.unionByName(y), parts)
+    c.add("a10_cascade_four_facts", "fact s, item_id l, rows l", cascaded, " UNION ALL ".join(
+        f"SELECT '{n}' AS fact, item_id, COUNT(*) AS rows FROM {t} WHERE item_id IN (SELECT item_id FROM r_items WHERE active) GROUP BY 2"
+        for n, t in (("lines", "r_lines"), ("stock", "r_stock"), ("transfers", "r_transfers"), ("purchases", "r_po_lines"))))
     c.add("a11_delta_filter", "o_orderkey l, o_orderdate ts", lambda s: merge.delta_filter(s.raw("orders"), "o_orderdate", MARK, 1).select("o_orderkey", "o_orderdate"),
           "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '2001-05-31'")
     c.add("a23_pick_columns", "p_partkey l, p_brand s", lambda s: ingest.pick_columns(s.raw("part"), ["p_partkey", "missing", "p_brand"]), "SELECT p_partkey, p_brand FROM part")
@@ -117,6 +125,10 @@ def _merge(c: Catalog) -> None:
         WITH {LINES_SQL}, p AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '2001-05-31')
         SELECT l_orderkey, l_linenumber, qty FROM t WHERE l_orderkey NOT IN (SELECT o_orderkey FROM p)
         UNION ALL SELECT l_orderkey, l_linenumber, qty + 100 FROM t WHERE l_linenumber <= 3 AND l_orderkey IN (SELECT o_orderkey FROM p)""")
+    c.add("a16_replace_children_by_month", "l_orderkey l, l_linenumber l, qty l", _replaced_by_month, f"""
+        WITH {LINES_SQL}, p AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '2001-05-31')
+        SELECT l_orderkey, l_linenumber, qty + 100 AS qty FROM t SEMI JOIN p ON o_orderkey = l_orderkey WHERE l_linenumber <= 3
+        UNION ALL SELECT l_orderkey, l_linenumber, qty FROM t ANTI JOIN p ON o_orderkey = l_orderkey""")
     c.add("a19_orphan_repair", "run_id l, status s, tables_ok l, tables_failed l, total_tables l, duration_ms l", lambda s: control.repair_orphans(
         s.runs.withColumn("status", F.when(F.col("run_id") % 10 == 0, "running").otherwise(F.col("status")))
         .withColumns({n: F.when(F.col("run_id") % 10 != 0, F.col(n)) for n in ("tables_failed", "total_tables", "duration_ms")}),
@@ -126,6 +138,17 @@ def _merge(c: Catalog) -> None:
             CASE WHEN run_id % 10 = 0 THEN (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(started_at)) // 1000 ELSE duration_ms END AS duration_ms FROM r_runs""")
 
 
+def _replaced_by_month(s):
+    """Lines kept by the month of their order; those of orders since a day are dropped and read again."""
+    lines, orders = _line_table(s), s.raw("orders").select("o_orderkey", "o_orderdate", P.month_of("o_orderdate").cast("int").alias("month"))
+    dated = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "month"), "l_orderkey", "left")
+    table = publish.stored_table(s.spark, scratch_dir(s.spark, "lines"), LINE_SCHEMA + ", month int", ["l_orderkey", "l_linenumber"], partition="month")
+    table.replace(dated)
+    parents = orders.where("o_orderdate >= '2001-05-31'").select(F.col("o_orderkey").alias("l_orderkey"), "month")
+    table.replace_children(parents, dated.where("l_linenumber <= 3").withColumn("qty", F.col("qty") + 100), "l_orderkey")
+    return table.read()
+
+
 def _merged_months(s):
     """Merge the 2001 changes into a table kept by month: the folders of other years are not touched.
 
@@ -142,7 +165,8 @@ def _merged_months(s):
 
 def _upserted(s, keys):
     """The target and the change set are stored tables, as they are in use."""
-    return merge.upsert(written(_line_table(s), "lines"), written(_changes(s), "changes"), keys, ["l_shipdate"])
+    lines = written(_line_table(s), "lines")
+    return merge.upsert(lines, written(_changes(s, lines), "changes"), keys, ["l_shipdate"])
 
 
 def _refreshed(s):
@@ -214,6 +238,15 @@ def _filters(c: Catalog) -> None:
         cascade=("store", "family")), f"""
         SELECT DISTINCT p.family AS value, p.family AS label FROM r_lines l JOIN r_tickets v ON v.ticket_id = l.ticket_id JOIN r_items p ON p.item_id = l.item_id
         WHERE v.{SALE} AND l.sale_date {IN30} AND v.store = '7' AND p.family <> '' AND p.family_id IS NOT NULL""")
+    panel = ("store", "family", "season", "brand", "sex", "department")
+    lists = {x: (x, x) for x in panel}
+    passes = {"store": "store = '7'", "family": "family IN ('PROMO', 'SMALL ')", "season": "season IN ('PV02', 'OI05', 'OI03')"}
+    c.add("b16_panel_options", "filter s, value s, label s, rows l", lambda s: picked.facets(
+        base.with_items(s, base.fold_to_items(base.retail_lines(s, base.line_window(LAST_30), positive=False), "store"), family=True), lists, panel), f"""
+        WITH cells AS (SELECT DISTINCT v.store, p.* FROM r_lines l JOIN r_tickets v ON v.ticket_id = l.ticket_id JOIN r_items p ON p.item_id = l.item_id
+            WHERE v.{SALE} AND l.sale_date {IN30} AND p.family_id IS NOT NULL)
+        """ + " UNION ALL ".join(f"SELECT '{x}' AS filter, {x} AS value, {x} AS label, COUNT(*) AS rows FROM cells WHERE {x} <> '' AND " +
+                                 " AND ".join(v for k, v in passes.items() if k != x) + " GROUP BY 2" for x in panel))
     c.add("b16_store_options", "value s, label s", lambda s: picked.options(base.retail_tickets(s, LAST_30), "store", "store", "store", cascade=("store",)),
           f"SELECT DISTINCT store AS value, store AS label FROM r_tickets WHERE {SALE} AND sale_date {IN30}")
     c.add("b17_customer_labels", "customer_id l, label s", lambda s: s.customers.select("customer_id", L.customer_label().alias("label")), """
@@ -224,8 +257,11 @@ def _filters(c: Catalog) -> None:
     c.add("b19_stock_signs", "store s, positive l, negative l, zero l", lambda s: s.stock.groupBy("store").agg(
         F.count_if(P.has_stock()).alias("positive"), F.count_if(P.is_stock_incident()).alias("negative"), F.count_if(P.is_stocked_out()).alias("zero")), """
         SELECT store, COUNT(*) FILTER (WHERE qty > 0) AS positive, COUNT(*) FILTER (WHERE qty < 0) AS negative, COUNT(*) FILTER (WHERE qty = 0) AS zero FROM r_stock GROUP BY 1""")
-    c.add("b20_clip_flags", "rows_truncated b, columns_truncated b", lambda s: ranking.clip(s.items, 200, 30)[1], """
-        SELECT COUNT(*) > 200 AS rows_truncated, false AS columns_truncated FROM part""")
+    def clipped(s):
+        rows, flags = ranking.clip(s.items.select("item_id", "ref", "description", "brand", "season"), 200, 3, F.asc("ref"), F.asc("item_id"))
+        return base.one_row(rows, flags)
+    c.add("b20_clip_flags", "item_id l, ref s, description s, rows_truncated b, columns_truncated b", clipped, """
+        SELECT item_id, ref, description, (SELECT COUNT(*) > 200 FROM part) AS rows_truncated, true AS columns_truncated FROM r_items ORDER BY ref NULLS FIRST, item_id LIMIT 200""")
 
 
 def _joins(c: Catalog) -> None:
@@ -264,11 +300,13 @@ def _functions(c: Catalog) -> None:
     c.add("g1_g2_bottom_margins", "ref s, margin_pct d", lambda s: ranking.top(q.margin_by(s, "ref").select("ref", "margin_pct"), 15, F.asc_nulls_last("margin_pct"), F.asc("ref")), """
         SELECT ref, ROUND(CAST(SUM(l.net) - SUM(l.units * p.unit_cost) AS DOUBLE) / NULLIF(CAST(SUM(l.net) AS DOUBLE), 0) * 100, 1) AS margin_pct FROM r_lines l JOIN r_tickets v ON v.ticket_id = l.ticket_id
         JOIN r_items p ON p.item_id = l.item_id WHERE v.is_sale AND l.net > 0 GROUP BY 1 ORDER BY margin_pct ASC NULLS LAST, ref LIMIT 15""")
-    mixed = "CASE WHEN item_id % 5 = 0 THEN CAST(item_id * 37 % 1000 AS VARCHAR) WHEN item_id % 5 = 1 THEN ' ' ELSE description END"
-    c.add("g4_mixed_sort_head", "item_id l, cell s", lambda s: ranking.top(s.items.select("item_id", F.expr(mixed.replace("VARCHAR", "STRING")).alias("cell")), 450,
-                                                                          *ranking.mixed_order("cell"), F.asc("item_id")), f"""
-        SELECT item_id, cell FROM (SELECT item_id, {mixed} AS cell FROM r_items)
-        ORDER BY COALESCE(TRIM(cell) = '', true), TRY_CAST(cell AS DOUBLE) NULLS LAST, lower(cell), item_id LIMIT 450""")
+    mixed = "CASE WHEN item_id % 11 = 0 THEN NULL WHEN item_id % 5 = 0 THEN CAST(item_id * 37 % 1000 AS VARCHAR) WHEN item_id % 5 = 1 THEN ' ' ELSE description END"
+    c.add("g4_mixed_sort", "position l, item_id l, cell s", lambda s: ranking.numbered(
+        s.items.select("item_id", F.expr(mixed.replace("VARCHAR", "STRING")).alias("cell")), [], [*ranking.mixed_order("cell"), F.asc("item_id")], "position"), f"""
+        SELECT ROW_NUMBER() OVER (ORDER BY COALESCE(TRIM(cell) = '', true), TRY_CAST(cell AS DOUBLE) NULLS LAST, lower(cell) NULLS LAST, item_id) AS position, item_id, cell
+        FROM (SELECT item_id, {mixed} AS cell FROM r_items)""")
+    c.add("g5_page_with_total", "o_orderkey l, o_totalprice d, total l", lambda s: ranking.page_with_total(s.raw("orders").select("o_orderkey", "o_totalprice"), 25, "o_orderkey", 7000), """
+        SELECT o_orderkey, o_totalprice, (SELECT COUNT(*) FROM orders) AS total FROM orders WHERE o_orderkey > 7000 ORDER BY o_orderkey LIMIT 25""")
     c.add("g5_keyset_page", "o_orderkey l, o_totalprice d", lambda s: ranking.page_after(s.raw("orders").select("o_orderkey", "o_totalprice"), 25, "o_orderkey", 7000),
           "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 7000 ORDER BY o_orderkey LIMIT 25")
     c.add("h3_distinct_brands", "brand s", lambda s: s.items.select("brand").distinct(), "SELECT DISTINCT brand FROM r_items")
@@ -315,7 +353,7 @@ def _streams(c: Catalog) -> None:
     def once(s):
         out = scratch_dir(s.spark, "stream-once")
         rows = _scattered_events(s, ["user_id", "event_type"])
-        jobs.append_once(rows, ["user_id", "event_type"], out, scratch_dir(s.spark, "cp"))
+        jobs.append_once(rows, ["user_id", "event_type"], out, scratch_dir(s.spark, "cp"), buckets=8)
         return s.spark.read.parquet(out)
     c.add("j3_append_once_per_key", "user_id l, event_type s", once, "SELECT DISTINCT user_id, event_type FROM events")
     c.add("j4_running_day_by_hour", "day date, hour l, total d, running d", lambda s: jobs.running_day(hourly(s)), """

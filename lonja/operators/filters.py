@@ -92,4 +92,25 @@ class Filters:
                 .where((F.col("value").cast("string") != "") & (F.col("label").cast("string") != "")).distinct())
 
 
+    def facets(self, df: DataFrame, lists: Mapping[str, tuple[Column | str, Column | str]], scope: Sequence[str]) -> DataFrame:
+        """The option lists of a whole panel in one pass: filter, value, label and the number of rows behind each.
+
+        Every row carries a mask with a bit for each active filter of the scope that it fails.  It counts for a list when no
+        other filter's bit is set, so that a list is narrowed by all filters but its own.  The rows are folded by mask and
+        list columns before they are spread over the lists.
+        """
+        active = [x for x in scope if self.condition(x) is not None]
+        failed = F.lit(0).cast("long")
+        for i, x in enumerate(active):
+            failed += F.when(F.coalesce(self.condition(x), F.lit(False)), 0).otherwise(1 << i)
+        pairs = {x: tuple((F.col(c) if isinstance(c, str) else c).cast("string") for c in both) for x, both in lists.items()}
+        folded = df.select(failed.alias("_failed"), *[c.alias(f"_{k}{i}") for i, both in enumerate(pairs.values()) for k, c in zip("vl", both, strict=True)])
+        folded = folded.groupBy(*folded.columns).agg(F.count(F.lit(1)).alias("_rows"))
+        options = F.array(*[F.struct(
+            F.lit(x).alias("filter"), F.col(f"_v{i}").alias("value"), F.col(f"_l{i}").alias("label"),
+            F.lit(1 << active.index(x) if x in active else 0).cast("long").alias("own")) for i, x in enumerate(pairs)])
+        shown = F.filter(options, lambda o: (F.col("_failed").bitwiseAND(F.bitwise_not(o["own"])) == 0) & (o["value"] != "") & (o["label"] != ""))
+        return folded.select("_rows", F.inline(shown)).groupBy("filter", "value", "label").agg(F.sum("_rows").alias("rows"))
+
+
 NONE = Filters()

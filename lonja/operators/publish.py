@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lonja.operators.merge import join_keys, latest_per_key, upsert
+from lonja.operators.merge import join_keys, latest_per_key, replace_children, upsert
 from lonja.session import written
 
 BUCKET = "_bucket"
@@ -123,6 +123,17 @@ class StoredTable:
         touched = stored.where(one_of(F.col(self.folder), values)).select(*self.schema.names)
         self.put(how(touched, fresh, self.keys, order), values)
 
+    def replace_children(self, parents: DataFrame, new_lines: DataFrame, parent_key: str) -> None:
+        """Lines of changed parents are dropped and taken anew; ``parents`` names each with the partition its lines lie in.
+
+        Only those partitions are read and rewritten.  A parent that moved is named with its old and its new partition.
+        """
+        named = written(parents.select(parent_key, self.folder).distinct(), "parents")
+        values = self._values(named)
+        touched = self._stored().where(one_of(F.col(self.folder), values)).select(*self.schema.names)
+        fresh = new_lines.where(one_of(F.col(self.folder), values)).select(*self.schema.names)
+        self.put(replace_children(touched, named, fresh, parent_key), values)
+
 
 def stored_table(spark: SparkSession, path: str, schema: T.StructType | str, keys: Iterable[str], **options) -> StoredTable:
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

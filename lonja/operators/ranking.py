@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lonja.session import written
+
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """First k rows in an order.  Each task keeps k rows; nothing is sorted as a whole."""
@@ -25,12 +28,13 @@ def page_after(df: DataFrame, limit: int, key: str, after) -> DataFrame:
     return rows.orderBy(F.col(key).asc()).limit(limit)
 
 
-def clip(df: DataFrame, max_rows: int, max_columns: int) -> tuple[DataFrame, DataFrame]:
-    """Clipped result and a one-row frame telling whether rows or columns were cut."""
+def clip(df: DataFrame, max_rows: int, max_columns: int, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """Clipped result (its first rows, where an order is given) and a one-row frame telling whether rows or columns were cut."""
     probe = df.limit(max_rows + 1)
     flags = probe.agg((F.count(F.lit(1)) > max_rows).alias("rows_truncated")).withColumn(
         "columns_truncated", F.lit(len(df.columns) > max_columns))
-    return df.select(df.columns[:max_columns]).limit(max_rows), flags
+    rows = df.orderBy(*order) if order else df
+    return rows.limit(max_rows).select(df.columns[:max_columns]), flags
 
 
 def mixed_order(column: str, descending: bool = False) -> list[Column]:
@@ -42,22 +46,35 @@ def mixed_order(column: str, descending: bool = False) -> list[Column]:
     return [blank.asc(), way(number), way(text)]
 
 
-def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "n") -> DataFrame:
-    """``row_number`` per group without sorting any group in one task.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "n", partitions: int | None = None) -> DataFrame:
+    """``row_number`` per group (over all rows without ``keys``), whatever share of the rows a group or a moment holds.
 
-    ``bucket`` must grow with the order.  Rows are numbered inside (keys, bucket), and each
-    bucket is shifted by the rows of the earlier buckets of its group, which come from a small
-    count table.  The result is exactly the row number over the whole group.
+    Rows are dealt to ranges of (keys, order) and sorted there, so that a large group lies in many partitions.  Each
+    partition counts its rows of a group; a row's number is its place in the partition, less that of the group's first
+    row there, plus what earlier partitions count.  The sorted rows are written once: the two uses must see the
+    same ranges.  The order should be total; rows that tie are numbered in any order.
     """
     keys = list(keys)
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    shifts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    local = rows.withColumn("_local", F.row_number().over(inside))
-    return (local.join(shifts, [*keys, "_bucket"])
-            .withColumn(name, F.col("_local") + F.col("_shift")).drop("_bucket", "_local", "_shift"))
+    spark = df.sparkSession
+    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    place = F.monotonically_increasing_id()
+    rows = written(df.repartitionByRange(ranges, *wanted).sortWithinPartitions(*wanted).select(
+        "*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "numbered")
+    counts = rows.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("r._part") == F.col("s._part")
+    for k in keys:
+        same &= F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+    joined = rows.alias("r").join(shifts.alias("s"), same)
+    return joined.select("r.*", (F.col("r._place") + F.col("s._shift")).alias(name)).drop("_part", "_place")
+
+
+def page_with_total(df: DataFrame, limit: int, key: str, after=None) -> DataFrame:
+    """A keyset page with the number of all rows beside it; the count is one partial aggregate, not a sort."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return page_after(df, limit, key, after).crossJoin(F.broadcast(total))
 
 
 def packed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,31 +109,33 @@ def normalise_to_max(df: DataFrame, keys: Sequence[str], columns: Iterable[str])
     return rows.crossJoin(F.broadcast(tops)).withColumns(scaled).drop(*[f"_max_{c}" for c in columns])
 
 
+#: Classes of one step of the selection.
+CLASSES = 1 << 16
+
+
 def top_share(df: DataFrame, value: str, denominator: int = 10) -> DataFrame:
     """Exact share of the total held by the top 1/denominator of the rows (rounded up).
 
-    The boundary is found in two small steps instead of ranking all rows: first the histogram of
-    values rounded to three significant digits, then the distinct values of the one boundary
-    class.  Rows of equal value are counted, never listed.
+    The value at the boundary is selected by its digits, without ranking or sorting rows: the range of values is cut
+    into classes, a histogram names the class that the boundary falls into, that class is cut again, until it is one
+    value.  Two steps do for amounts that lie within 40 million, four for any; one histogram of at most
+    ``CLASSES`` rows reaches the driver in each, where it picks the next class.  Rows of equal value are counted, never
+    listed.  ``value`` is an amount with two decimals, up to 4 * 10^16.
     """
-    v = F.col(value)
-    cents = F.round(v * 100).cast("decimal(38,0)")
-    digits = F.length(F.abs(cents).cast("string"))
-    power = F.pow(F.lit(10.0), F.greatest(digits - 3, F.lit(0))).cast("decimal(38,0)")
-    cls = F.signum(cents).cast("decimal(2,0)") * F.floor(F.abs(cents) / power) * power
-    rows = df.select(v.alias("v"), cls.cast("decimal(38,0)").alias("cls"))
-    classes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
-    whole = df.agg(F.ceil(F.count(F.lit(1)) / denominator).alias("k"), F.count(F.lit(1)).alias("members"),
-                   F.sum(v).alias("total"))
-    above = W.orderBy(F.col("cls").desc()).rowsBetween(W.unboundedPreceding, -1)
-    ranked = classes.select("*", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"),
-                            F.coalesce(F.sum("s").over(above), F.lit(0)).alias("s_above")).crossJoin(F.broadcast(whole))
-    edge = ranked.where((F.col("n_above") < F.col("k")) & (F.col("k") <= F.col("n_above") + F.col("n")))
-    inside = rows.join(F.broadcast(edge.select("cls", "n_above", "s_above", "k", "members", "total")), "cls")
-    values = inside.groupBy("v", "n_above", "s_above", "k", "members", "total").agg(F.count(F.lit(1)).alias("n"))
-    higher = W.orderBy(F.col("v").desc()).rowsBetween(W.unboundedPreceding, -1)
-    taken = F.greatest(F.least(F.col("n"), F.col("k") - F.col("n_above") - F.coalesce(F.sum("n").over(higher), F.lit(0))), F.lit(0))
-    picked = values.select("*", taken.alias("take"))
-    return picked.agg(F.first("members").alias("members"), F.first("k").alias("top_members"),
-                      (F.first("s_above") + F.sum(F.col("v") * F.col("take"))).alias("top_total"),
-                      F.first("total").alias("total"))
+    code = F.round(F.col(value) * 100).cast("long")
+    values = df.where(F.col(value).isNotNull()).groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("decimal(38,2)").alias("s"))
+    values = written(values, "values")
+    whole = values.agg(F.min("code").alias("low"), F.max("code").alias("high"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.sum("s").alias("total")).first()
+    low, size, above, total_above = whole["low"], (whole["high"] or 0) - (whole["low"] or 0) + 1, 0, Decimal(0)
+    k = -(-whole["members"] // denominator)
+    while k and size > 1:
+        width = -(-size // CLASSES)
+        inside = values.where(F.col("code").between(low, low + size - 1))
+        classes = inside.groupBy(F.expr(f"(code - ({low}L)) div {width}L").alias("c"))
+        for c, n, s in sorted(classes.agg(F.sum("n"), F.sum("s")).collect(), reverse=True):
+            if above + n >= k:
+                low, size = low + c * width, width
+                break
+            above, total_above = above + n, total_above + s
+    top_total = total_above + (k - above) * Decimal(low).scaleb(-2) if k else None
+    return df.sparkSession.createDataFrame([(whole["members"], k, top_total, whole["total"])], "members long, top_members long, top_total decimal(38,2), total decimal(38,2)")

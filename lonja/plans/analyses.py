@@ -37,10 +37,13 @@ def movements(star: Star, r: Range, warehouse: str) -> DataFrame:
     heads = star.tickets.select("ticket_id", "store", "is_sale")
     sold = star.lines.where(inside("sale_date")).join(heads, "ticket_id").select(
         "item_id", "store", F.when(F.col("is_sale"), "sale").otherwise("return").alias("kind"), "units")
-    into = star.transfers.where(F.col("is_in") & inside("in_date")).select(
-        "item_id", F.col("to_store").alias("store"), F.lit("transfer_in").alias("kind"), F.col("units_in").alias("units"))
-    out = star.transfers.where(~F.col("is_in") & inside("out_date")).select(
-        "item_id", F.col("from_store").alias("store"), F.lit("transfer_out").alias("kind"), F.col("units_out").alias("units"))
+    # both ends of a transfer from one row of its table, as far as they count
+    ends = F.array(
+        F.when(F.col("is_in") & inside("in_date"), F.struct(
+            F.col("to_store").alias("store"), F.lit("transfer_in").alias("kind"), F.col("units_in").alias("units"))),
+        F.when(~F.col("is_in") & inside("out_date"), F.struct(
+            F.col("from_store").alias("store"), F.lit("transfer_out").alias("kind"), F.col("units_out").alias("units"))))
+    moved = star.transfers.where(inside("in_date") | inside("out_date")).select("item_id", F.inline(F.array_compact(ends)))
     arrived = star.purchase_orders.where(inside("received_on")).select("po_id")
     received = star.purchase_lines.join(arrived, "po_id", "left_semi").select(
         "item_id", F.lit(warehouse).alias("store"), F.lit("receipt").alias("kind"), "units")
@@ -48,7 +51,7 @@ def movements(star: Star, r: Range, warehouse: str) -> DataFrame:
     billed = star.invoice_lines.join(documents, "invoice_id").select(
         "item_id", F.lit(warehouse).alias("store"), F.when(F.col("credit_note"), "credit").otherwise("shipment").alias("kind"), "units")
     all_moves = sold
-    for part in (into, out, received, billed):
+    for part in (moved, received, billed):
         all_moves = all_moves.unionByName(part)
     return all_moves
 
@@ -65,15 +68,15 @@ def net_movement(moves: DataFrame, *keys: str) -> DataFrame:
                                     M.total(s).alias("net"))
 
 
-def shrinkage(initial: DataFrame, moves: DataFrame, actual: DataFrame) -> DataFrame:
+def shrinkage(counts: DataFrame, moves: DataFrame) -> DataFrame:
     """Expected against counted stock per item and store; the difference is loss or a recording error.
 
-    Three signed sources in one grouping, so a cell missing on any side still appears.
+    ``counts`` has the opening and the counted stock (``initial``, ``actual``), from one or several sources.  All
+    sources meet signed in one grouping, so a cell missing on any side still appears.
     """
     zero = F.lit(0)
-    rows = (initial.select("item_id", "store", F.col("qty").alias("expected"), zero.alias("actual"))
-            .unionByName(moves.select("item_id", "store", signed_units().alias("expected"), zero.alias("actual")))
-            .unionByName(actual.select("item_id", "store", zero.alias("expected"), F.col("qty").alias("actual"))))
+    rows = (counts.select("item_id", "store", F.coalesce("initial", zero).alias("expected"), F.coalesce("actual", zero).alias("actual"))
+            .unionByName(moves.select("item_id", "store", signed_units().alias("expected"), zero.alias("actual"))))
     sums = rows.groupBy("item_id", "store").agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
     return sums.withColumn("difference", F.col("actual") - F.col("expected"))
 
@@ -172,14 +175,16 @@ def customer_concentration(star: Star, r: Range) -> DataFrame:
 
 
 def weekly_trend(star: Star, as_of: dt.date, weeks: int = 12) -> DataFrame:
-    """Net, tickets and units per ISO week, zero-filled."""
+    """Net, tickets and units per ISO week, zero-filled; units are those of the lines dated in the week."""
     last = T.start_of(as_of, "week")
     first = last - DAY * 7 * (weeks - 1)
-    sums = base.retail_tickets(star, Range(first, last + DAY * 6)).groupBy(T.week_start("sale_date").alias("week")).agg(
+    span = Range(first, last + DAY * 6)
+    sums = base.retail_tickets(star, span).groupBy(T.week_start("sale_date").alias("week")).agg(
         F.sum("net").alias("net"), F.count("ticket_id").alias("tickets"))
+    sold = base.retail_lines(star, base.line_window(span), positive=False).groupBy(T.week_start("sale_date").alias("week")).agg(F.sum("units").alias("units"))
     zero = F.lit(0)
-    return T.spine(star.spark, "week", first, last, "week").join(sums, "week", "left").select(
-        "week", F.coalesce("net", zero).alias("net"), F.coalesce("tickets", zero).alias("tickets"))
+    return T.spine(star.spark, "week", first, last, "week").join(sums, "week", "left").join(sold, "week", "left").select(
+        "week", F.coalesce("net", zero).alias("net"), F.coalesce("tickets", zero).alias("tickets"), F.coalesce("units", zero).alias("units"))
 
 
 def sold_by_line(star: Star, r: Range, column: str) -> DataFrame:
@@ -237,13 +242,16 @@ SCOPE_DIVISOR = {"store": 50.0, "day": 30.0, "family": 20.0}
 
 
 def magnitude_check(values: DataFrame, scopes: tuple[str, ...] = ()) -> DataFrame:
-    """Flag a metric more than ten times its upper bound, or exactly 0.  ``values`` is (metric, value)."""
+    """Flag a metric more than ten times its upper bound, or exactly 0.  ``values`` is (metric, value).
+
+    A metric without bounds stays, and cannot be too high.
+    """
     divisor = 1.0
     for scope in scopes:
         divisor *= SCOPE_DIVISOR[scope]
     bounds = T.constants(values.sparkSession, MAGNITUDES, "metric string, low double, high double")
     scaled = F.when(F.col("metric") == "average_ticket", 1.0).otherwise(divisor)
-    checked = values.join(F.broadcast(bounds), "metric").withColumns({"low": F.col("low") / scaled, "high": F.col("high") / scaled})
+    checked = values.join(F.broadcast(bounds), "metric", "left").withColumns({"low": F.col("low") / scaled, "high": F.col("high") / scaled})
     flag = F.when(F.col("value") == 0, "zero").when(F.col("value") > F.col("high") * 10, "too high").otherwise("plausible")
     return checked.withColumn("flag", flag)
 

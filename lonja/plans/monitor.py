@@ -251,8 +251,8 @@ def latest_reviews(reviews: DataFrame, k: int = 50) -> DataFrame:
 
 
 def document_versions(documents: DataFrame, key: str = "document_id", at: str = "created_at", tie: str = "version_id") -> DataFrame:
-    """Version number of each document revision, oldest 1; a document with very many revisions is split by hour."""
-    return numbered(documents, [key], F.date_trunc("hour", at), [F.col(at).asc(), F.col(tie).asc()], "version")
+    """Version number of each document revision, oldest 1, those without a time first; one document may have most of them."""
+    return numbered(documents, [key], [F.col(at).asc_nulls_first(), F.col(tie).asc_nulls_first()], "version")
 
 
 def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -177,3 +177,19 @@ def test_filters(spark, rows):
     assert rows(Filters({"store": "2"}).options(df, "store", "store", "store", ("store",))) == [("1", "1"), ("2", "2")]
     assert rows(Filters().options(df, "catalog_family", F.trim("family"), F.trim("family"))) == [("A", "A"), ("B", "B")]
     assert {f for ids in SCOPES.values() for f in ids} == set(DEFINITIONS)
+
+
+def test_facets_equal_the_lists_one_by_one(spark):
+    import itertools
+
+    from lonja.operators.filters import Filters
+
+    data = [(s, f, b, x) for s, f, b, x in itertools.product(["1", "2", None], ["F", "G", ""], ["B", None], ["H", "M"])] * 2
+    df = spark.createDataFrame(data, "store string, family string, brand string, sex string")
+    panel = ("store", "family", "brand", "sex")
+    for values in ({}, {"store": "1"}, {"store": "2", "family": ["F"], "brand": ["B", "C"]}, {"family": ["nothing"], "sex": []}):
+        picked = Filters(values)
+        got = {(r["filter"], r["value"], r["label"]): r["rows"] for r in picked.facets(df, {x: (x, x) for x in panel}, panel).collect()}
+        assert {k[:3] for k in got} == {(x, r["value"], r["label"]) for x in panel for r in picked.options(df, x, x, x, cascade=panel).collect()}
+        for (x, value, _), n in got.items():
+            assert n == picked.apply(df, *panel, without=x).where(F.col(x) == value).count()

@@ -96,6 +96,17 @@ def test_partition_values_of_every_kind_keep_their_rows(spark, rows, tmp_path, v
     assert rows(table.read()) == [(6, "f", c)]
 
 
+def test_lines_of_changed_parents_by_month(spark, rows, tmp_path):
+    schema = "k int, n int, v string, month int"
+    table = publish.stored_table(spark, str(tmp_path / "l"), schema, ["k", "n"], partition="month")
+    table.replace(spark.createDataFrame([(1, 1, "a", 202401), (1, 2, "b", 202401), (2, 1, "c", 202401), (3, 1, "d", 202402), (4, 1, "e", None), (5, 1, "f", 202403)], schema))
+    before = files(table.path)
+    parents = spark.createDataFrame([(1, 202401), (4, None), (4, 202404), (4, None)], "k int, month int")
+    table.replace_children(parents, spark.createDataFrame([(1, 1, "A", 202401), (4, 1, "E", 202404), (2, 9, "never", 202401), (5, 9, "never", 202403)], schema), "k")
+    assert rows(table.read()) == [(1, 1, "A", 202401), (2, 1, "c", 202401), (3, 1, "d", 202402), (4, 1, "E", 202404), (5, 1, "f", 202403)]
+    assert {f.split("month=")[1][:6] for f in before.keys() & files(table.path).keys()} == {"202402", "202403"}
+
+
 def test_a_table_by_day_prunes(spark, rows, tmp_path):
     day = lambda n: dt.date(2024, 1, n)
     schema = "k int, v string, sale_date date"

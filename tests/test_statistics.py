@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -45,7 +46,7 @@ def test_numbering_a_hot_group(spark):
     """One group holds most rows: the numbers equal a plain count, and no window covers the whole group."""
     df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
                                   (F.col("id") * 7919 % 4001).alias("at"), "id")
-    out = ranking.numbered(df, ["k"], F.floor(F.col("at") / 100), [F.asc("at"), F.asc("id")])
+    out = ranking.numbered(df, ["k"], [F.asc("at"), F.asc("id")], partitions=7)
     got = sorted((r["k"], r["at"], r["id"], r["n"]) for r in out.collect())
     want, seen = [], {}
     for k, at, i in sorted((r["k"], r["at"], r["id"]) for r in df.collect()):
@@ -54,6 +55,31 @@ def test_numbering_a_hot_group(spark):
     assert got == want
 
 
+def test_numbering_rows_of_one_moment_and_none(spark):
+    """All rows share one time or have none: their ranges are cut within it, and no range holds most rows."""
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"), F.when(F.col("id") % 4 > 0, F.lit(7)).alias("at"), "id")
+    out = ranking.numbered(df, ["k"], [F.asc_nulls_first("at"), F.asc("id")], partitions=6)
+    rows = sorted(((r["k"] or "", r["at"] or 0, r["id"]) for r in df.collect()))
+    want, seen = {}, {}
+    for k, _, i in rows:
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    assert {r["id"]: r["n"] for r in out.collect()} == want
+    stored = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles()})
+    assert max(r["count"] for r in stored.groupBy("_part").count().collect()) < 2500
+    whole = ranking.numbered(df, [], [F.desc("id")], partitions=3)
+    assert {r["id"]: r["n"] for r in whole.collect()} == {i: 5000 - i for i in range(5000)}
+    assert ranking.numbered(df.limit(0), ["k"], [F.asc("id")]).collect() == []
+
+
+def test_top_share_of_nothing_and_over_a_wide_range(spark):
+    df = spark.createDataFrame([(x,) for x in [-(10**15), 0, 7, 7, 7, 10**15, 3 * 10**15]], "c long").select((F.col("c").cast("decimal(20,0)") / 100).cast("decimal(20,2)").alias("v"))
+    r = ranking.top_share(df, "v", 3).first()
+    assert (r["members"], r["top_members"], r["top_total"]) == (7, 3, Decimal(4 * 10**15 + 7) / 100)
+    none = ranking.top_share(df.limit(0), "v").first()
+    assert (none["members"], none["top_members"], none["top_total"], none["total"]) == (0, 0, None, None)
+
+
 @QUIET
 @given(st.lists(st.integers(-500, 200_000), min_size=1, max_size=60))
 def test_top_share_is_exact(spark, cents):
@@ -121,4 +147,6 @@ def test_pages(spark):
     assert [r[0] for r in ranking.page_after(df, 3, "id", 12).collect()] == [13, 14, 15]
     assert [r[0] for r in ranking.page_after(df, 2, "id", None).collect()] == [0, 1]
     clipped, flag = ranking.clip(df.withColumn("x", F.lit(1)), 10, 1)
+    assert [tuple(r) for r in ranking.page_with_total(df, 2, "id", 12).collect()] == [(13, 50), (14, 50)]
+    assert [r[0] for r in ranking.clip(df, 2, 1, F.desc("id"))[0].collect()] == [49, 48]
     assert clipped.columns == ["id"] and clipped.count() == 10 and tuple(flag.first()) == (True, True)
