@@ -37,8 +37,9 @@ def _items(c: Catalog) -> None:
         SELECT ref, description, SUM(units) AS units, COALESCE(SUM(qty), 0) AS stock FROM sold JOIN r_items p ON p.item_id = sold.item_id
         LEFT JOIN held ON held.item_id = sold.item_id GROUP BY 1, 2 ORDER BY units DESC, ref LIMIT 20""")
     c.add("e10_1_top_wholesale_items", "ref s, description s, units d, total d", q.wholesale_items_by_units, """
-        SELECT p.ref, p.description, SUM(l.units) AS units, SUM(l.total) AS total FROM r_invoice_lines l JOIN r_invoices f ON l.invoice_id = f.invoice_id
-        JOIN r_items p ON l.item_id = p.item_id WHERE units > 0 GROUP BY 1, 2 ORDER BY units DESC, ref LIMIT 20""")
+        WITH billed AS (SELECT item_id, SUM(units) AS units, SUM(total) AS total FROM r_invoice_lines SEMI JOIN r_invoices USING (invoice_id) WHERE units > 0 GROUP BY item_id),
+        named AS (SELECT ref, description, billed.* FROM billed JOIN r_items USING (item_id))
+        SELECT ref, description, SUM(units) AS units, SUM(total) AS total FROM named GROUP BY ref, description ORDER BY units DESC, ref LIMIT 20""")
 
 
 def _sales(c: Catalog) -> None:
@@ -78,8 +79,8 @@ def _sales(c: Catalog) -> None:
 
 def _stock(c: Catalog) -> None:
     c.add("e10_8_catalog_counts", "items l, retail l, wholesale l", q.catalog_counts, """
-        SELECT COUNT(*) AS items, SUM(CASE WHEN ref IS NULL OR ref NOT LIKE 'M%' THEN 1 ELSE 0 END) AS retail,
-            SUM(CASE WHEN ref LIKE 'M%' THEN 1 ELSE 0 END) AS wholesale FROM r_items WHERE active""")
+        WITH kinds AS (SELECT IFNULL(starts_with(ref, 'M'), false) AS bulk, COUNT(*) AS n FROM r_items WHERE active GROUP BY bulk)
+        SELECT SUM(n) AS items, COALESCE(SUM(n) FILTER (NOT bulk), 0) AS retail, COALESCE(SUM(n) FILTER (bulk), 0) AS wholesale FROM kinds""")
     c.add("e10_8_items_by_season", "season s, items l, active l", q.items_by_season,
           "SELECT season, COUNT(item_id) AS items, SUM(CASE WHEN active THEN 1 ELSE 0 END) AS active FROM r_items GROUP BY 1")
     c.add("e10_9_stock_by_store", "store s, qty l, items l", q.stock_by_store,
@@ -124,14 +125,15 @@ def _customers(c: Catalog) -> None:
         SELECT name, COUNT(DISTINCT ticket_id) AS purchases, SUM(net) AS net FROM r_tickets v JOIN r_customers c ON v.customer_id = c.customer_id
         WHERE v.customer_id > 0 AND is_sale AND sale_date {YEAR} GROUP BY 1 ORDER BY net DESC, name LIMIT 20""")
     c.add("e10_12_unique_customers", "customers l, anonymous l, tickets l", lambda s: q.unique_customers(s, LAST_30), f"""
-        SELECT COUNT(DISTINCT customer_id) AS customers, SUM(CASE WHEN customer_id = 0 THEN 1 ELSE 0 END) AS anonymous, COUNT(*) AS tickets
-        FROM r_tickets WHERE is_sale AND sale_date {IN30}""")
+        WITH visits AS (SELECT customer_id, COUNT(*) AS n FROM r_tickets WHERE is_sale AND sale_date {IN30} GROUP BY customer_id)
+        SELECT COUNT(customer_id) AS customers, COALESCE(SUM(n) FILTER (customer_id = 0), 0) AS anonymous, SUM(n) AS tickets FROM visits""")
     c.add("e10_12_new_customers", "customers l, retail l, wholesale l", lambda s: q.new_customers(s, Range(dt.date(1995, 3, 1), dt.date(1995, 12, 31))), f"""
-        SELECT COUNT(*) AS customers, SUM(CASE WHEN NOT is_wholesale THEN 1 ELSE 0 END) AS retail, SUM(CASE WHEN is_wholesale THEN 1 ELSE 0 END) AS wholesale
-        FROM r_customers WHERE created_on BETWEEN DATE '1995-03-01' AND DATE '1995-12-31'""")
+        WITH new AS (SELECT is_wholesale, COUNT(*) AS n FROM r_customers WHERE created_on >= DATE '1995-03-01' AND created_on < DATE '1996-01-01' GROUP BY is_wholesale)
+        SELECT SUM(n) AS customers, COALESCE(SUM(n) FILTER (NOT is_wholesale), 0) AS retail, COALESCE(SUM(n) FILTER (is_wholesale), 0) AS wholesale FROM new""")
     c.add("e10_12_purchase_frequency", "segment s, customers l", lambda s: q.purchase_frequency(s, YTD), f"""
-        SELECT CASE WHEN n = 1 THEN '1 compra' WHEN n BETWEEN 2 AND 3 THEN '2-3 compras' WHEN n BETWEEN 4 AND 10 THEN '4-10 compras' ELSE 'Más de 10' END AS segment,
-            COUNT(*) AS customers FROM (SELECT customer_id, COUNT(DISTINCT ticket_id) AS n FROM r_tickets WHERE {known} GROUP BY 1) GROUP BY 1""")
+        WITH bands (segment, least) AS (VALUES ('1 compra', 1), ('2-3 compras', 2), ('4-10 compras', 4), ('Más de 10', 11)),
+        visits AS (SELECT customer_id, COUNT(*) AS least FROM r_tickets WHERE {known} GROUP BY customer_id)
+        SELECT segment, COUNT(*) AS customers FROM visits ASOF JOIN bands ON visits.least >= bands.least GROUP BY segment""")
 
 
 def _payments(c: Catalog) -> None:
@@ -141,8 +143,9 @@ def _payments(c: Catalog) -> None:
     c.add("e10_13_payments_by_store_method", "store s, method s, payments l, amount d", lambda s: q.payments_by_store_method(s, LAST_30),
           f"SELECT store, method, COUNT(*) AS payments, SUM(amount) AS amount {paid} AND store <> '24' GROUP BY 1, 2")
     c.add("e10_13_cash_or_card", "store s, cash d, other d, total d", lambda s: q.cash_or_card(s, LAST_30, cash_code="1"), f"""
-        SELECT store, SUM(CASE WHEN method_code = '1' THEN amount ELSE 0 END) AS cash, SUM(CASE WHEN method_code <> '1' THEN amount ELSE 0 END) AS other,
-            SUM(amount) AS total {paid} AND store <> '24' GROUP BY 1""")
+        WITH codes AS (SELECT store, method_code, SUM(amount) AS amount {paid} AND store <> '24' GROUP BY ALL)
+        SELECT store, COALESCE(SUM(amount) FILTER (method_code = '1'), 0) AS cash, COALESCE(SUM(amount) FILTER (method_code <> '1'), 0) AS other, SUM(amount) AS total
+        FROM codes GROUP BY store""")
     c.add("e10_13_payments_by_day_method", "paid_on date, method s, payments l, amount d", lambda s: q.payments_by_day_method(s, LAST_30),
           f"SELECT paid_on, method, COUNT(*) AS payments, SUM(amount) AS amount {paid} GROUP BY 1, 2")
 

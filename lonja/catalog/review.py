@@ -22,15 +22,15 @@ def register(c: Catalog) -> None:
             SELECT store, SUM(net) AS net, COUNT(DISTINCT ticket_id) AS tickets FROM r_tickets WHERE {SALE} AND {week('sale_date')}
             GROUP BY store ORDER BY net {way}, store LIMIT 3""")
     c.add("e9_5_top_items_by_units", "item_id l, ref s, description s, units d, net d", lambda s: review.top_items(s, WEEK), f"""
-        SELECT l.item_id, COALESCE(a.ref, CAST(l.item_id AS VARCHAR)) AS ref, COALESCE(a.description, CAST(l.item_id AS VARCHAR)) AS description,
-            SUM(l.units) AS units, SUM(l.net) AS net
-        FROM r_lines l JOIN r_tickets v ON v.ticket_id = l.ticket_id LEFT JOIN r_items a ON a.item_id = l.item_id
-        WHERE v.{SALE} AND {week('l.sale_date')} AND l.units > 0 GROUP BY 1, 2, 3 ORDER BY units DESC, 1 LIMIT 5""")
+        WITH best AS (SELECT item_id, SUM(units) AS units, SUM(net) AS net FROM r_lines SEMI JOIN (FROM r_tickets WHERE {SALE}) USING (ticket_id)
+            WHERE units > 0 AND {week('sale_date')} GROUP BY item_id ORDER BY 2 DESC, 1 LIMIT 5)
+        SELECT item_id, IFNULL(ref, item_id::VARCHAR) AS ref, IFNULL(description, item_id::VARCHAR) AS description, units, net
+        FROM best LEFT JOIN r_items USING (item_id)""")
     c.add("e9_6_return_rates", "sales d, returns d, sale_tickets l, return_tickets l, return_rate_pct d", lambda s: review.return_rates(s, WEEK), f"""
-        SELECT COALESCE(SUM(CASE WHEN is_sale THEN net ELSE 0 END), 0) AS sales, COALESCE(ABS(SUM(CASE WHEN NOT is_sale THEN net ELSE 0 END)), 0) AS returns,
-            COUNT(CASE WHEN is_sale THEN 1 END) AS sale_tickets, COUNT(CASE WHEN NOT is_sale THEN 1 END) AS return_tickets,
-            ROUND(CAST(COUNT(CASE WHEN NOT is_sale THEN 1 END) AS DOUBLE) / NULLIF(COUNT(CASE WHEN is_sale THEN 1 END), 0) * 100, 2) AS return_rate_pct
-        FROM r_tickets WHERE store <> '24' AND {week('sale_date')}""")
+        WITH sides AS (SELECT is_sale, ABS(SUM(net)) AS amount, COUNT(*) AS n FROM r_tickets WHERE store <> '24' AND {week('sale_date')} GROUP BY is_sale),
+        sums AS (SELECT COALESCE((SELECT amount FROM sides WHERE is_sale), 0) AS sales, COALESCE((SELECT amount FROM sides WHERE NOT is_sale), 0) AS returns,
+            COALESCE((SELECT n FROM sides WHERE is_sale), 0) AS sale_tickets, COALESCE((SELECT n FROM sides WHERE NOT is_sale), 0) AS return_tickets)
+        SELECT *, ROUND(CAST(return_tickets AS DOUBLE) / NULLIF(sale_tickets, 0) * 100, 2) AS return_rate_pct FROM sums""")
     c.add("e9_7_wholesale_net", "net d, invoices l", lambda s: review.wholesale_net(s, WEEK),
           f"SELECT COALESCE(SUM({NET_SAFE}), 0) AS net, COUNT(*) AS invoices FROM r_invoices WHERE NOT credit_note AND {week('invoice_date')}")
     c.add("e9_8_top_wholesale_customers", "customer_id l, customer s, net d, invoices l", lambda s: review.top_wholesale_customers(s, WEEK), f"""

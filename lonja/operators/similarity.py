@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lonja.session import written
 
+#: Uses of a token that one salt takes, and salts of a token at most.
+USES_OF_A_SALT, MOST_SALTS = 10_000, 64
+
 
 def _sets(df: DataFrame, key: str, tokens: str, span: DataFrame | None = None) -> DataFrame:
     """(key, sorted distinct tokens, hash of the set); empty sets never match anything."""
@@ -25,17 +28,30 @@ def _distinct_sets(sets: DataFrame, *extra: Column) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, threshold: float, side: str) -> DataFrame:
-    """The rarest tokens of each set, enough of them that two similar sets must share one.
+    """The rarest tokens of each set, enough of them that two similar sets must share one, with their places in the common order.
 
     Sets of n tokens with Jaccard >= t overlap in at least ceil(t * n) tokens, so the first
-    n - ceil(t * n) + 1 tokens in any common order contain one of them.
+    n - ceil(t * n) + 1 tokens in any common order contain one of them.  A token that very many sets use is dealt
+    to salts: each row of side a goes to one of them, those of side b to all.
     """
     keep = (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int")
     ranked = (sets.select("fp", "size", F.explode("tokens").alias("token")).join(ranks, "token")
               .groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("t")))
+    salts = F.least(F.ceil(F.col("x.uses") / USES_OF_A_SALT), F.lit(MOST_SALTS)).cast("int")
+    salt = F.array(F.pmod(F.xxhash64(f"{side}_fp"), salts).cast("int")) if side == "a" else F.sequence(F.lit(0), salts - 1)
     return ranked.select(F.col("fp").alias(f"{side}_fp"), F.col("size").alias(f"{side}_size"),
-                         F.explode(F.slice("t", F.lit(1), keep)).alias("x")).select(
-        f"{side}_fp", f"{side}_size", F.col("x.token").alias("token"))
+                         F.posexplode(F.slice("t", F.lit(1), keep)).alias("p", "x")).select(
+        f"{side}_fp", f"{side}_size", F.col("p").alias(f"{side}_place"), F.col("x.token").alias("token"), F.explode(salt).alias("salt"))
+
+
+def candidates_of(a: DataFrame, b: DataFrame, uses: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that can be similar enough: of fitting sizes, with a shared rare token before which nothing is shared yet,
+    and enough tokens after it on both sides."""
+    needed = F.ceil((F.col("a_size") + F.col("b_size")) * (threshold / (1 + threshold)) - 1e-9)
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    return (_prefixes(a, uses, threshold, "a").join(_prefixes(b, uses, threshold, "b"), ["token", "salt"])
+            .where((F.col("a_size") >= F.col("b_size") * threshold) & (F.col("b_size") >= F.col("a_size") * threshold) & (left >= needed))
+            .select("a_fp", "b_fp").distinct())
 
 
 def best_match(items: DataFrame, item_key: str, candidates: DataFrame, candidate_key: str, tokens: str = "tokens",
@@ -53,9 +69,7 @@ def best_match(items: DataFrame, item_key: str, candidates: DataFrame, candidate
     a = _distinct_sets(left)
     uses = (a.select(F.explode("tokens").alias("token")).unionByName(b.select(F.explode("tokens").alias("token")))
             .groupBy("token").agg(F.count(F.lit(1)).alias("uses")))
-    pairs = (_prefixes(a, uses, threshold, "a").join(_prefixes(b, uses, threshold, "b"), "token")
-             .where((F.col("a_size") >= F.col("b_size") * threshold) & (F.col("b_size") >= F.col("a_size") * threshold))
-             .select("a_fp", "b_fp").distinct())
+    pairs = candidates_of(a, b, uses, threshold)
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     scored = (pairs.join(a.select(F.col("fp").alias("a_fp"), F.col("tokens").alias("a_tokens")), "a_fp")
               .join(b.select(F.col("fp").alias("b_fp"), F.col("tokens").alias("b_tokens"), "candidate"), "b_fp")

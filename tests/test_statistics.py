@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lonja.functions import stats
-from lonja.operators import ranking
+from lonja.operators import ranking, similarity
 from lonja.operators.similarity import best_match
 
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -150,3 +150,20 @@ def test_pages(spark):
     assert [tuple(r) for r in ranking.page_with_total(df, 2, "id", 12).collect()] == [(13, 50), (14, 50)]
     assert [r[0] for r in ranking.clip(df, 2, 1, F.desc("id"))[0].collect()] == [49, 48]
     assert clipped.columns == ["id"] and clipped.count() == 10 and tuple(flag.first()) == (True, True)
+
+
+def test_candidates_share_enough_after_their_first_common_token(spark, monkeypatch):
+    """A token that all sets use makes no candidates by itself, and is dealt to many salts without losing a pair."""
+    monkeypatch.setattr(similarity, "USES_OF_A_SALT", 50)
+    sets = [[f"all{j}" for j in range(3)] + [f"own{i}-{j}" for j in range(4)] for i in range(150)]
+    near = [s[:6] + ["x"] for s in sets[:20]]
+    frame = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} int, tokens array<string>")
+    a, b = similarity._distinct_sets(similarity._sets(frame(sets, "i"), "i", "tokens")), similarity._distinct_sets(similarity._sets(frame(near, "c"), "c", "tokens"))
+    uses = a.select(F.explode("tokens").alias("token")).unionByName(b.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    assert similarity.candidates_of(a, b, uses, 0.5).count() == 20
+    got = best_match(frame(sets, "i"), "i", frame(near, "c"), "c", threshold=0.5).collect()
+    assert sorted((r["i"], r["best_c"]) for r in got) == [(i, i) for i in range(20)]
+    # sets that differ in rare tokens only: the common ones must still find them
+    alike = frame([[f"all{j}" for j in range(9)] + [f"r{i}"] for i in range(120)], "i")
+    got = best_match(alike, "i", frame([[f"all{j}" for j in range(9)] + ["q"]], "c"), "c", threshold=0.5).collect()
+    assert len(got) == 120
