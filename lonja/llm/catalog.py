@@ -100,9 +100,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f""")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    frame = measured(docs)
-    chosen = ordered(frame, rules())
-    return cascade(frame, chosen).withColumn("base_failed", base_failed()).select(
+    return cascade(measured(docs), ordered(docs, rules())).withColumn("base_failed", base_failed()).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
 

@@ -5,7 +5,9 @@ then whose length and prefix, occur once are settled.  What survives becomes a b
 second pass reads the full content of those texts only.  No text is ever shuffled.
 
 Null texts count as empty.  Rows that share a ``doc_id`` count one by one and share a verdict when their texts
-are equal; a null ``doc_id`` is kept only when its group has no other.  An empty table gives no rows.
+are equal.  Of a group the row with the most code points in the original text stays, then the smallest ``doc_id``; a null
+``doc_id`` counts as the largest, and where its row stays the others get a null ``keep_id``.  Very long texts are hashed
+where they lie and never move.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,8 +63,9 @@ def exact_groups(docs: DataFrame, hash_all: bool = False, prefix_chars: int = PR
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; rows with one ``doc_id`` and equal texts stay together."""
-    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.unhex(F.sha2(normalised(text_of()), 256)).alias("own"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("text_hash"))
-    return rows.join(gone, same, "left_anti").select("doc.*")
+    gone = exact_groups(docs).filter("not kept").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("text_hash").alias("hashes"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    # a text is hashed again only where its document has a row that goes
+    own = F.unhex(F.sha2(normalised(text_of("doc.text")), 256))
+    return met.filter(F.col("hashes").isNull() | ~F.array_contains("hashes", own)).select("doc.*")
