@@ -1,7 +1,7 @@
 """Exact duplicates by progressive refinement: length, then a prefix hash, then the full hash.
 
 The first pass takes only the length and a prefix hash of every normalised text.  Texts whose length, and
-then whose length and prefix, occur once are settled.  What survives becomes a bit set of fixed size, and the
+then whose length and prefix, occur once are settled.  What survives becomes a bit set sized by its keys, and the
 second pass reads the full content of those texts only.  No text is ever shuffled.
 
 Null texts count as empty.  Rows that share a ``doc_id`` count one by one and share a verdict when their texts
@@ -42,7 +42,7 @@ def exact_groups(docs: DataFrame, hash_all: bool = False, prefix_chars: int = PR
 
     seen = written(sized.groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("n")), "exact-prefix")
     lengths = seen.groupBy("n_bytes").agg(F.sum("n").alias("n_length")).filter("n_length > 1").select("n_bytes")
-    open_keys = seen.join(lengths, "n_bytes", "left_semi").filter("n > 1")
+    open_keys = written(seen.join(lengths, "n_bytes", "left_semi").filter("n > 1"), "exact-open")
     words = written(bit_set(open_keys, key), "exact-bits")
 
     survives = in_bit_set(words.scalar(), key)

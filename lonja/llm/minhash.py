@@ -228,6 +228,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int =
 
     wanted = stars.select("class").unionByName(stars.select(F.col("c").alias("class"))).distinct()
     wanted = wanted.join(classes.select("class", "print", F.when(F.col("first_id") < LAST, F.col("first_id")).alias("doc_id")), "class")
+    wanted = written(wanted, "near-wanted")
     sets = written(shingle_sets(docs, wanted, size), "near-sets")
 
     def alone(side: DataFrame) -> DataFrame:

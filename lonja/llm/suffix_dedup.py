@@ -308,7 +308,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, he
 
 
 def join_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts with the columns of ``wanted``; a bit set of fixed size keeps most others out of the shuffle."""
+    """Texts with the columns of ``wanted``; a bit set keeps most others out of the shuffle."""
     words = written(bit_set(wanted, F.col("text_hash")), "suffix-bits")
     return texts.filter(in_bit_set(words.scalar(), F.col("text_hash"))).join(wanted, ["doc_id", "text_hash"])
 
