@@ -7,7 +7,8 @@ each record: ``doc_id`` (i64), offset of the frame (u64), number of ids (u64), s
 
 Shards are ranges of ``doc_id``; records ascend in it, ties by a hash of the text.  Files are written under a
 name of the attempt and then moved, so a task that runs again leaves one file.  A null text is empty and has
-the end id only.  A null ``doc_id`` comes first.  An empty table gives an empty manifest.
+the end id only.  A null ``doc_id`` comes first.  An empty table gives an empty manifest.  A text of any length is one record, held
+whole with its ids while it is written and read.  Further columns are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ the leftmost minimum pair rank below, as rank and position in one number.  A mer
 writes three leaves with their paths: the merged token's pair, its left live neighbour's, and the removed one.
 Distinct pieces are encoded once per worker, in a bounded cache.
 
-A null text is empty and has no ids.  Repeated rows give repeated results; an empty table gives none.
+A null text is empty and has no ids.  Repeated rows give repeated results; an empty table gives none.  A text is held
+whole with its ids, and a piece of it (white space alone, one long word) with some list entries a byte, so that a
+piece of tens of megabytes needs gigabytes.  Further columns are not read.
 """
 
 from __future__ import annotations

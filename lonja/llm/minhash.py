@@ -12,7 +12,9 @@ and no bucket is ever expanded into its pairs.  Blocks of bounded size spread a
 
 With 52 bands of 7 rows, two texts at a similarity of 0.8 share no band once in 200 000 times; nearer ones
 practically never.  Null and empty texts have empty sets and no links.  A text of fewer words than a shingle
-is one shingle.  A null ``doc_id`` is never the smallest of others.  An empty table gives no rows.
+is one shingle.  A null ``doc_id`` is never the smallest of others.  An empty table gives no rows.  Texts are read
+whole: sets far larger than the circle fill all its seats and so are candidates of each other, which costs
+comparisons and changes no link.
 """
 
 from __future__ import annotations
