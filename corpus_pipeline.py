@@ -1,8 +1,9 @@
 """Cleaning and packing a corpus: each stage works on all documents that the one before kept.
 
-Every stage but the last returns the columns of ``documents``.  Null and empty texts pass the stages as empty
-ones do; equal rows with one ``doc_id`` share their fate.  Near duplicates take shingles of five words and a
-similarity of 0.8.
+Every stage but the last returns the columns of ``documents``, further ones included, whatever their names.  Null and
+empty texts count as equal: one of them stays.  Equal rows with one ``doc_id`` share their fate; a null id is an id
+like any other, but never the smallest.  Texts of any length are read whole.  An empty table passes every stage as
+one.  Near duplicates take shingles of five words and a similarity of 0.8.
 """
 
 from __future__ import annotations
