@@ -63,7 +63,7 @@ SPECS: dict[str, TableSpec] = {
     for s in [
         _spec("tickets", f"ticket_id {_K}, store string, sale_date date, hour int, net {_M}, "
               f"customer_id {_K}, is_sale boolean, month int", "ticket_id", "month sale_date"),
-        _spec("lines", f"line_id {_K}, ticket_id {_K}, item_id string, sale_date date, units {_U}, net {_M}, "
+        _spec("lines", f"line_id {_K}, ticket_id {_K}, store string, item_id string, sale_date date, units {_U}, net {_M}, "
               f"cost {_M}, month int", "line_id", "month sale_date"),
         _spec("payments", f"payment_id {_K}, ticket_id {_K}, method string, method_code string, amount {_M}, "
               "paid_on date, store string, is_collection boolean", "payment_id"),

@@ -35,7 +35,7 @@ def movements(star: Star, r: Range, warehouse: str) -> DataFrame:
         return P.in_days(column, r.lo, r.hi)
 
     heads = star.tickets.select("ticket_id", "store", "is_sale")
-    sold = star.lines.where(inside("sale_date")).join(heads, "ticket_id").select(
+    sold = star.lines.where(inside("sale_date")).select("ticket_id", "item_id", "units").join(heads, "ticket_id").select(
         "item_id", "store", F.when(F.col("is_sale"), "sale").otherwise("return").alias("kind"), "units")
     # both ends of a transfer from one row of its table, as far as they count
     ends = F.array(

@@ -34,15 +34,20 @@ def retail_tickets(star: Star, r: Range | None, filters: Filters = NONE, returns
 
 def retail_lines(star: Star, window: Column | None, filters: Filters = NONE, positive: bool = True,
                  keep: Sequence[str] = ()) -> DataFrame:
-    """Lines of sale tickets in real stores, with the store of the ticket.
+    """Lines of sale tickets in real stores, with their store.
 
-    The window applies to the line date, so it reaches the line scan.
+    The window applies to the line date, so it reaches the line scan.  So does the store where lines carry one; else
+    the store is that of the ticket.
     """
-    lines = star.lines.select("ticket_id", "item_id", "sale_date", "units", "net", "cost", *keep)
+    own_store = "store" in star.lines.columns
+    lines = star.lines.select("ticket_id", "item_id", "sale_date", "units", "net", "cost", *["store"] * own_store, *keep)
     if window is not None:
         lines = lines.where(window)
     if positive:
         lines = lines.where("net > 0")
+    if own_store:
+        lines = filters.apply(lines.where(P.in_real_store(star.ghost_store)), "store")
+        return lines.join(star.tickets.where("is_sale").select("ticket_id"), "ticket_id")
     heads = filters.apply(star.tickets.where(P.is_retail_sale(star.ghost_store)), "store").select("ticket_id", "store")
     return lines.join(heads, "ticket_id")
 

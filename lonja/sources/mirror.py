@@ -22,7 +22,7 @@ from lonja.sources.star import Star
 BINDINGS: dict[str, tuple[str, str]] = {
     "tickets": ("ps_ventas", "ticket_id=reg_ventas store=tienda sale_date=fecha_creacion hour=hora_creacion net=total_si "
                              "customer_id=num_cliente is_sale=entrada"),
-    "lines": ("ps_lineas_ventas", "line_id=reg_lineas ticket_id=num_ventas item_id=codigo sale_date=fecha_creacion "
+    "lines": ("ps_lineas_ventas", "line_id=reg_lineas ticket_id=num_ventas store=tienda item_id=codigo sale_date=fecha_creacion "
                                   "units=unidades net=total_si cost=total_coste_si month=mes"),
     "payments": ("ps_pagos_ventas", "payment_id=reg_pagos ticket_id=num_ventas method=forma method_code=codigo_forma "
                                     "amount=importe_cob paid_on=fecha_creacion store=tienda is_collection=entrada"),

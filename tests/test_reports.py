@@ -19,9 +19,10 @@ TABLES = {
         (X("1.153"), "104", DAY, "10:31:07", X("60.00"), X("0.000"), True), (X("2.153"), "104", DAY, "12:00:00", X("40.00"), X("7.990"), True),
         (X("3.153"), "104", DAY, None, X("-10.00"), X("7.990"), False), (X("4.153"), "99", DAY, "09:59:59", X("999.00"), X("0.000"), True),
         (X("5.153"), None, DAY, "09:59:59", X("999.00"), X("0.000"), True), (X("6.153"), "105", D(2025, 5, 14), "11:15:00", X("50.00"), X("8.990"), True)]),
-    "ps_lineas_ventas": ("reg_lineas decimal(20,3), num_ventas decimal(20,3), codigo string, fecha_creacion date, unidades decimal(10,2), total_si decimal(15,2), total_coste_si decimal(15,2), mes int", [
-        (X("1"), X("1.153"), "a", DAY, X(2), X("60.00"), X("20.00"), 202605), (X("2"), X("2.153"), "b", DAY, X(1), X("40.00"), X("30.00"), 202605),
-        (X("3"), X("2.153"), "b", DAY, X(1), X("0.00"), X("5.00"), 202605), (X("4"), X("9.153"), "a", DAY, X(1), X("5.00"), X("1.00"), 202605)]),
+    "ps_lineas_ventas": ("reg_lineas decimal(20,3), num_ventas decimal(20,3), tienda string, codigo string, fecha_creacion date, unidades decimal(10,2), total_si decimal(15,2), total_coste_si decimal(15,2), mes int", [
+        (X("1"), X("1.153"), "104", "a", DAY, X(2), X("60.00"), X("20.00"), 202605), (X("2"), X("2.153"), "104", "b", DAY, X(1), X("40.00"), X("30.00"), 202605),
+        (X("3"), X("2.153"), "104", "b", DAY, X(1), X("0.00"), X("5.00"), 202605), (X("4"), X("9.153"), "104", "a", DAY, X(1), X("5.00"), X("1.00"), 202605),
+        (X("5"), X("4.153"), "99", "a", DAY, X(1), X("9.00"), X("1.00"), 202605), (X("6"), X("5.153"), None, "a", DAY, X(1), X("9.00"), X("1.00"), 202605)]),
     "ps_articulos": ("reg_articulo decimal(20,3), codigo string, ccrefejofacm string, descripcion string, num_familia decimal(20,3), num_departament decimal(20,3), num_marca decimal(20,3), num_proveedor decimal(20,3), precio_coste decimal(15,2), precio1 decimal(15,2), p_iva decimal(5,2), anulado boolean, color string, clave_temporada string, sexo string", [
         (X(1), "a", "REF-A", "Shirt", X(10), None, None, X(5), X("10.00"), X("30.00"), X(21), False, "red", "PV26", "H"),
         (X(2), "b", "", None, X(11), None, None, X(5), X("20.00"), X("25.00"), X(21), False, None, None, "M"),
@@ -68,6 +69,22 @@ def test_store_filter(star, rows):
     assert rows(general.sales_by_store(star, MAY, Filters({"store": "105"}))) == []
 
 
+def test_a_store_filter_reaches_the_line_scan(spark, rows, tmp_path):
+    for name, (schema, data) in TABLES.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name))
+    stored = MirrorStar(spark, lambda name: spark.read.schema(TABLES[name][0]).parquet(str(tmp_path / name)))
+    sold = base.retail_lines(stored, base.line_window(MAY), Filters({"store": "104"}), positive=False)
+    assert rows(sold.groupBy("store").agg({"net": "sum"})) == [("104", X("100.00"))]
+    assert rows(base.retail_lines(stored, None, Filters({"store": "105"}))) == []
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        for df, pushed in ((sold, "EqualTo(tienda,104)"), (base.retail_lines(stored, None), "Not(EqualTo(tienda,99))")):
+            scan, = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ps_lineas_ventas" in x]
+            assert pushed in scan
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
 def test_gift_lines_do_not_count_in_margins_and_line_cost_wins(star):
     sold = {r["item_id"]: (r["net"], r["cost"]) for r in base.item_sales(star, MAY).collect()}
     assert sold == {"a": (X(60), X(20)), "b": (X(40), X(30))}
