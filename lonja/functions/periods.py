@@ -153,6 +153,51 @@ def same_iso_week_last_year(monday: Column | str) -> Column:
     return F.date_add(week_start(jan4), (F.weekofyear(c) - 1) * 7)
 
 
+def _step(day: Column, unit: str, n: int) -> Column:
+    days = {"day": 1, "week": 7}.get(unit)
+    return F.date_add(day, days * n) if days else F.add_months(day, n * {"month": 1, "quarter": 3, "year": 12}[unit]).cast("date")
+
+
+def _start(day: Column, unit: str) -> Column:
+    return day if unit == "day" else F.trunc(day, unit)
+
+
+def period_of(lo: Column | str, hi: Column | str, as_of: dt.date, prefer_quarter: bool = False) -> Column:
+    """Column form of :func:`detect`: the calendar period that a range of a row covers, NULL for a custom one."""
+    lo, hi = (F.col(c) if isinstance(c, str) else c for c in (lo, hi))
+    today = F.lit(as_of)
+
+    def running(unit: str) -> Column:
+        return (hi == today) & (lo == _start(today, unit))
+
+    def covers(unit: str) -> Column:
+        return running(unit) | ((lo == _start(lo, unit)) & (hi == F.date_sub(_step(_start(lo, unit), unit, 1), 1)))
+
+    name = F.when(lo == hi, "day").when(covers("week"), "week")
+    if prefer_quarter:
+        name = name.when(running("quarter"), "quarter")
+    for unit in ("month", "quarter", "year"):
+        name = name.when(covers(unit), unit)
+    return name
+
+
+def step_range(lo: Column | str, hi: Column | str, direction: int, as_of: dt.date, unit: Column | None = None) -> Column:
+    """Column form of :func:`navigate`: a struct (lo, hi) one period away; a range of no period stays as it is."""
+    lo, hi = (F.col(c) if isinstance(c, str) else c for c in (lo, hi))
+    unit = period_of(lo, hi, as_of) if unit is None else unit
+
+    def moved(name: str) -> Column:
+        first = _step(lo if name in ("day", "week") else F.trunc(lo, "month"), name, direction)
+        last = F.date_sub(_step(first, name, 1), 1)
+        running = (last > F.lit(as_of)) & (first <= F.lit(as_of))
+        return F.struct(first.alias("lo"), F.when(running, F.lit(as_of)).otherwise(last).alias("hi"))
+
+    out = F.when(unit == UNITS[0], moved(UNITS[0]))
+    for name in UNITS[1:]:
+        out = out.when(unit == name, moved(name))
+    return out.otherwise(F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
 def season_start(code: Column | str) -> Column:
     """First day of a season code: PVyy starts Feb 1, OIyy starts Sep 1; NULL when invalid."""
     kind, year = _season_parts(code)
