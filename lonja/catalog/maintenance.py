@@ -15,7 +15,7 @@ from lonja.functions import stats
 from lonja.model import SPECS
 from lonja.operators import control, ingest, merge, publish, ranking
 from lonja.operators.filters import Filters
-from lonja.plans import base, home, monitor
+from lonja.plans import analyses, base, home, monitor
 from lonja.plans import questions as q
 from lonja.session import scratch_dir, written
 from lonja.sources import io, telemetry
@@ -273,8 +273,7 @@ def _joins(c: Catalog) -> None:
     c.add("c7_not_sold_null_safe", "item_id l", lambda s: s.items.select("item_id").join(
         s.lines.where(base.line_window(LAST_30)).select(F.when(F.col("line_no") != 1, F.col("item_id")).alias("item_id")).distinct(), "item_id", "left_anti"), f"""
         SELECT item_id FROM r_items p WHERE NOT EXISTS (SELECT 1 FROM r_lines l WHERE l.item_id = p.item_id AND l.line_no <> 1 AND l.sale_date {IN30})""")
-    c.add("c17_comparison_overlay", "label s, now d, before d", lambda s: q.store_sales(s, LAST_30).select(F.col("store").alias("label"), F.col("net").alias("now")).join(
-        q.store_sales(s, T.year_before(LAST_30)).select(F.col("store").alias("label"), F.col("net").alias("before")), "label", "left"), f"""
+    c.add("c17_comparison_overlay", "label s, now d, before d", lambda s: analyses.growth_bands(s, LAST_30, T.year_before(LAST_30)).withColumnRenamed("store", "label"), f"""
         SELECT n.store AS label, now, before FROM (SELECT store, SUM(net) AS now FROM r_tickets WHERE {SALE} AND sale_date {IN30} GROUP BY 1) n
         LEFT JOIN (SELECT store, SUM(net) AS before FROM r_tickets WHERE {SALE} AND sale_date {LY30} GROUP BY 1) b ON b.store = n.store""")
 

@@ -337,23 +337,23 @@ def _streak_weeks(as_of: dt.date, weeks: int) -> list[tuple[int, dt.date, dt.dat
 
 
 def weekly_pairs(star: Star, as_of: dt.date, *by: str, weeks: int = 16, days: DataFrame | None = None) -> DataFrame:
-    """Sales of each closed week next to the same ISO week of last year (zero where nothing was sold)."""
+    """Sales of each closed week next to the same ISO week of last year (zero where nothing was sold).
+
+    With ``by``, groups that sold in the last 30 days.  One pass: a group's weeks fold into a map, which holds no more
+    than the weeks of the window.
+    """
     calendar = _streak_weeks(as_of, weeks)
     mondays, twins = [c[1] for c in calendar], [c[2] for c in calendar]
     window = _any([Range(min(mondays), max(mondays) + DAY * 6), Range(min(twins), max(twins) + DAY * 6)])
-    per_week = (_days(star, days, window, sales_only=True).withColumn("week", T.week_start("sale_date"))
-                .groupBy("week", *by).agg(F.sum("net").alias("net")))
-    sides = T.constants(
-        star.spark, [(p, monday, True) for p, monday, _ in calendar] + [(p, twin, False) for p, _, twin in calendar],
-        "position int, week date, is_now boolean")
-    matched = per_week.join(F.broadcast(sides), "week").groupBy("position", *by).agg(
-        M.sum_if(F.col("is_now"), "net").alias("now"), M.sum_if(~F.col("is_now"), "net").alias("last_year"))
-    frame = T.constants(star.spark, [(p, monday) for p, monday, _ in calendar], "position int, week date")
-    if by:
-        recent = _days(star, days, P.in_days("sale_date", as_of - DAY * 30, as_of), sales_only=True).select(*by).distinct()
-        frame = recent.crossJoin(F.broadcast(frame))
-    return frame.join(matched, ["position", *by], "left").select(
-        *by, "position", "week", F.coalesce("now", F.lit(0)).alias("now"), F.coalesce("last_year", F.lit(0)).alias("last_year"))
+    recent = P.in_days("sale_date", as_of - DAY * 30, as_of)
+    per_week = (_days(star, days, window | recent if by else window, sales_only=True).withColumn("week", T.week_start("sale_date"))
+                .groupBy("week", *by).agg(F.sum("net").alias("net"), F.bool_or(recent).alias("live")))
+    folded = per_week.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("week", "net"))).alias("weeks"), F.bool_or("live").alias("live"))
+    pairs = F.array(*[F.struct(
+        F.lit(position).alias("position"), F.lit(monday).alias("week"), *[
+            F.coalesce(F.col("weeks")[F.lit(day)], F.lit(0)).alias(n) for n, day in (("now", monday), ("last_year", twin))])
+        for position, monday, twin in calendar])
+    return (folded.where("live") if by else folded).select(*by, F.inline(pairs))
 
 
 def _declined() -> Column:

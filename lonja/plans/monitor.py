@@ -39,14 +39,16 @@ def run_trend(runs: DataFrame, n: int = LAST_RUNS) -> DataFrame:
 
 
 def feed_durations(runs: DataFrame, run_tables: DataFrame, n: int = LAST_RUNS) -> DataFrame:
-    """Mean duration of each feed in the last runs, and its newest duration over all runs."""
-    chosen = last_runs(runs, n).select("run_id")
-    mean = run_tables.join(F.broadcast(chosen), "run_id", "left_semi").groupBy("feed").agg(
-        F.coalesce(F.round(F.avg("duration_ms")), F.lit(0)).cast("bigint").alias("avg_ms"))
-    started = runs.select("run_id", F.col("started_at").alias("run_start"))
-    last = run_tables.join(started, "run_id").groupBy("feed").agg(
-        F.max_by("duration_ms", F.struct("run_start", "started_at")).alias("last_ms"))
-    return mean.join(last, "feed", "left").orderBy(F.desc("avg_ms"), "feed")
+    """Mean duration of each feed in the last runs, and its newest duration over all runs, from one pass over the tables.
+
+    A feed without a row in the last runs is left out.
+    """
+    chosen = last_runs(runs, n).select("run_id", F.lit(True).alias("recent"))
+    marked = runs.select("run_id", F.col("started_at").alias("run_start")).join(F.broadcast(chosen), "run_id", "left")
+    sums = run_tables.select("run_id", "feed", "started_at", "duration_ms").join(marked, "run_id").groupBy("feed").agg(
+        F.coalesce(F.round(F.avg(F.when(F.col("recent"), F.col("duration_ms")))), F.lit(0)).cast("bigint").alias("avg_ms"),
+        F.max_by("duration_ms", F.struct("run_start", "started_at")).alias("last_ms"), F.bool_or("recent").alias("shown"))
+    return sums.where("shown").drop("shown").orderBy(F.desc("avg_ms"), "feed")
 
 
 def run_outcomes(runs: DataFrame, n: int = LAST_RUNS) -> DataFrame:

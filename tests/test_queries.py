@@ -49,7 +49,7 @@ def test_no_cartesian_products_and_no_python(spark):
     ("e1_1_4_7_retail_kpis", {"orders": 1}), ("e1_11_top_families", {"lineitem": 1, "orders": 1}), ("e2_8_sales_by_store", {"orders": 1}),
     ("e7_2_4_period_sales", {"orders": 1}), ("e8_3_period_cards", {"orders": 1}), ("e8_4_filled_series", {"orders": 1}),
     ("e8_8_store_scorecard", {"orders": 1}), ("e8_12_margin_series", {"lineitem": 1, "orders": 1}), ("f4_weekly_anomaly", {"orders": 1}),
-    ("e10_5_year_comparison", {"orders": 1}),
+    ("e10_5_year_comparison", {"orders": 1}), ("e8_6_store_streaks", {"orders": 1}), ("c17_comparison_overlay", {"orders": 1}),
     ("b16_panel_options", {"lineitem": 1, "orders": 1}), ("e11_1_shrinkage", {"lineitem": 6}), ("e11_1_net_movement", {"lineitem": 5})])
 def test_big_tables_are_read_once(spark, name, scans):
     df = QUERIES[name](spark, SF)
