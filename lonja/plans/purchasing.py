@@ -12,7 +12,6 @@ from lonja.functions.periods import Range, month_start
 from lonja.operators.filters import NONE, Filters
 from lonja.operators.ranking import top
 from lonja.plans import base
-from lonja.session import written
 from lonja.sources.star import Star
 
 
@@ -60,12 +59,7 @@ def lead_time_by_supplier(star: Star, r: Range, filters: Filters = NONE, k: int
 
 
 def _with_line_counts(star: Star, chosen: DataFrame) -> DataFrame:
-    """Line counts of a few chosen orders.
-
-    The chosen rows are written out first: choosing them reads all orders, and they are needed
-    twice, to pick their lines (so that the lines are not grouped whole) and to carry the counts.
-    """
-    chosen = written(chosen, "chosen-orders")
+    """Line counts of a few chosen orders, which are few enough to be sent to the lines, so that these do not move."""
     counts = (star.purchase_lines.join(chosen.select("po_id"), "po_id", "left_semi")
               .groupBy("po_id").agg(F.count("po_line_id").alias("lines")))
     return chosen.join(counts, "po_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
