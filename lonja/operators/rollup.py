@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lonja.operators.publish import StoredTable
+from lonja.session import written
 
 ROWS, BATCH, SIGN = "cell_rows", "cell_batch", "_sign"
 
@@ -55,6 +58,15 @@ class RollUp:
                                             for c in names])
         return out.where(F.col(ROWS) > 0).select(*cells.columns)
 
+    def open_cells(self, table: StoredTable, delta: DataFrame) -> DataFrame:
+        """The part of a delta that changes a stored cell: not what a cell has seen, nor what leaves no rows in an absent one."""
+        keys = [*self.keys]
+        seen = table.read_for(delta).select(*[F.col(k).alias(f"_at_{k}") for k in keys], F.col(BATCH).alias("_seen"))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys])
+        adds = F.when(F.col("_seen").isNull(), F.col(ROWS) > 0).otherwise(F.col("_seen") < F.col(BATCH))
+        return delta.join(seen, same, "left").where(adds).select(*delta.columns)
+
     def maintain(self, table: StoredTable, delta: DataFrame) -> None:
-        """Apply a delta to the stored cells; only partitions with a changed cell are read and written."""
-        table.merge(delta, how=lambda cells, fresh, _keys, _order: self.applied(cells, fresh), rows_may_move=False)
+        """Apply a delta to the stored cells; only partitions with a changed cell are written, none when a batch runs again."""
+        delta = written(delta, "delta")
+        table.merge(self.open_cells(table, delta), how=lambda cells, fresh, _keys, _order: self.applied(cells, fresh), rows_may_move=False)
