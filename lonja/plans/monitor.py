@@ -39,7 +39,7 @@ def run_trend(runs: DataFrame, n: int = LAST_RUNS) -> DataFrame:
 
 
 def feed_durations(runs: DataFrame, run_tables: DataFrame, n: int = LAST_RUNS) -> DataFrame:
-    """Mean duration of each feed in the last runs, and its newest duration over all runs, from one pass over the tables.
+    """Mean duration of each feed in the last runs, and its newest duration over all runs, from one pass over the ledger of tables.
 
     A feed without a row in the last runs is left out.
     """
