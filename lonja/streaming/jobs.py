@@ -145,57 +145,66 @@ def sessions(spans: DataFrame, gap: str = "10 seconds", lateness: str = "10 seco
         "trace_id", F.col("session_window.start").alias("first_ts"), "has_error", "spans", "elapsed_ms")
 
 
-TRACE_STATE = "starts array<bigint>, ends array<bigint>, errors array<boolean>, counts array<bigint>, decided boolean"
+TRACE_STATE = "trace_id array<string>, armed array<bigint>, decided array<boolean>, start array<bigint>, end array<bigint>, error array<bigint>, n array<bigint>"
 TRACE_OUTPUT = "trace_id string, first_ts timestamp, has_error boolean, spans long, elapsed_ms double"
+#: Ends and errors that are not known.
+NO_END, NO_ERROR = -(1 << 63), -1
 
 
 def decide_after_first(spans: DataFrame, wait_seconds: int = 10, remember_seconds: int = 3600,
-                       lateness: str = "10 seconds") -> DataFrame:
+                       lateness: str = "10 seconds", buckets: int = 1024) -> DataFrame:
     """The decision falls a fixed time after the FIRST span of a trace; later spans do not count.
 
     The state of a trace has one entry for each distinct start inside the wait, folded over the spans that
     share it.  A span that comes late but is the first moves the wait, and entries that then lie beyond it go; what
     lay beyond an earlier wait can never come back inside.  After its decision a trace is remembered for a
     while, so that late spans do not decide it again, and then it leaves.
+
+    Traces are kept together by a hash bucket of their id, since a call for each costs far more than its few spans.  Each
+    has its own timeout ``armed`` (in milliseconds), and a bucket wakes up at the first of them.
     """
     wait_us, remember_us = wait_seconds * 1_000_000, remember_seconds * 1_000_000
 
-    def arm(state: GroupState, at_us: int) -> None:
-        state.setTimeoutTimestamp(max(at_us // 1000, state.getCurrentWatermarkMs() + 1))
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            starts, ends, errors, counts, decided = state.get
-            if decided:
-                state.remove()
-                return
-            state.update(([min(starts)], [], [], [], True))
-            arm(state, min(starts) + remember_us)
-            yield pd.DataFrame({"trace_id": [key[0]], "first_ts": [pd.Timestamp(min(starts), unit="us", tz="UTC")], "has_error": [any(errors)],
-                                "spans": [sum(counts)], "elapsed_ms": [(max(ends) - min(starts)) / 1000.0]})
-            return
-        if state.exists and state.get[4]:
-            arm(state, state.get[0][0] + remember_us)
-            return
-        held = {s: (e, x, n) for s, e, x, n in zip(*state.get[:4], strict=True)} if state.exists else {}
-        for pdf in batches:
-            at = pd.to_datetime(pdf["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64")
-            if not len(at):
-                continue
-            first = min([int(at.min()), *held])
-            part = pd.DataFrame({"at": at, "end": at + pdf["duration_ms"].astype("int64") * 1000, "error": pdf["is_error"]})
-            folded = part[part["at"] <= first + wait_us].groupby("at").agg(end=("end", "max"), error=("error", "any"), n=("at", "size"))
-            for start, end, error, n in folded.itertuples():
-                old = held.get(start, (end, False, 0))
-                held[start] = (max(old[0], int(end)), bool(old[1] or error), old[2] + int(n))
-            held = {s: x for s, x in held.items() if s <= first + wait_us}
-        if held:
-            starts = sorted(int(x) for x in held)
-            state.update((starts, [held[s][0] for s in starts], [held[s][1] for s in starts], [held[s][2] for s in starts], False))
-            arm(state, starts[0] + wait_us)
-
-    return (spans.withWatermark("ts", lateness).groupBy("trace_id")
-            .applyInPandasWithState(step, TRACE_OUTPUT, TRACE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+        mark = state.getCurrentWatermarkMs()
+        traces: dict[str | None, tuple[int, bool, dict]] = {}  # armed, decided, end, error and count by start
+        for trace, armed, decided, *entry in zip(*state.get, strict=True) if state.exists else ():
+            traces.setdefault(trace, (armed, decided, {}))[2][entry[0]] = tuple(entry[1:])
+        for pdf in () if state.hasTimedOut else batches:
+            met = pdf["trace_id"].astype("object").where(pdf["trace_id"].notna(), None).tolist()
+            for trace, start, end, error in zip(met, *(pdf[c].tolist() for c in ("start", "end", "error")), strict=True):
+                _, decided, entries = traces.setdefault(trace, (0, False, {}))
+                if not decided:
+                    old = entries.get(start, (NO_END, NO_ERROR, 0))
+                    entries[start] = (max(old[0], end), max(old[1], error), old[2] + 1)
+            for trace in set(met):
+                _, decided, entries = traces[trace]
+                first = min(entries)
+                armed = max((first + (remember_us if decided else wait_us)) // 1000, mark + 1)
+                traces[trace] = armed, decided, {s: x for s, x in entries.items() if s <= first + wait_us}
+        out = []
+        for trace in [t for t, (armed, *_) in traces.items() if armed < mark]:
+            _, decided, entries = traces.pop(trace)
+            if not decided:
+                first, ends, errors, counts = min(entries), *zip(*entries.values(), strict=True)
+                traces[trace] = max((first + remember_us) // 1000, mark + 1), True, {first: (NO_END, NO_ERROR, 0)}
+                out.append((trace, pd.Timestamp(first, unit="us", tz="UTC"), None if max(errors) == NO_ERROR else max(errors) > 0, sum(counts),
+                            None if max(ends) == NO_END else (max(ends) - first) / 1000.0))
+        if traces:
+            rows = [(t, armed, decided, s, *x) for t, (armed, decided, entries) in traces.items() for s, x in entries.items()]
+            state.update(tuple(map(list, zip(*rows, strict=True))))
+            state.setTimeoutTimestamp(max(min(armed for armed, *_ in traces.values()), mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["trace_id", "first_ts", "has_error", "spans", "elapsed_ms"])
+
+    start = F.unix_micros("ts")
+    rows = spans.withWatermark("ts", lateness).where("ts IS NOT NULL").select(
+        F.pmod(F.hash("trace_id"), F.lit(buckets)).alias("bucket"), "trace_id", "ts", start.alias("start"),
+        F.coalesce(start + F.col("duration_ms") * 1000, F.lit(NO_END)).alias("end"),
+        F.coalesce(F.col("is_error").cast("long"), F.lit(NO_ERROR).cast("long")).alias("error"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, TRACE_OUTPUT, TRACE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- freshness ------------------------------------------------------------------------------------

@@ -152,6 +152,20 @@ def test_late_spans_do_not_decide_again(spark, tmp_path):
     assert got == [(1, False), (1, False)]      # the span at 95 s is ignored; hours later the id is a new trace
 
 
+def test_many_traces_share_a_state_row(spark, rows, tmp_path):
+    schema = "trace_id string, ts timestamp, duration_ms long, is_error boolean"
+    sec = lambda n: T0 + dt.timedelta(seconds=n)
+    spans = [(f"t{i}", sec(i % 7 + j), i, (i + j) % 3 == 0) for i in range(2000) for j in (0, 2, 11)]
+    put(spark, tmp_path / "in", [*spans, (None, sec(0), 7, None), (None, sec(1), None, None), ("none", sec(0), None, True), ("never", None, 1, False)], schema)
+    put(spark, tmp_path / "in", [("end", sec(90_000), 1, False)], schema)
+    plan = jobs.decide_after_first(jobs.file_stream(spark, str(tmp_path / "in"), schema), buckets=16)
+    query = jobs.run_available(plan.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")))
+    assert 0 < max(x["stateOperators"][0]["numRowsTotal"] for x in query.recentProgress) <= 16
+    got = rows(spark.read.parquet(str(tmp_path / "out")).select("trace_id", "has_error", "spans", "elapsed_ms"))
+    want = [(f"t{i}", i % 3 == 0 or (i + 2) % 3 == 0, 2, 2000.0 + i) for i in range(2000)]
+    assert got == sorted([*want, (None, None, 2, 7.0), ("none", True, 1, None)], key=repr)
+
+
 def test_share_of_normal_traces(spark):
     keep = monitor.keep_trace(F.lit(False), F.lit(1), F.col("id"))
     kept = spark.range(20000).where(keep).count()
