@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.catalog.roles_sql import CTES
-from lonja.session import tune
+from lonja.session import bound_tasks, tune
 from lonja.sources.tpch import TpchStar, tpch_star
 
 SPARK_TYPES = {"s": "string", "l": "bigint", "d": "double", "date": "date", "b": "boolean", "ts": "timestamp_ntz"}
@@ -26,7 +26,9 @@ class Catalog:
         fields = [tuple(part.split()) for part in columns.split(",")]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = plan(tpch_star(tune(spark), sf_dir))
+            star = tpch_star(tune(spark), sf_dir)
+            bound_tasks(spark, star.largest_bytes())
+            out = plan(star)
             return out.select(*[F.col(c).cast(SPARK_TYPES[t]).alias(c) for c, t in fields])
 
         assert name not in self.queries, name

@@ -23,6 +23,10 @@ TUNING = {
 }
 
 
+#: What a task of a report reads of a shuffle, and how many bytes the widest shuffle has for one stored byte of the largest table.
+TASK_BYTES, WIDENING = 16 << 20, 3
+FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 _MADE: list[str] = []  # scratch folders of this process
 
 
@@ -30,9 +34,29 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in TUNING.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    spark.conf.unset(FIRST_PARTITIONS)
     return spark
 
 
+def bound_tasks(spark: SparkSession, stored_bytes: int) -> int:
+    """Let shuffles begin with so many partitions that one has ``TASK_BYTES`` at any size of the tables; how many that are.
+
+    Sorts and groupings of a task then take the same memory however much there is in all.  Adaptive execution merges
+    partitions up to ``TASK_BYTES`` and cannot split them, so there must be enough to begin with.
+    """
+    n = max(-(-stored_bytes * WIDENING // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set(FIRST_PARTITIONS, str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES))
+    return n
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder in any store that Spark reads; 0 where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(at).getLength() if files.exists(at) else 0
+
+
 def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int = 256 << 20) -> int:
     """Set the number of shuffle partitions so that one fits in an executor's memory.
 

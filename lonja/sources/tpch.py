@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.functions.predicates import month_of
+from lonja.session import stored_bytes
 from lonja.sources.star import Star
 
 SCHEMAS = {
@@ -75,6 +76,10 @@ class TpchStar(Star):
             self._raw[table] = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}.parquet")
         return self._raw[table]
 
+    def largest_bytes(self) -> int:
+        """Stored size of the largest table that reports shuffle."""
+        return max(stored_bytes(self.spark, f"{self.path}/{t}.parquet") for t in ("lineitem", "orders", "events"))
+
     def _build(self, role: str) -> DataFrame:
         return getattr(self, f"_{role}")()
 

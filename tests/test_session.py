@@ -52,3 +52,24 @@ def test_scratch_can_be_cleared(spark, tmp_path, monkeypatch):
 def test_tuning_is_applied(spark):
     session.tune(spark)
     assert all(spark.conf.get(k) == v for k, v in session.TUNING.items())
+
+
+def test_tasks_of_a_report_read_the_same_at_any_size(spark, tmp_path):
+    from lonja.catalog.registry import Catalog
+    from lonja.sources import tpch
+
+    folder, wide = str(tmp_path / "sf"), "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.createDataFrame([], tpch.SCHEMAS["orders"]).write.parquet(f"{folder}/orders.parquet")
+    assert 0 < session.stored_bytes(spark, f"{folder}/orders.parquet") < 1 << 20 and session.stored_bytes(spark, f"{folder}/events.parquet") == 0
+    try:
+        assert session.bound_tasks(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert session.bound_tasks(spark, 16 << 30) == 3072            # 48 GB moved, 16 MB a task
+        c = Catalog()
+        c.add("keys", "k l", lambda s: s.raw("orders").select("o_orderkey").distinct().withColumnRenamed("o_orderkey", "k"))
+        c.queries["keys"](spark, folder)
+        assert spark.conf.get(wide) == spark.conf.get("spark.sql.shuffle.partitions")
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(16 << 20)
+        assert session.tune(spark).conf.get(wide, None) is None        # other queries begin as their session says
+    finally:
+        spark.conf.unset(wide)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
