@@ -57,7 +57,7 @@ def _metrics(s):
 
 def _history(s):
     """Three snapshots as intervals: a week ago, today, and a day later without every third item and with one more of each seventh."""
-    cells = s.stock.where("qty <> 0").select("item_id", "store", "size", "qty")
+    cells = written(s.stock.where("qty <> 0").select("item_id", "store", "size", "qty"), "cells")
     first = cells.where("size <> '1'").withColumn("qty", (F.col("qty") / 2).cast("int"))
     last = cells.where("item_id % 3 <> 0").withColumn("qty", F.col("qty") + F.when(F.col("item_id") % 7 == 0, 1).otherwise(0))
     ended, lasting = [], history.first_intervals(first, EARLIER)
