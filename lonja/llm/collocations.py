@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lonja.llm.common import text_of
+from lonja.llm.common import frugal, text_of
 from lonja.session import written
 
 LEAST, LONGEST, SHOWN = 100, 5, 2000
@@ -87,7 +87,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    counted = docs.mapInArrow(run, "lang string, word string, n long")
+    counted = docs.mapInArrow(frugal(run), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -268,7 +268,7 @@ def tile_sums(parts: DataFrame, cell_bits: int, schema: str, make) -> DataFrame:
         if key:
             yield make(*key, *held.total())
 
-    return parts.repartition("group", "tile").sortWithinPartitions("group", "tile").mapInArrow(run, schema)
+    return parts.repartition("group", "tile").sortWithinPartitions("group", "tile").mapInArrow(frugal(run), schema)
 
 
 def tile_rows(group: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -320,7 +320,7 @@ def ranked_counts(numbered: DataFrame, shared, ranks: int, least: int, names: li
         rows = np.column_stack([levels[-1].keys[first] if levels else first[:, None], second])
         return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in rows.T), pa.array(counts)], [*names, "a"])
 
-    parts, groups = numbered.mapInArrow(count, schema), -(-numbered.rdd.getNumPartitions() // FAN_IN)
+    parts, groups = numbered.mapInArrow(frugal(count), schema), -(-numbered.rdd.getNumPartitions() // FAN_IN)
     while groups > 1:
         parts = tile_sums(parts, cell_bits, schema, lambda group, tile, cells, counts: tile_rows(group // FAN_IN, [(tile, packed(cells, counts))]))
         groups = -(-groups // FAN_IN)
@@ -348,7 +348,7 @@ def coded_counts(numbered: DataFrame, shared, least: int, names: list[str]) -> D
         if rows:
             yield from out()
 
-    counted = numbered.mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "n"]))
+    counted = numbered.mapInArrow(frugal(count), ", ".join(f"{x} long" for x in [*names, "n"]))
     return counted.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
 
 
@@ -402,7 +402,7 @@ def level_of(phrases: DataFrame, length: int, ranks: int) -> Level:
             rows = np.column_stack([batch[x].to_numpy() for x in names])
             yield pa.RecordBatch.from_arrays([pa.array(phrase_codes(rows, seed).view(np.int64))], ["code"])
 
-    return Level(keys, filter_of(others.select(*names).mapInArrow(run, "code long"), n_others), seed)
+    return Level(keys, filter_of(others.select(*names).mapInArrow(frugal(run), "code long"), n_others), seed)
 
 
 def word_code(lang, word, salt: int):
@@ -469,7 +469,7 @@ def numbered_texts(docs: DataFrame, known) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[1:])], ["own", "ranked", "coded"])
 
-    return docs.mapInArrow(run, "own long, ranked binary, coded binary")
+    return docs.mapInArrow(frugal(run), "own long, ranked binary, coded binary")
 
 
 def longer(counts: DataFrame, shorter: DataFrame, length: int) -> DataFrame:

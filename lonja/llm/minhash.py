@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.common import bit_set, in_bit_set, join_groups, text_of
+from lonja.llm.common import bit_set, frugal, in_bit_set, join_groups, text_of
 from lonja.llm.components import components
 from lonja.session import written
 
@@ -110,7 +110,7 @@ def prints(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "n_shingles", "print", "bands"])
 
     rows_in = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"))
-    return rows_in.mapInArrow(look, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return rows_in.mapInArrow(frugal(look), "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -129,7 +129,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield out.filter(pa.array(same, pa.bool_()))
 
     # an id with several texts may bring one of them twice
-    return texts.mapInArrow(look, "class long, shingles binary").groupBy("class").agg(F.any_value("shingles").alias("shingles"))
+    return texts.mapInArrow(frugal(look), "class long, shingles binary").groupBy("class").agg(F.any_value("shingles").alias("shingles"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -187,7 +187,7 @@ def compare(blocks: DataFrame, percent: int) -> DataFrame:
         yield batch_of(links())
 
     dealt = blocks.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side", "class")
-    return dealt.select("c", "i", "j", "side", "class", "component", "shingles").mapInArrow(run, "a long, b long")
+    return dealt.select("c", "i", "j", "side", "class", "component", "shingles").mapInArrow(frugal(run), "a long, b long")
 
 
 def blocks(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.common import text_of
+from lonja.llm.common import frugal, text_of
 from lonja.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -170,7 +170,7 @@ def extract(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
                        F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    return rows.mapInArrow(look, f"row long, doc_id long, text_hash long, found array<{SPAN_SQL}>")
+    return rows.mapInArrow(frugal(look), f"row long, doc_id long, text_hash long, found array<{SPAN_SQL}>")
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -239,7 +239,7 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     texts, batch["spans"].to_pylist(), columns["n_chars"].to_pylist(), strict=True)], kind)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(replace, docs.schema)
+    return joined.mapInArrow(frugal(replace), docs.schema)
 
 
 def mask(text: str, spans: list[dict]) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonja.llm.common import text_of
+from lonja.llm.common import frugal, text_of
 from lonja.session import written
 
 #: Bounds of what is fitted on the driver; everything else covers all documents.
@@ -85,7 +85,7 @@ def surprise(t: Column, c: Column, n_toxic: int, n_clean: int) -> Column:
 def vocabulary(docs: DataFrame, sample: DataFrame, size: int = VOCABULARY, voters: int = VOTERS) -> tuple[list[str], list[int]]:
     """Marks that tell the classes apart, and the positions of those that vote."""
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", text_of().alias("text"))
-    rows = written(texts.mapInArrow(_marks, "toxic int, marks array<string>"), "toxic-marks")
+    rows = written(texts.mapInArrow(frugal(_marks), "toxic int, marks array<string>"), "toxic-marks")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     found = []
@@ -139,7 +139,7 @@ def present(docs: DataFrame, names: list[str]) -> DataFrame:
                 [batch["doc_id"], batch["held_out"], pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "held_out", "marks"])
 
     fold = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), fold, "text").mapInArrow(look, "doc_id long, held_out boolean, marks array<int>")
+    return docs.select(F.col("doc_id").cast("long"), fold, "text").mapInArrow(frugal(look), "doc_id long, held_out boolean, marks array<int>")
 
 
 @dataclass
@@ -302,4 +302,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             keep = [base + sum(weights[i] for i in finder.find(x)) < most for x in batch["text"].to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(stay, docs.schema)
+    return docs.mapInArrow(frugal(stay), docs.schema)
