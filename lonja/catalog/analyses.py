@@ -62,8 +62,9 @@ def _history(s):
     last = cells.where("item_id % 3 <> 0").withColumn("qty", F.col("qty") + F.when(F.col("item_id") % 7 == 0, 1).otherwise(0))
     ended, lasting = [], history.first_intervals(first, EARLIER)
     for snapshot, day in ((cells, LATER), (last, AFTER)):
-        gone, lasting = (written(x, "intervals") for x in history.next_intervals(lasting, snapshot, day, ["item_id", "store", "size"]))
-        ended.append(gone)
+        rows = written(history.changed_intervals(lasting, snapshot, day, ["item_id", "store", "size"]), "intervals")
+        ended.append(rows.where("valid_to IS NOT NULL"))
+        lasting = rows.where("valid_to IS NULL")
     return lasting.unionByName(ended[0]).unionByName(ended[1])
 
 

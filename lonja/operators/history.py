@@ -19,8 +19,8 @@ def first_intervals(snapshot: DataFrame, day: dt.date) -> DataFrame:
     return snapshot.withColumns({"valid_from": F.lit(day), "valid_to": F.lit(None).cast("date")})
 
 
-def next_intervals(open_rows: DataFrame, snapshot: DataFrame, day: dt.date, keys: Iterable[str]) -> tuple[DataFrame, DataFrame]:
-    """The intervals that end on ``day`` and those that are open after it.
+def changed_intervals(open_rows: DataFrame, snapshot: DataFrame, day: dt.date, keys: Iterable[str]) -> DataFrame:
+    """The intervals that end on ``day`` and, without ``valid_to``, those that are open after it, from one pass.
 
     Both sides meet in one grouping by key (NULL is a value like any other), which holds a key at most once on each side.
     Taking the same snapshot again changes nothing.
@@ -34,14 +34,20 @@ def next_intervals(open_rows: DataFrame, snapshot: DataFrame, day: dt.date, keys
     same = F.col("_was").isNotNull() & F.col("_now").isNotNull()
     for c in values:
         same &= F.col(f"_was.{c}").eqNullSafe(F.col(f"_now.{c}"))
-    met = met.withColumn("_same", same)
-    ended = met.where("_was IS NOT NULL AND NOT _same").select(
-        *keys, *[F.col(f"_was.{c}").alias(c) for c in values], F.col("_was.valid_from").alias("valid_from"), F.lit(day).alias("valid_to"))
-    lasting = met.where("_now IS NOT NULL").select(
-        *keys, *[F.col(f"_now.{c}").alias(c) for c in values],
-        F.when(F.col("_same"), F.col("_was.valid_from")).otherwise(F.lit(day)).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    since, today = F.col("_was.valid_from"), F.lit(day)
     # an interval that would be empty, since its snapshot is taken again on its day, never was
-    return ended.where("valid_from < valid_to").select(*open_rows.columns), lasting.select(*open_rows.columns)
+    ended = F.when(F.col("_was").isNotNull() & ~F.col("_same") & (since < today), F.struct(
+        *[F.col(f"_was.{c}").alias(c) for c in values], since.alias("valid_from"), today.alias("valid_to")))
+    lasting = F.when(F.col("_now").isNotNull(), F.struct(
+        *[F.col(f"_now.{c}").alias(c) for c in values], F.when(F.col("_same"), since).otherwise(today).alias("valid_from"),
+        F.lit(None).cast("date").alias("valid_to")))
+    return met.withColumn("_same", same).select(*keys, F.inline(F.array_compact(F.array(ended, lasting)))).select(*open_rows.columns)
+
+
+def next_intervals(open_rows: DataFrame, snapshot: DataFrame, day: dt.date, keys: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """The intervals that end on ``day`` and those that are open after it."""
+    rows = changed_intervals(open_rows, snapshot, day, keys)
+    return rows.where("valid_to IS NOT NULL"), rows.where("valid_to IS NULL")
 
 
 def as_of(history: DataFrame, day: dt.date) -> DataFrame:

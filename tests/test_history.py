@@ -50,3 +50,26 @@ def test_an_unchanged_snapshot_stores_nothing(spark, rows):
     assert rows(gone) == [] and rows(lasting) == rows(first)
     gone, lasting = history.next_intervals(first, cells.limit(0), at(9), ["item", "store"])
     assert rows(lasting) == [] and rows(gone) == [("a", "1", 1, at(0), at(9)), ("b", None, None, at(0), at(9))]
+
+
+def test_a_history_computes_the_stock_once(spark, monkeypatch):
+    from lonja.catalog import analyses
+    from lonja.sources.tpch import tpch_star
+
+    plans, write = [], analyses.written
+
+    def watched(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(analyses, "written", watched)
+    analyses._history(tpch_star(spark, "/root/testdata/sf0.001"))
+    assert sum("lineitem.parquet" in x for x in plans) == 1 and len(plans) == 3
+
+
+def test_one_pass_gives_what_ends_and_what_lasts(spark, rows):
+    before = history.first_intervals(spark.createDataFrame([("a", "1", 1), ("b", None, 2), ("c", "1", None)], CELLS), at(0))
+    today = spark.createDataFrame([("a", "1", 5), ("c", "1", None), ("d", None, 4)], CELLS)
+    found = history.changed_intervals(before, today, at(3), ["item", "store"])
+    assert rows(found) == sorted([("a", "1", 1, at(0), at(3)), ("a", "1", 5, at(3), None), ("b", None, 2, at(0), at(3)),
+                                  ("c", "1", None, at(0), None), ("d", None, 4, at(3), None)], key=repr)
