@@ -6,6 +6,9 @@ text are therefore those of its parts in a row.  Parts are remembered within bou
 letters go straight to the library's merge model, as the characters that stand for their bytes; other new parts go
 through the whole library, many at a time, in one text with a separator whose id no part can have.  A text is
 first cut at the literals of the file's added tokens, which get their own ids, as in the library.
+
+Arrow cuts the texts of a batch at spaces and single line breaks and numbers the words, so that Python sees each
+distinct word of a batch once; the ids of a text are then gathered by these numbers.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 UNUSUAL = re.compile(r" (?<=\s )")  # a space after white space, looked for from the space, which is faster
-CLOSING = ".,;:!?"
+BARE_BREAK = re.compile(r"\n(?:(?<=\s\n)|(?<=\A\n)|(?=\s))")  # a line break beside white space or at the start
+CLOSING = ".,;:!?#$%&*"
 LETTERS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+WORD = re.compile("\n?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: a file takes words to its merge model as they are, or lowered and without the space before them
 WAYS = (lambda x: x, lambda x: x.lstrip(" ").lower())
 SAMPLES = (" Word", "word", " élève", "Straße", " x", "ÑANDÚ", " Qu")
@@ -43,7 +49,10 @@ def byte_characters() -> dict[int, str]:
 
 
 def parts_of(chunk: str) -> list[str]:
-    """Cut a chunk at its line breaks and before closing punctuation, where both sides are encoded alone anyway."""
+    """Cut a chunk at its line breaks and before closing punctuation, where both sides are encoded alone anyway.
+
+    Not after İ, whose lower case ends in a mark that files put to the punctuation.
+    """
     lines = chunk.split("\n")
     if len(lines) > 1 and any(not x or x[-1].isspace() or (i and x[0].isspace()) for i, x in enumerate(lines)):
         return [chunk]
@@ -52,7 +61,7 @@ def parts_of(chunk: str) -> list[str]:
         if i:
             out.append("\n")
         body = line.rstrip(CLOSING)
-        out += [body, line[len(body):]] if body != line and body and body[-1].isalnum() else [line]
+        out += [body, line[len(body):]] if body != line and body and body[-1].isalnum() and body[-1] != "İ" else [line]
     return out
 
 
@@ -110,9 +119,9 @@ class ChunkEncoder:
         known = self.parts
         return [b"".join([known[y] if y in known else found[y] for y in x]) for x in cut]
 
-    def _easy(self, words: set[str]) -> list[str]:
-        """Remember words after a space that are Latin letters and closing punctuation; the others are given back."""
-        table, hard = self.spaced, []
+    def _easy(self, words: list[str]) -> list[str]:
+        """Remember words after a space or a line break that are Latin letters and closing punctuation; the others are given back."""
+        table, hard, line_break = self.spaced, [], self._chunks(["\n"])[0]
         for word in words:
             body = word.rstrip(CLOSING)
             if len(word) > CACHED_CHARS or not WORD(body):
@@ -120,13 +129,31 @@ class ChunkEncoder:
                 continue
             ids = table.get(body)
             if ids is None:
-                ids = table[body] = self._word(" " + body, self.way)
+                ids = line_break + self._word(body[1:], self.way) if body[0] == "\n" else self._word(" " + body, self.way)
+                table[body] = ids
             if len(body) < len(word):
                 closing = word[len(body):]
                 end = self.parts.get(closing)
                 table[word] = ids + (self._chunks([closing])[0] if end is None else end)
         return hard
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with the space before it or with the line break that it begins with."""
+        table = self.spaced
+        if len(table) > CACHED:
+            table.clear()
+        new = [x for x in words if x not in table]
+        hard = self._easy(new) if self.way else new
+        line_break = self._chunks(["\n"])[0]
+        values = self._chunks([x[1:] if x[:1] == "\n" else " " + x for x in hard])
+        for word, value in zip(hard, values, strict=True):
+            table[word] = line_break + value if word[:1] == "\n" else value
+        out = [table[x] for x in words]
+        for word in hard:  # long ones are mostly never seen again
+            if len(word) > CACHED_CHARS:
+                del table[word]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not any(y in x for x in texts for y in self.added):
             return self._plain(texts)
@@ -136,23 +163,22 @@ class ChunkEncoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without added tokens."""
-        usual = [not UNUSUAL.search(x) for x in texts]
-        words = [x.split(" ") if ok else [] for x, ok in zip(texts, usual, strict=True)]
-        firsts = self._chunks([x[0] if x else "" for x in words])
-        if len(self.spaced) > CACHED:
-            self.spaced.clear()
-        after = [x[1:] for x in words]
-        table = self.spaced
-        hard = self._easy(set().union(*after).difference(table)) if self.way else list(set().union(*after).difference(table))
-        for word, value in zip(hard, self._chunks([" " + x for x in hard]), strict=True):
-            table[word] = value
-        out = []
-        for text, ok, first, rest in zip(texts, usual, firsts, after, strict=True):
-            out.append(first + b"".join(map(table.__getitem__, rest)) if ok else b"".join(self._chunks(CHUNK.split(text))))
-        for word in hard:  # long ones, and those that hold line breaks, are mostly never seen again
-            if len(word) > CACHED_CHARS or "\n" in word:
-                del table[word]
-        return out
+        usual = [not UNUSUAL.search(x) and not BARE_BREAK.search(x) for x in texts]
+        easy = iter(self._gather([x.replace("\n", " \n") for x, ok in zip(texts, usual, strict=True) if ok]))
+        return [next(easy) if ok else b"".join(self._chunks(CHUNK.split(x))) for x, ok in zip(texts, usual, strict=True)]
+
+    def _gather(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose line breaks have a space before them that does not count."""
+        if not texts:
+            return []
+        firsts = self._chunks([x.partition(" ")[0] for x in texts])
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = lists.flatten().dictionary_encode()
+        ids = pa.array(self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        ends, words_to = np.frombuffer(ends, np.int64, len(ids) + 1), lists.offsets.to_numpy()
+        data, spans = memoryview(data or b""), zip(ends[words_to[:-1] + 1].tolist(), ends[words_to[1:]].tolist(), strict=True)
+        return [first + data[a:b] for first, (a, b) in zip(firsts, spans, strict=True)]
 
 
 @lru_cache(maxsize=4)
